@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_chunks import bpe_round_trip
 from .common import table
 from .packing import pack
+from .pii import digest, personal_data
 from .token_counts import token_counts
 from .warc import warc_round_trip
 from . import sql
@@ -23,6 +24,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -35,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_token_counts": op3_token_counts,
+        "op4_pii": op4_pii,
         "op5_warc_round_trip": op5_warc_round_trip,
         "op9_bpe_round_trip": op9_bpe_round_trip,
     }
