@@ -11,6 +11,7 @@ from .bpe_chunks import bpe_round_trip
 from .common import table
 from .packing import pack
 from .pii import digest, personal_data
+from .quality import apply_rules, counts, learn_from
 from .token_counts import token_counts
 from .warc import warc_round_trip
 from . import sql
@@ -36,6 +37,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = learn_from(docs, table(spark, sf_dir, "labels"))
+    return apply_rules(counts(docs), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
@@ -43,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": op4_pii,
         "op5_warc_round_trip": op5_warc_round_trip,
         "op9_bpe_round_trip": op9_bpe_round_trip,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
