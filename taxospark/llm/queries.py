@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_chunks import bpe_round_trip
 from .common import table
+from .jaccard import jaccard_components
 from .packing import pack
 from .pii import digest, personal_data
 from .quality import apply_rules, counts, learn_from
@@ -33,6 +34,10 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_pii": op4_pii,
         "op5_warc_round_trip": op5_warc_round_trip,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_quality_rules": op10_quality_rules,
     }
@@ -57,4 +63,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_warc_round_trip": sql.OP5,
+        "op8_ngram_jaccard": sql.OP8,
     }

@@ -13,3 +13,18 @@ SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
   CASE WHEN page_id IS NOT DISTINCT FROM target THEN NULL ELSE target END AS refers_to
 FROM b
 """
+
+OP8 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 4 THEN [array_to_string(a, ' ')]
+    ELSE list_transform(range(1, len(a) - 2), lambda i: array_to_string(a[i:i+3], ' ')) END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT i.a, i.b FROM i JOIN n p ON p.doc_id = i.a JOIN n q ON q.doc_id = i.b
+    WHERE 100 * i.c >= 85 * (p.c + q.c - i.c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, min(r.reached) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id GROUP BY d.doc_id, n.c
+"""
