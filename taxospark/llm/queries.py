@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_chunks import bpe_round_trip
 from .common import table
@@ -13,6 +14,7 @@ from .jaccard import jaccard_components
 from .packing import pack
 from .pii import digest, personal_data
 from .quality import apply_rules, counts, learn_from
+from . import toxicity
 from .token_counts import token_counts
 from .warc import warc_round_trip
 from . import sql
@@ -34,6 +36,13 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), spans.alias("spans"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -54,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_pii": op4_pii,
         "op5_warc_round_trip": op5_warc_round_trip,
+        "op6_toxicity": op6_toxicity,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_quality_rules": op10_quality_rules,
