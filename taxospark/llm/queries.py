@@ -16,6 +16,7 @@ from .pii import digest, personal_data
 from .quality import apply_rules, counts, learn_from
 from . import toxicity
 from .token_counts import token_counts
+from .topk import top_k
 from .warc import warc_round_trip
 from . import sql
 
@@ -43,6 +44,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), spans.alias("spans"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -64,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": op4_pii,
         "op5_warc_round_trip": op5_warc_round_trip,
         "op6_toxicity": op6_toxicity,
+        "op7_topk": op7_topk,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_quality_rules": op10_quality_rules,
@@ -73,5 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_warc_round_trip": sql.OP5,
+        "op7_topk": sql.OP7,
         "op8_ngram_jaccard": sql.OP8,
     }
