@@ -46,6 +46,14 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fenced(df: DataFrame, *columns) -> DataFrame:
+    """df.select(*columns), each made once: no later filter or projection is merged into a generator's input.
+
+    Else a filter on a result of a higher-order function would put its inputs, too, inside the function's lambda.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def doc_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text, a null text as the empty one."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fenced
 from .common import kept as written
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -57,15 +58,14 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         lambda s: s["n"],
     )
     long = lambda c: F.col(c).cast("long").alias(c)
-    # A generator is a border that no later filter is pushed below: else these steps would be made again inside it.
-    row = F.struct(
+    d = fenced(
+        d,
         "doc_id",
         *(long(c) for c in ("n_words", "word_chars", "n_symbols", "n_distinct", "n_upper", "n_marks")),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
-    d = d.select(F.inline(F.array(row)))
     rate = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     return d.withColumns(
         {

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe_chunks import bpe_round_trip
 from .common import table
 from .jaccard import jaccard_components
+from .line_dedup import line_report
 from .packing import pack
 from .pii import digest, personal_data
 from .quality import apply_rules, counts, learn_from
@@ -21,6 +22,10 @@ from .warc import warc_round_trip
 from . import sql
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -65,6 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_token_counts": op3_token_counts,
         "op4_pii": op4_pii,
