@@ -273,36 +273,38 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> dict:
     return json.loads(made[0]["model"]) if made else fit([], np.zeros(0, np.int64))
 
 
+def _tagged(model: dict, texts: list[str], known: dict[bytes, float]) -> tuple:
+    """Words, marginals and scores of a block of texts."""
+    words, first, at, raw, starts = words_in(texts)
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    weight = model["weight"]
+    each = []
+    for w in words.dictionary.to_pylist():
+        s = known.get(w)
+        if s is None:
+            s = known[w] = weight.get("", 0.0) + sum(weight.get(x.hex(), 0.0) for x in parts(w))
+        each.append(s)
+    codes = words.indices.to_numpy()
+    opens = np.zeros(len(codes), bool)
+    opens[first[:-1][first[:-1] < first[1:]]] = True
+    p = marginals(np.array(each)[codes] if len(codes) else np.zeros(0), opens, model["start"], np.array(model["moves"]))
+    x = np.column_stack([np.ones(len(texts)), _summary(p, first)])
+    return words, first, at, raw, starts, p, 1 / (1 + np.exp(-np.clip(x @ np.array(model["final"]), -30, 30)))
+
+
 def _scorer(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        weight, moves, final = model["weight"], np.array(model["moves"]), np.array(model["final"])
-        weight = {bytes.fromhex(k): v for k, v in weight.items()}
-        bias = weight.get(b"", 0.0)
         known: dict[bytes, float] = {}
         for batch in batches:
             for ids, texts in blocks(batch.column(0), batch.column(1)):
-                words, first, at, raw, starts = words_in(texts)
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                each = []
-                for w in words.dictionary.to_pylist():
-                    s = known.get(w)
-                    if s is None:
-                        s = known[w] = bias + sum(weight.get(x, 0.0) for x in parts(w))
-                    each.append(s)
-                codes = words.indices.to_numpy()
-                opens = np.zeros(len(codes), bool)
-                opens[first[:-1][first[:-1] < first[1:]]] = True
-                p = marginals(np.array(each)[codes] if len(codes) else np.zeros(0), opens, model["start"], moves)
-                x = np.column_stack([np.ones(len(texts)), _summary(p, first)])
-                score = 1 / (1 + np.exp(-np.clip(x @ final, -30, 30)))
+                words, first, at, raw, starts, p, score = _tagged(sent.value, texts, known)
                 spans: list[list[dict]] = [[] for _ in texts]
                 for t in np.flatnonzero(p >= 0.5).tolist():
                     i = int(np.searchsorted(first, t, side="right")) - 1
                     own = raw[i]
                     a = int(at[t] - starts[i])
-                    b = a + len(words.dictionary[int(codes[t])].as_py())
+                    b = a + len(words.dictionary[words.indices[t].as_py()].as_py())
                     begin = len(own[:a].decode(errors="replace"))
                     spans[i].append({"start": begin, "end": begin + len(own[a:b].decode(errors="replace")), "p": round(float(p[t]), 6)})
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))], ["doc_id", "score", "spans"])
@@ -310,6 +312,23 @@ def _scorer(sent):
     return run
 
 
+def keep(docs: DataFrame, model: dict, below: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose texts score below a bound: a narrow map, no join."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, float] = {}
+        for batch in batches:
+            at = 0
+            for rows, texts in blocks(pa.array(range(batch.num_rows)), batch.column(place).fill_null("")):
+                good = _tagged(sent.value, texts, known)[-1] < below
+                yield batch.slice(at, len(rows)).filter(pa.array(good))
+                at += len(rows)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: score (0 to 1), spans (array of start, end in code points, and marginal p) of toxic words.
 
