@@ -91,6 +91,16 @@ def edit_distance(x: Column, y: Column, k: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["dist"])
 
 
+def may_be_near(x: Column, y: Column, k: int, pieces: int = 8) -> Column:
+    """False only for lines more than k edits apart: of the pieces of x all but k are found in y, at most k places off."""
+    n, hits = F.length(x), F.lit(0)
+    for i in range(1, pieces + 1):
+        at, size = segment(n, i, pieces - 1)
+        own = F.substring(x, at, size)
+        hits = hits + F.when(own.isin(*(F.substring(y, at + o, size) for o in range(-k, k + 1))), 1).otherwise(0)
+    return (F.abs(n - F.length(y)) <= k) & (hits >= pieces - k)
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, pos, line, and two 64-bit hashes of each line that holds more than white space."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -101,38 +111,44 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def near_earlier(lines: DataFrame, k: int, min_chars: int) -> DataFrame:
     """h of the lines that an earlier, different line is within k edits of."""
     long = lines.where(F.length("line") >= max(min_chars, 2 * k + 2))
-    index = long.select("doc_id", "pos", "h", F.explode(index_keys(F.col("line"), k)).alias("key"))
+    index = kept(long.select("doc_id", "pos", "h", F.explode(index_keys(F.col("line"), k)).alias("key")), "index")
     heads = index.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "h")).alias("head"), F.min("h").alias("lo"), F.max("h").alias("hi"))
     probes = long.select("h", F.explode(probe_keys(F.col("line"), k)).alias("key"))
     # Each probe meets one row at most: the first line of its key.
     hits = probes.join(heads, "key").where((F.col("head.h") != F.col("h")) | (F.col("lo") != F.col("hi"))).select("key", "h", F.col("head.h").alias("first_h"), (F.col("lo") != F.col("hi")).alias("many")).distinct()
     hits = kept(hits, "hits")
 
-    def pair(a: str, b: str, df: DataFrame) -> DataFrame:
-        return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-    def dropped(pairs: DataFrame) -> DataFrame:
-        """The later line of each pair that is within k edits."""
-        ids = kept(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "ids")
+    def fetched(ids: DataFrame) -> DataFrame:
+        """h, first place and text of the lines in question."""
+        ids = kept(ids.select("h").distinct(), "ids")
         small = ids.count() <= BROADCAST_IDS
         texts = long.join(F.broadcast(ids) if small else ids, "h", "left_semi").groupBy("h").agg(F.min(F.struct("doc_id", "pos", "line")).alias("t"))
-        texts = kept(texts.select("h", F.struct("t.doc_id", "t.pos").alias("place"), F.col("t.line").alias("line")), "lines")
+        return kept(texts.select("h", F.struct("t.doc_id", "t.pos").alias("place"), F.col("t.line").alias("line")), "lines")
+
+    def dropped(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The later line of each pair that is within k edits."""
         a, b = (texts.select(F.col("h").alias(s), F.col("place").alias(f"{s}_place"), F.col("line").alias(f"{s}_line")) for s in "ab")
-        both = pairs.join(a, "a").join(b, "b").where(F.abs(F.length("a_line") - F.length("b_line")) <= k)
+        both = pairs.join(a, "a").join(b, "b").where(may_be_near(F.col("a_line"), F.col("b_line"), k))
         both = fenced(both, "a", "b", "a_place", "b_place", F.split("a_line", "").alias("x"), F.split("b_line", "").alias("y"))
         near = fenced(both, "a", "b", "a_place", "b_place", edit_distance(F.col("x"), F.col("y"), k).alias("distance")).where(F.col("distance") <= k)
         return near.select(F.when(F.col("a_place") < F.col("b_place"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
 
-    met = kept(pair("h", "first_h", hits), "pairs")
-    one = kept(dropped(met), "dropped")
-    # Keys of several lines: what the first of the key did not decide meets the others.
-    crowd = hits.where("many").select("key", "h")
-    inside = index.select("key", F.col("h").alias("other")).join(crowd.select("key").distinct(), "key", "left_semi").distinct()
-    done = one.select("h", F.lit(True).alias("done"))
-    rest = crowd.join(done, "h", "left").join(inside.join(done.select(F.col("h").alias("other"), F.lit(True).alias("other_done")), "other", "left"), "key")
-    rest = pair("h", "other", rest.where(~(F.coalesce("done", F.lit(False)) & F.coalesce("other_done", F.lit(False)))))
+    met = kept(hits.where("h <> first_h").select(F.least("h", "first_h").alias("a"), F.greatest("h", "first_h").alias("b")).distinct(), "pairs")
+    one = kept(dropped(met, fetched(met.select(F.explode(F.array("a", "b")).alias("h")))), "dropped")
+    # Keys of several lines: what the first of the key did not decide meets the others. Both texts are at hand,
+    # so a pair leaves the join only if it may be near.
+    crowd = kept(hits.where("many").select("key", "h"), "crowd")
+    inside = kept(index.select("key", "h").join(crowd.select("key").distinct(), "key", "left_semi").distinct(), "crowd")
+    texts = fetched(crowd.select("h").unionByName(inside.select("h")))
+    done = one.withColumn("done", F.lit(True))
+    texts = kept(texts.join(done, "h", "left").withColumn("done", F.coalesce("done", F.lit(False))), "lines")
+    mine = crowd.join(texts, "h")
+    others = inside.join(texts, "h").select("key", F.col("h").alias("other"), F.col("place").alias("o_place"), F.col("line").alias("o_line"), F.col("done").alias("o_done"))
+    open_ = F.when(F.col("o_place") < F.col("place"), ~F.col("done")).otherwise(~F.col("o_done"))  # the later one's
+    rest = mine.join(others, "key").where((F.col("h") != F.col("other")) & open_ & may_be_near(F.col("line"), F.col("o_line"), k))
+    rest = rest.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
     rest = kept(rest.join(met, ["a", "b"], "left_anti"), "pairs")
-    return one.unionByName(dropped(rest)).distinct()
+    return one.unionByName(dropped(rest, texts)).distinct()
 
 
 def dropped_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
