@@ -136,7 +136,12 @@ def learn(rows: DataFrame, label_col: str = "quality", max_rules: int = 8, max_c
     cuts = data.agg(*(F.percentile(f, F.array(*map(F.lit, LEVELS))).alias(f) for f in FEATURES)).first()
     if cuts is None or any(cuts[f] is None for f in FEATURES):
         return DecisionList()
-    thresholds = {f: sorted(set(cuts[f])) for f in FEATURES}
+    # Thresholds lie half way between neighbouring levels, so a rule keeps its distance from both classes.
+    levels = {f: sorted(set(cuts[f])) for f in FEATURES}
+    thresholds = {f: [(a + b) / 2 for a, b in zip(v, v[1:])] for f, v in levels.items() if len(v) > 1}
+    features = list(thresholds)
+    if not features:
+        return DecisionList()
     done = DecisionList()
     for _ in range(max_rules):
         left = data.where(done.keeps())
@@ -145,15 +150,15 @@ def learn(rows: DataFrame, label_col: str = "quality", max_rules: int = 8, max_c
         while len(rule) < max_conditions:
             # One row for each feature, cut interval and class: sums over them give every threshold's counts.
             inside = growing.where(_all(rule))
-            place = F.array(*(F.struct(F.lit(f).alias("feature"), F.size(F.filter(F.array(*map(F.lit, thresholds[f])), _below(f))).alias("bin")) for f in FEATURES))
+            place = F.array(*(F.struct(F.lit(f).alias("feature"), F.size(F.filter(F.array(*map(F.lit, thresholds[f])), _below(f))).alias("bin")) for f in features))
             table = inside.select("bad", F.explode(place).alias("p")).groupBy("p.feature", "p.bin", "bad").count().collect()
             n = {(r["feature"], r["bin"], r["bad"]): r["count"] for r in table}
-            bad0 = sum(v for (f, _, b), v in n.items() if b and f == FEATURES[0])
-            good0 = sum(v for (f, _, b), v in n.items() if not b and f == FEATURES[0])
+            bad0 = sum(v for (f, _, b), v in n.items() if b and f == features[0])
+            good0 = sum(v for (f, _, b), v in n.items() if not b and f == features[0])
             if bad0 < min_cover or not good0:
                 break
             best = (0.0, None)
-            for f in FEATURES:
+            for f in features:
                 for i, t in enumerate(thresholds[f]):
                     low_bad = sum(n.get((f, k, True), 0) for k in range(i + 1))
                     low_good = sum(n.get((f, k, False), 0) for k in range(i + 1))
