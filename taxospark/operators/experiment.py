@@ -23,7 +23,7 @@ def _crossed(df: DataFrame, trials: DataFrame, *columns: str) -> DataFrame:
     """df once for each row of a factor table, which the caller made from lists of values: a narrow expansion."""
     rows = trials.select("trial", *columns).collect()
     kinds = dict(trials.dtypes)
-    each = F.array(*(F.struct(*(F.lit(r[c]).cast(kinds[c]).alias(c) for c in ("trial", *columns))) for r in rows)) if rows else F.array().cast("array<struct<trial:int>>")
+    each = F.array(*(F.struct(*(F.lit(r[c]).cast(kinds[c]).alias(c) for c in ("trial", *columns))) for r in rows)) if rows else F.array().cast(f"array<struct<{', '.join(f'{c}:{kinds[c]}' for c in ('trial', *columns))}>>")
     return df.select("*", F.explode(each).alias("_t")).select(*df.columns, *(F.col("_t")[c].alias(c) for c in ("trial", *columns)))
 
 
