@@ -5,7 +5,8 @@ that shares one of its first s - ceil(t * s) + 1 n-grams in a global order (its
 of fixed size over hashed n-grams, rarest first, so that passages that many documents share stay out of the prefixes.
 
 1. Documents with equal sets form a class; classes with equal prefix and size form a group with one list of prefix
-   n-grams. n-grams of one group only are dropped.
+   n-grams. n-grams of one group only are dropped, but for the first one of a group of several classes, by which
+   these meet.
 2. Group pairs are filtered bucket by bucket (the groups that share a prefix n-gram), then expanded to classes: in
    each round every class meets one leader of its buckets (first the class of most copies, then one by lot) that is in
    another component, and the pair is verified on whole sets. A round has as many pairs as classes at most.
@@ -209,14 +210,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     classes = named.groupBy("size", "set_id").agg(F.min("doc_id").alias("class"))
     member = kept(named.select("doc_id", "size", "set_id").join(classes, ["size", "set_id"]).select("doc_id", "class").distinct(), "classes")
     heads = named.join(member.where(F.col("doc_id") == F.col("class")).select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("class"), "size", "prefix", "salts").withColumn("prefix_id", F.sha2(F.to_json("prefix"), 256))
-    groups = heads.groupBy("size", "prefix_id").agg(F.min("class").alias("grp"))
-    grouped = kept(heads.select("class", "size", "prefix_id").join(groups, ["size", "prefix_id"]).select("class", "grp", "size"), "groups")
-
-    listed = heads.join(grouped.where(F.col("class") == F.col("grp")).select("class"), "class", "left_semi")
-    entries = listed.select(F.col("class").alias("grp"), "size", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "t")).select("grp", "size", "pos", F.col("t.prefix").alias("token"), F.col("t.salts").alias("salts"))
-    # Cold n-grams that only one group has are dropped; hot ones surely have more and are not gathered.
-    cold = entries.where("salts = 1").select("grp", "size", "pos", "token", F.expr("count(*) over (partition by token)").alias("n")).where("n > 1").drop("n")
-    shared = kept(cold.unionByName(entries.where("salts > 1").drop("salts")), "shared")
+    groups = heads.groupBy("size", "prefix_id").agg(F.min("class").alias("grp"), (F.count("*") > 1).alias("many"))
+    grouped = kept(heads.select("class", "size", "prefix_id").join(groups, ["size", "prefix_id"]).select("class", "grp", "size", "many"), "groups")
+
+    listed = heads.join(grouped.where(F.col("class") == F.col("grp")).select("class", "many"), "class")
+    entries = listed.select(F.col("class").alias("grp"), "size", "many", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "t")).select("grp", "size", "many", "pos", F.col("t.prefix").alias("token"), F.col("t.salts").alias("salts"))
+    # Cold n-grams that only one group has are dropped, but not the first of a group of several classes: it is their
+    # first common one. Hot n-grams surely have more groups and are not gathered.
+    cold = entries.where("salts = 1").select("grp", "size", "many", "pos", "token", F.expr("count(*) over (partition by token)").alias("n")).where("n > 1 or many and pos = 0")
+    shared = kept(cold.unionByName(entries.where("salts > 1"), allowMissingColumns=True).select("grp", "size", "pos", "token"), "shared")
 
     fits = lambda s, t: 100 * F.least(s, t) >= percent * F.greatest(s, t)
     # A pair's first common n-gram leaves room for the overlap that the threshold needs.

@@ -218,6 +218,19 @@ def test_jaccard(spark, docs, none, monkeypatch):
     assert {tuple(r) for r in jaccard.jaccard_components(df, 4, 85).collect()} == want
 
 
+def test_jaccard_within_a_group(spark):
+    """Near copies of equal prefix: of a's no other document has an n-gram, of b's others have the late ones."""
+    rows = []
+    for p, covered in (("a", []), ("b", range(10, 97))):
+        words = [f"{p}{i}" for i in range(100)]
+        pair = [words + ["x"], words + ["y"]]
+        rows += [" ".join(w) for w in pair + [w[-4:] for w in pair] * 3 + [words[i : i + 4] for i in covered]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = components(df, 4, 85)
+    assert {(1, 98, 0), (9, 98, 8)} <= want
+    assert {tuple(r) for r in jaccard.jaccard_components(df, 4, 85).collect()} == want
+
+
 def test_jaccard_odd_tables(docs, none):
     assert jaccard.jaccard_components(none).count() == 0
     rows = jaccard.jaccard_components(docs).collect()
