@@ -113,9 +113,13 @@ def corroboration_scorer(floor: float = 0.0, cap: int = 5, use_subclass: bool =
     return score
 
 
-def gate(scored: DataFrame, min_confidence: float = MIN_CONFIDENCE, max_new_edges: int = MAX_NEW_EDGES, by: tuple[str, ...] = ()) -> DataFrame:
+def gate(scored: DataFrame, min_confidence: float = MIN_CONFIDENCE, max_new_edges: int | None = MAX_NEW_EDGES, by: tuple[str, ...] = ()) -> DataFrame:
     """scored with applied and skip_reason: confidence first, then the cap, in order of (confidence desc, src, dst,
-    relation). A top-k for one graph; for many, a window for each."""
+    relation). A top-k for one graph; for many, a window for each. None is no cap: a filter without order."""
+    low = F.concat(F.lit("confidence "), F.col("confidence").cast("string"), F.lit(f" < min_confidence {min_confidence}"))
+    if max_new_edges is None:
+        enough = F.coalesce(F.col("confidence") >= min_confidence, F.lit(False))
+        return scored.withColumn("applied", enough).withColumn("skip_reason", F.when(~F.col("applied"), low))
     order = [F.col("confidence").desc(), "src", "dst", "relation"]
     passed = scored.where(F.col("confidence") >= min_confidence)
     key = [*by, "src", "dst", "relation"]
@@ -126,7 +130,6 @@ def gate(scored: DataFrame, min_confidence: float = MIN_CONFIDENCE, max_new_edge
     else:
         chosen = passed.orderBy(*order).limit(max_new_edges)
     marked = scored.join(chosen.select(*key).withColumn("applied", F.lit(True)), key, "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
-    low = F.concat(F.lit("confidence "), F.col("confidence").cast("string"), F.lit(f" < min_confidence {min_confidence}"))
     reason = F.when(F.col("applied"), F.lit(None).cast("string")).when(F.col("confidence") < min_confidence, low).otherwise(F.lit(f"max_new_edges cap ({max_new_edges}) reached"))
     return marked.withColumn("skip_reason", reason)
 
@@ -137,7 +140,7 @@ def apply(graph: Graph, gated: DataFrame) -> Graph:
     return Graph(graph.nodes, graph.edges.unionByName(new, allowMissingColumns=True), graph.by)
 
 
-def repair(graph: Graph, report: DataFrame, scorer: Scorer = prior_scorer, min_confidence: float = MIN_CONFIDENCE, max_new_edges: int = MAX_NEW_EDGES, enabled: bool = True, drop_self_loops: bool = False, rel: Relations = RELATIONS) -> tuple[Graph, DataFrame]:
+def repair(graph: Graph, report: DataFrame, scorer: Scorer = prior_scorer, min_confidence: float = MIN_CONFIDENCE, max_new_edges: int | None = MAX_NEW_EDGES, enabled: bool = True, drop_self_loops: bool = False, rel: Relations = RELATIONS) -> tuple[Graph, DataFrame]:
     """(repaired graph, gated proposals), in one pass; scores come from the graph as it was."""
     found = kept(proposals(graph, report, rel, drop_self_loops), "proposals")
     if not enabled:

@@ -105,7 +105,7 @@ def coverage_metrics(spark, sf):
 def enforcement_delta(spark, sf):
     _, dual, bad, _, _ = _damaged(spark, sf)
     report = kept(threads.validate(bad), "report")
-    fixed, _ = repair.repair(bad, report)
+    fixed, _ = repair.repair(bad, report, max_new_edges=None)
     after = kept(threads.validate(fixed), "report")
     return metrics.enforcement_delta(metrics.coverage_metrics(bad, report), metrics.coverage_metrics(fixed, after))
 
@@ -113,7 +113,7 @@ def enforcement_delta(spark, sf):
 def newly_valid(spark, sf):
     _, dual, bad, _, _ = _damaged(spark, sf)
     report = kept(threads.validate(bad), "report")
-    fixed, _ = repair.repair(bad, report)
+    fixed, _ = repair.repair(bad, report, max_new_edges=None)
     return metrics.newly_valid(report, threads.validate(fixed))
 
 
@@ -215,17 +215,17 @@ def corroboration(spark, sf):
 
 
 def edge_quality(spark, sf):
-    dual, bad, removed, report, fixed, gated = _repair(spark, sf, "E-MIX", theta=0.5, cap=1_000_000)
+    dual, bad, removed, report, fixed, gated = _repair(spark, sf, "E-MIX", theta=0.5, cap=None)
     return metrics.edge_quality(gated.where("applied"), dual.edges)
 
 
 def closure_quality(spark, sf):
-    dual, bad, removed, report, fixed, gated = _repair(spark, sf, "E-MIX", theta=0.5, cap=1_000_000)
+    dual, bad, removed, report, fixed, gated = _repair(spark, sf, "E-MIX", theta=0.5, cap=None)
     return metrics.closure_quality(gated.where("applied"), metrics.freeze_oracle(dual))
 
 
 def recall_of_repair(spark, sf):
-    dual, bad, removed, report, fixed, gated = _repair(spark, sf, "E-MIX", theta=0.75, cap=1_000_000)
+    dual, bad, removed, report, fixed, gated = _repair(spark, sf, "E-MIX", theta=0.75, cap=None)
     oracle = metrics.freeze_oracle(dual)
     return metrics.edge_recall(gated.where("applied"), metrics.recoverable(removed, oracle, bad.nodes))
 

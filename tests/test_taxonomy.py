@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from taxospark import queries
 from taxospark.model import Graph
 from taxospark.operators import damage, expand, metrics, repair, threads
 from taxospark.plans import closure as plans
@@ -88,6 +89,26 @@ def test_cap(dual):
     assert "max_new_edges" in gated.where("not applied").first()["skip_reason"]
 
 
+def test_no_cap(spark, dual, monkeypatch):
+    """What the queries measure is not cut: neither by repair's own cap nor by one of a million."""
+    bad = without(dual, ("extension:animal", "extension:mammal"), ("extension:vehicle", "extension:car"), ("extension:bird", "sammy"))
+    _, gated = repair.repair(bad, threads.validate(bad, threads.expected_pairs(dual)), min_confidence=0.5, max_new_edges=None)
+    assert gated.count() == gated.where("applied and skip_reason is null").count() > 1
+    low = repair.gate(gated.drop("applied", "skip_reason"), 0.95, None)
+    assert rows(low, "applied", "skip_reason") == {(False, "confidence 0.9 < min_confidence 0.95")}
+    many = spark.range(1_000_001).select(F.lit("a").alias("src"), F.col("id").cast("string").alias("dst"), F.lit("hasElement").alias("relation"), F.lit(0.55).alias("confidence"))
+    assert repair.gate(many, 0.5, None).where("applied").count() == 1_000_001
+    asked = []
+    one = Graph(spark.createDataFrame([("p", "instance")], "id string, kind string"), dual.edges)
+    nothing = spark.createDataFrame([("p", "c", True)], "instance string, concept string, is_valid boolean")
+    monkeypatch.setattr(queries, "_damaged", lambda *a: (one, dual, one, dual.edges.limit(0), None))
+    monkeypatch.setattr(threads, "validate", lambda *a: nothing)
+    monkeypatch.setattr(repair, "repair", lambda *a, max_new_edges=repair.MAX_NEW_EDGES: asked.append(a[4] if len(a) > 4 else max_new_edges) or (one, gated))
+    for name in ("edge_quality", "closure_quality", "recall_of_repair", "enforcement_delta", "newly_valid"):
+        getattr(queries, name)(spark, "")
+    assert asked == [None] * 5
+
+
 def test_partial_expansion(spark, flat):
     chosen = spark.createDataFrame([("animal",), ("dog",), ("nobody",)], "id string")
     part = expand.expand(flat, chosen)
