@@ -24,11 +24,47 @@ from .pretokens import words_of
 
 #: Documents that one group packs together, and cached pre-tokens in a Python worker.
 GROUP_ROWS = 8192
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 _library: dict = {}
 
 
-def _tokenizer(path: str):
+class WordTable:
+    """Ids of pre-tokens in one flat array: entry k's are flat[at[k] : at[k + 1]]. Entry 0 has none."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict = {None: 0}
+        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, ids])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
+
+    def single(self, i: int) -> int:
+        """The entry that stands for one id."""
+        if i not in self.known:
+            self.known[i] = len(self.at) - 1
+            self._append(np.array([i], np.uint32), np.ones(1, np.int64))
+        return self.known[i]
+
+    def entries(self, words: list[bytes]) -> np.ndarray:
+        """The entry of each of some distinct words; new ones are encoded, all in one call."""
+        known = self.known
+        out = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            # Given as pre-tokenized words, none of them is cut again or holds a special token.
+            made = self.tokenizer.encode([words[k].decode() for k in new.tolist()], is_pretokenized=True, add_special_tokens=False)
+            out[new] = np.arange(len(new)) + len(self.at) - 1
+            known.update(zip((words[k] for k in new.tolist()), out[new].tolist()))
+            self._append(np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(new)))
+        return out
+
+
+def _tokenizer(path: str) -> tuple[WordTable, dict[str, int]]:
     if path not in _library:
         import os
 
@@ -38,8 +74,7 @@ def _tokenizer(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        specials = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
-        _library[path] = (t, specials, {})
+        _library[path] = (WordTable(t), {a.content: i for i, a in t.get_added_tokens_decoder().items()})
     return _library[path]
 
 
@@ -58,46 +93,49 @@ def _interleaved(parts: list[str], between: int) -> list[str | int]:
     return out
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers; distinct pre-tokens are encoded once."""
-    tokenizer, specials, known = _tokenizer(path)
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    pieces, plan = [], []
-    for t in texts:
-        row = []
+def token_ids(texts: list[str], path: str, closing: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each with the closing id behind it, in one array; text i's are those from bounds[i] to bounds[i + 1].
+
+    Distinct pre-tokens are encoded once; a text's ids are gathered from the table of their ids.
+    """
+    table, specials = _tokenizer(path)
+    if len(table.known) > CACHE_WORDS:
+        table.clear()
+    pieces: list[str] = []
+    behind: list[int] = []  # the entry that stands at the mark behind each piece
+    last = np.zeros(len(texts), np.int64)
+    for k, t in enumerate(texts):
         for part in _split_specials(t, specials):
             if isinstance(part, int):
-                row.append(np.uint32(part).tobytes())
+                behind[-1] = table.single(part)
             else:
-                for x in safe_cuts(part, BLOCK_BYTES):
-                    row.append(len(pieces))
-                    pieces.append(x)
-        plan.append(row)
-    words, first, end = words_of(pieces)
-    distinct = words.dictionary.to_pylist()
-    new = [w for w in distinct if w not in known]
-    # Pre-tokens hold no special token, since the text was split at those.
-    for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    each = [known[w] for w in distinct]
-    codes = words.indices.to_pylist()
-    done = [b"".join([each[c] for c in codes[a:b]]) for a, b in zip(first.tolist(), end.tolist())]
-    return [b"".join([done[x] if isinstance(x, int) else x for x in row]) for row in plan]
+                cuts = list(safe_cuts(part, BLOCK_BYTES))
+                pieces += cuts
+                behind += [0] * len(cuts)
+        behind[-1] = table.single(closing)
+        last[k] = len(pieces) - 1
+    words, _, end = words_of(pieces)
+    entries = table.entries(words.dictionary.to_pylist())[words.indices.to_numpy()]
+    entries[end] = behind
+    lengths = (table.at[1:] - table.at[:-1])[entries]
+    so_far = np.concatenate([[0], np.cumsum(lengths)])
+    ids = table.flat[np.repeat(table.at[entries] - so_far[:-1], lengths) + np.arange(so_far[-1])]
+    return ids, np.concatenate([[0], so_far[end[last] + 1]])
 
 
 def _piece_map(path: str, size: int, closing: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in blocks(batch.column(0), batch.column(1)):
+            for docs, texts in blocks(batch.column(0), batch.column(1)):
                 cols: list[list] = [[], [], [], [], []]
-                for doc, raw in zip(ids, token_bytes(texts, path)):
-                    raw += np.uint32(closing).tobytes()
-                    n = len(raw) // 4
+                ids, bounds = token_ids(texts, path, closing)
+                raw = memoryview(ids.astype("<u4").view(np.uint8))
+                for doc, begin, finish in zip(docs, bounds[:-1].tolist(), bounds[1:].tolist()):
+                    n = finish - begin
                     at, piece = 0, 0
                     while at < n:
                         step = n % size or size if at == 0 else size
-                        for c, v in zip(cols, (doc, piece, at, step, zlib.crc32(memoryview(raw)[4 * at : 4 * (at + step)]))):
+                        for c, v in zip(cols, (doc, piece, at, step, zlib.crc32(raw[4 * (begin + at) : 4 * (begin + at + step)]))):
                             c.append(v)
                         at, piece = at + step, piece + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -128,12 +166,13 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, passes: int = 50) -> list[list[int]]:
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Exchange documents between underfull bins while the sum of squared fills rises; bins that run empty go.
 
     An exchange gives bin A a bundle of one or two documents of bin B for none, one or two of its own (not two for
     two). Its gain is positive just when A's new fill exceeds B's old one. A pass serves bins from the fullest to the
-    emptiest and takes, for each, the exchange that fills it best; passes go on until one changes nothing.
+    emptiest and takes, for each, the exchange that fills it best; passes go on until one changes nothing, which comes,
+    as the sum of squared fills rises with each exchange.
     """
     fill = [sum(sizes[r] for r in b) for b in bins]
 
@@ -150,7 +189,8 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int, passes:
                     seen.add((total, 2))
                     yield total, (r, q)
 
-    for _ in range(passes):
+    changed = True
+    while changed:
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: -fill[b])
         index: dict[tuple[int, int], list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
         masks = {1: 0, 2: 0}
@@ -191,8 +231,6 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int, passes:
                 fill[a] += gain
                 fill[b] -= gain
                 changed = True
-        if not changed:
-            break
     return [b for b in bins if b]
 
 

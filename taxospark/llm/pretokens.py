@@ -2,7 +2,9 @@
 
 Every transition is annotated with the pre-token starts that it emits. A text is dealt into chunks; each chunk
 becomes a map from entry state to exit state; the maps compose by a parallel prefix scan, which gives each chunk
-its entry state; a last pass reads off the starts. All three passes run over all chunks at once.
+its entry state; a last pass reads off the starts. All three passes run over all chunks at once. A character after
+which every state is the same (white space, a digit) makes the map of its chunk constant, so one walk gives it; only
+chunks without any such character are walked from all states.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ LETTERS = (LETTER, CLOSER, R, V, E, L)
 # an apostrophe that may open a contraction, and the same with r, v or l behind it.
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AT_BLANK, AT_SPACE, APOS, APOS_R, APOS_V, APOS_L = range(10)
 HERE, BEFORE = 1, 2  # a pre-token starts at this character; at the one before
-CHUNK = 64
+CHUNK = 256
 
 
 def _opened(c: int) -> int:
@@ -59,6 +61,8 @@ def _step(state: int, c: int) -> tuple[int, int]:
 
 NEXT = np.array([_step(s, c)[0] for s in range(10) for c in range(12)], np.uint8)
 EMIT = np.array([_step(s, c)[1] for s in range(10) for c in range(12)], np.uint8)
+#: Classes that lead to one state from all states.
+SETTLES = (NEXT.reshape(10, 12) == NEXT[:12]).all(axis=0)
 
 _IS_LETTER, _IS_NUMBER, _IS_SPACE = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\s")
 
@@ -94,10 +98,18 @@ def starts(cls: np.ndarray) -> np.ndarray:
     chunks = -(-n // CHUNK)
     grid = np.full(chunks * CHUNK, RESET, np.uint8)
     grid[:n] = cls
+    settled = SETTLES[grid].reshape(chunks, CHUNK).any(axis=1)
     grid = np.ascontiguousarray(grid.reshape(chunks, CHUNK).T)
-    maps = np.broadcast_to(np.arange(10, dtype=np.uint8)[:, None], (10, chunks)).copy()
+    state = np.zeros(chunks, np.uint8)
     for col in grid:
-        maps = NEXT.take(maps * np.uint8(12) + col)
+        state = NEXT.take(state * np.uint8(12) + col)
+    maps = np.repeat(state[None, :], 10, axis=0)
+    unsettled = np.flatnonzero(~settled)
+    if len(unsettled):
+        own = np.repeat(np.arange(10, dtype=np.uint8)[:, None], len(unsettled), axis=1)
+        for col in grid[:, unsettled]:
+            own = NEXT.take(own * np.uint8(12) + col)
+        maps[:, unsettled] = own
     step = 1
     while step < chunks:  # inclusive scan: maps[c] becomes the composition of chunks 0..c
         maps[:, step:] = np.take_along_axis(maps[:, step:], maps[:, :-step].astype(np.intp), axis=0)
