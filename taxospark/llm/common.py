@@ -54,6 +54,16 @@ def fenced(df: DataFrame, *columns) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of df has it (in whatever case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def doc_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text, a null text as the empty one."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

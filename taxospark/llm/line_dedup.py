@@ -2,8 +2,9 @@
 
 DataFrame functions only. Two lines within k edits share one of the k + 1 segments into which either is cut, at nearly
 the same place. Every line puts its segments into an index by (length, segment number, segment) and probes it with the
-substrings that a line of each length up to k shorter could share (the multi-match-aware choice of places). Pairs
-that meet are verified by a bit-parallel edit distance over a band of 2k + 1 diagonals.
+substrings that a line of each length up to k shorter could share (the multi-match-aware choice of places). Lines
+that meet are verified by a bit-parallel edit distance over a band of 2k + 1 diagonals: first against the earliest line
+of the key, then what is still open against the others, by semi joins, since one near earlier line is enough.
 
 A line is dropped if an earlier line, in order of (document, place), equals it or is within k edits of it. So the first
 line of every family stays, and no decision depends on another.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fenced, kept
+from .common import fenced, kept, unused
 
 #: Edits that near lines may differ by, and the length from which lines are compared with edits at all.
 MAX_EDITS, MIN_CHARS = 2, 20
@@ -30,8 +31,7 @@ def segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return F.lit(i - 1) * base + longer + 1, base + F.when(rest > k + 1 - i, 1).otherwise(0)
 
 
-def index_keys(line: Column, k: int) -> Column:
-    n = F.length(line)
+def index_keys(line: Column, n: Column, k: int) -> Column:
     out = []
     for i in range(1, k + 2):
         at, size = segment(n, i, k)
@@ -39,8 +39,7 @@ def index_keys(line: Column, k: int) -> Column:
     return F.array(*out)
 
 
-def probe_keys(line: Column, k: int) -> Column:
-    n = F.length(line)
+def probe_keys(line: Column, n: Column, k: int) -> Column:
     out = []
     for d in range(k + 1):
         for i in range(1, k + 2):
@@ -102,61 +101,64 @@ def may_be_near(x: Column, y: Column, k: int, pieces: int = 8) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, pos, line, and two 64-bit hashes of each line that holds more than white space."""
+    """doc_id, pos, line, n (its length), and two 64-bit hashes of each line that holds more than white space."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    return rows.where(~F.col("line").rlike(EMPTY)).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit("line"), "line")})
-
-
-def near_earlier(lines: DataFrame, k: int, min_chars: int) -> DataFrame:
-    """h of the lines that an earlier, different line is within k edits of."""
-    long = lines.where(F.length("line") >= max(min_chars, 2 * k + 2))
-    index = kept(long.select("doc_id", "pos", "h", F.explode(index_keys(F.col("line"), k)).alias("key")), "index")
-    heads = index.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "h")).alias("head"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    probes = long.select("h", F.explode(probe_keys(F.col("line"), k)).alias("key"))
-    # Each probe meets one row at most: the first line of its key.
-    hits = probes.join(heads, "key").where((F.col("head.h") != F.col("h")) | (F.col("lo") != F.col("hi"))).select("key", "h", F.col("head.h").alias("first_h"), (F.col("lo") != F.col("hi")).alias("many")).distinct()
-    hits = kept(hits, "hits")
-
-    def fetched(ids: DataFrame) -> DataFrame:
-        """h, first place and text of the lines in question."""
-        ids = kept(ids.select("h").distinct(), "ids")
-        small = ids.count() <= BROADCAST_IDS
-        texts = long.join(F.broadcast(ids) if small else ids, "h", "left_semi").groupBy("h").agg(F.min(F.struct("doc_id", "pos", "line")).alias("t"))
-        return kept(texts.select("h", F.struct("t.doc_id", "t.pos").alias("place"), F.col("t.line").alias("line")), "lines")
-
-    def dropped(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The later line of each pair that is within k edits."""
-        a, b = (texts.select(F.col("h").alias(s), F.col("place").alias(f"{s}_place"), F.col("line").alias(f"{s}_line")) for s in "ab")
-        both = pairs.join(a, "a").join(b, "b").where(may_be_near(F.col("a_line"), F.col("b_line"), k))
-        both = fenced(both, "a", "b", "a_place", "b_place", F.split("a_line", "").alias("x"), F.split("b_line", "").alias("y"))
-        near = fenced(both, "a", "b", "a_place", "b_place", edit_distance(F.col("x"), F.col("y"), k).alias("distance")).where(F.col("distance") <= k)
-        return near.select(F.when(F.col("a_place") < F.col("b_place"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
-
-    met = kept(hits.where("h <> first_h").select(F.least("h", "first_h").alias("a"), F.greatest("h", "first_h").alias("b")).distinct(), "pairs")
-    one = kept(dropped(met, fetched(met.select(F.explode(F.array("a", "b")).alias("h")))), "dropped")
-    # Keys of several lines: what the first of the key did not decide meets the others. Both texts are at hand,
-    # so a pair leaves the join only if it may be near.
-    crowd = kept(hits.where("many").select("key", "h"), "crowd")
-    inside = kept(index.select("key", "h").join(crowd.select("key").distinct(), "key", "left_semi").distinct(), "crowd")
-    texts = fetched(crowd.select("h").unionByName(inside.select("h")))
-    done = one.withColumn("done", F.lit(True))
-    texts = kept(texts.join(done, "h", "left").withColumn("done", F.coalesce("done", F.lit(False))), "lines")
-    mine = crowd.join(texts, "h")
-    others = inside.join(texts, "h").select("key", F.col("h").alias("other"), F.col("place").alias("o_place"), F.col("line").alias("o_line"), F.col("done").alias("o_done"))
-    open_ = F.when(F.col("o_place") < F.col("place"), ~F.col("done")).otherwise(~F.col("o_done"))  # the later one's
-    rest = mine.join(others, "key").where((F.col("h") != F.col("other")) & open_ & may_be_near(F.col("line"), F.col("o_line"), k))
-    rest = rest.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
-    rest = kept(rest.join(met, ["a", "b"], "left_anti"), "pairs")
-    return one.unionByName(dropped(rest, texts)).distinct()
-
-
-def dropped_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, pos of every line to drop."""
+    return rows.where(~F.col("line").rlike(EMPTY)).withColumns({"n": F.length("line"), "h": F.xxhash64("line"), "g": F.xxhash64(F.lit("line"), "line")})
+
+
+def near_earlier(lines: DataFrame, made: DataFrame, k: int, min_chars: int) -> DataFrame:
+    """h, g of the lines that an earlier, different line is within k edits of.
+
+    lines has the texts; made has h and the index keys of every line.
+    """
+    long = lines.where(F.col("n") >= max(min_chars, 2 * k + 2))
+    index = made.select("h", F.explode("keys").alias("key"))
+    # Written, so that a key of very many probes can be split when it is joined.
+    heads = kept(index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")), "heads")
+    probes = long.select("h", F.explode(probe_keys(F.col("line"), F.col("n"), k)).alias("key"))
+    hits = kept(probes.join(heads, "key").where("lo <> h or hi <> h").select("key", "h").distinct(), "hits")
+    inside = kept(index.join(hits.select("key").distinct(), "key", "left_semi").distinct(), "inside")
+
+    ids = kept(hits.select("h").unionByName(inside.select("h")).distinct(), "ids")
+    small = ids.count() <= BROADCAST_IDS
+    found = long.join(F.broadcast(ids) if small else ids, "h", "left_semi").groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos", "line")).alias("t"))
+    texts = kept(found.select("h", "g", F.struct("t.doc_id", "t.pos").alias("place"), F.col("t.line").alias("line")), "lines")
+
+    # Every line meets the earliest one of each of its keys.
+    placed = inside.join(texts.select("h", "place"), "h")
+    lead = kept(placed.groupBy("key").agg(F.min(F.struct("place", "h")).alias("first"), (F.count("*") > 1).alias("many")).select("key", F.col("first.h").alias("lead"), "many"), "lead")
+    met = hits.join(lead, "key").where("h <> lead").select(F.least("h", "lead").alias("a"), F.greatest("h", "lead").alias("b")).distinct()
+    a, b = (texts.select(*(F.col(c).alias(s if c == "h" else f"{s}_{c}") for c in texts.columns)) for s in "ab")
+    both = met.join(a, "a").join(b, "b").where(may_be_near(F.col("a_line"), F.col("b_line"), k))
+    both = fenced(both, "a", "b", "a_g", "b_g", "a_place", "b_place", F.split("a_line", "").alias("x"), F.split("b_line", "").alias("y"))
+    near = fenced(both, "a", "b", "a_g", "b_g", "a_place", "b_place", edit_distance(F.col("x"), F.col("y"), k).alias("distance")).where(F.col("distance") <= k)
+    later = F.when(F.col("a_place") < F.col("b_place"), F.struct(F.col("b").alias("h"), F.col("b_g").alias("g"))).otherwise(F.struct(F.col("a").alias("h"), F.col("a_g").alias("g")))
+    gone = kept(near.select(later.alias("l")).select("l.h", "l.g").distinct(), "dropped")
+
+    # Keys of several lines: a line that is still open goes if any other line of its key is earlier and near.
+    crowd = lead.where("many").select("key")
+    probing, indexed = (kept(side.join(crowd, "key", "left_semi").join(texts, "h"), "crowd") for side in (hits, inside))
+
+    def later_of(mine: DataFrame, others: DataFrame) -> DataFrame:
+        o = others.select("key", F.col("place").alias("o_place"), F.col("line").alias("o_line"))
+        x, y = F.col("line"), F.col("o_line")
+        close = (F.col("o_place") < F.col("place")) & may_be_near(x, y, k) & (edit_distance(F.split(x, ""), F.split(y, ""), k) <= k)
+        left = mine.join(gone, ["h", "g"], "left_anti").alias("m")
+        return left.join(o.alias("o"), (F.col("m.key") == F.col("o.key")) & close, "left_semi").select("h", "g")
+
+    return gone.unionByName(later_of(probing, indexed)).unionByName(later_of(indexed, probing)).distinct()
+
+
+def judged_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, pos, gone of every line that holds more than white space."""
     lines = lines_of(docs, id_col, text_col)
-    firsts = lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    firsts = firsts.join(near_earlier(lines, k, min_chars).withColumn("near", F.lit(True)), "h", "left")
-    return lines.select("doc_id", "pos", "h", "g").join(firsts, ["h", "g"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "pos") != F.col("first"))).select("doc_id", "pos")
+    keys = F.when(F.col("n") >= max(min_chars, 2 * k + 2), index_keys(F.col("line"), F.col("n"), k))
+    made = kept(lines.select("doc_id", "pos", "h", "g", keys.alias("keys")), "lines")
+    near = near_earlier(lines, made, k, min_chars).withColumn("near", F.lit(True))
+    firsts = made.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    firsts = kept(firsts.join(near, ["h", "g"], "left").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")), "firsts")
+    return made.select("doc_id", "pos", "h", "g").join(firsts, ["h", "g"]).select("doc_id", "pos", (F.col("near") | (F.struct("doc_id", "pos") != F.col("first"))).alias("gone"))
 
 
 def line_report(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,19 +168,22 @@ def line_report(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS,
     same place are one line; a null id is a document of its own that comes first. An empty table gives an empty result;
     further columns are ignored. Lines of white space alone are neither counted nor dropped.
     """
-    lines = lines_of(docs, id_col, text_col).select("doc_id", "pos")
-    counted = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct().join(lines.distinct().groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
-    gone = dropped_lines(docs, k, min_chars, id_col, text_col).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
+    lines = kept(judged_lines(docs, k, min_chars, id_col, text_col), "judged")
+    counted = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct().join(lines.select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
+    gone = lines.where("gone").select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
     return counted.join(gone, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the dropped lines taken out of their texts; documents that lose all they had go.
 
-    Texts that lose nothing, null ones and rows with a null id stay as they are, as do all other columns.
+    Texts that lose nothing, null ones and rows with a null id stay as they are, as do all other columns, whatever
+    their names. Rows that repeat an id lose the places that the id's lines lose. An empty table stays empty.
     """
-    gone = dropped_lines(docs, k, min_chars, id_col, text_col).distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("_gone")).where(F.col("doc_id").isNotNull())
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left")
-    clean = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: F.coalesce(~F.array_contains("_gone", i), F.lit(True))), "\n")
-    cut = joined.withColumn("_new", F.when(F.col("_gone").isNotNull(), clean).otherwise(F.col(text_col)))
-    return cut.where(F.col("_gone").isNull() | ~F.col("_new").rlike(EMPTY)).withColumn(text_col, F.col("_new")).select(docs.columns)
+    own, gone, new = unused(docs, "own", "gone", "new")
+    lost = judged_lines(docs, k, min_chars, id_col, text_col).where("gone").select("doc_id", "pos").distinct()
+    lost = lost.groupBy("doc_id").agg(F.collect_list("pos").alias(gone)).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", own)
+    joined = docs.join(lost, F.col(id_col).cast("long") == F.col(own), "left")
+    clean = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: F.coalesce(~F.array_contains(gone, i), F.lit(True))), "\n")
+    cut = joined.withColumn(new, F.when(F.col(gone).isNotNull(), clean).otherwise(F.col(text_col)))
+    return cut.where(F.col(gone).isNull() | ~F.col(new).rlike(EMPTY)).withColumn(text_col, F.col(new)).select(docs.columns)
