@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fenced, kept, unused
+from .common import kept, unused
 
 #: Edits that near lines may differ by, and the length from which lines are compared with edits at all.
 MAX_EDITS, MIN_CHARS = 2, 20
@@ -31,22 +31,29 @@ def segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return F.lit(i - 1) * base + longer + 1, base + F.when(rest > k + 1 - i, 1).otherwise(0)
 
 
-def index_keys(line: Column, n: Column, k: int) -> Column:
-    out = []
-    for i in range(1, k + 2):
-        at, size = segment(n, i, k)
-        out.append(F.xxhash64(F.lit(i), n, F.substring(line, at, size)))
-    return F.array(*out)
+def wide(line: Column) -> Column:
+    """Four bytes for each character, so that a substring is found without reading what is before it."""
+    return F.encode(line, "UTF-32")
 
 
-def probe_keys(line: Column, n: Column, k: int) -> Column:
-    out = []
-    for d in range(k + 1):
+def part(line: Column, at: Column, size: Column) -> Column:
+    """`size` characters from place `at` (from 1) of a wide line."""
+    return F.substring(line, 4 * at - 3, 4 * size)
+
+
+def keyed(lines: DataFrame, k: int, probes: bool) -> DataFrame:
+    """lines (with line and n, its length) with a column keys: the index keys, or the keys that a line probes with.
+
+    Places are columns first, so that the expression over them stays small enough to be compiled.
+    """
+    places, keys = {}, []
+    for d in range(k + 1 if probes else 1):
         for i in range(1, k + 2):
-            at, size = segment(n - d, i, k)
-            for o in range(max(1 - i, d - (k + 1 - i)), min(i - 1, d + (k + 1 - i)) + 1):
-                out.append(F.xxhash64(F.lit(i), n - d, F.substring(line, at + o, size)))
-    return F.array(*out)
+            at, size = f"_at_{d}_{i}", f"_size_{d}_{i}"
+            places[at], places[size] = segment(F.col("n") - d, i, k)
+            shifts = range(max(1 - i, d - (k + 1 - i)), min(i - 1, d + (k + 1 - i)) + 1) if probes else (0,)
+            keys += [F.xxhash64(F.lit(i), F.col("n") - d, part(F.col("_wide"), F.col(at) + o, F.col(size))) for o in shifts]
+    return lines.withColumns({"_wide": wide(F.col("line")), **places}).select(*lines.columns, F.array(*keys).alias("keys"))
 
 
 def edit_distance(x: Column, y: Column, k: int) -> Column:
@@ -90,14 +97,40 @@ def edit_distance(x: Column, y: Column, k: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["dist"])
 
 
-def may_be_near(x: Column, y: Column, k: int, pieces: int = 8) -> Column:
-    """False only for lines more than k edits apart: of the pieces of x all but k are found in y, at most k places off."""
-    n, hits = F.length(x), F.lit(0)
+def may_be_near(x: Column, y: Column, n: Column, m: Column, k: int, pieces: int) -> Column:
+    """False only for wide lines (of n and m characters) more than k edits apart: of the pieces of x all but k are found
+    in y, at most k places off."""
+    hits = F.lit(0)
     for i in range(1, pieces + 1):
         at, size = segment(n, i, pieces - 1)
-        own = F.substring(x, at, size)
-        hits = hits + F.when(own.isin(*(F.substring(y, at + o, size) for o in range(-k, k + 1))), 1).otherwise(0)
-    return (F.abs(n - F.length(y)) <= k) & (hits >= pieces - k)
+        hits = hits + F.when(part(x, at, size).isin(*(part(y, at + o, size) for o in sorted(range(-k, k + 1), key=abs))), 1).otherwise(0)
+    return (F.abs(n - m) <= k) & (hits >= pieces - k)
+
+
+def shared_start(x: Column, y: Column, n: Column, m: Column, length: Column, from_end: bool = False, pieces: int = 16) -> Column:
+    """How many characters, whole pieces of `length`, two wide lines have in common at their start (or end)."""
+    out = F
+    for i in range(1, pieces + 1):
+        at, size = segment(length, i, pieces - 1)
+        a, b = (n - at - size + 2, m - at - size + 2) if from_end else (at, at)
+        out = out.when(part(x, a, size) != part(y, b, size), at - 1)
+    return out.otherwise(length)
+
+
+def within(x: Column, y: Column, xw: Column, yw: Column, n: Column, m: Column, k: int) -> Column:
+    """Whether two lines (also given wide, of n and m characters, more than k) are within k edits: may_be_near, then the
+    edit distance of what is left without a common start and end. One-element arrays hold what is used more than once."""
+    room = F.least(n, m) - (k + 1)
+    one = lambda **columns: F.array(F.struct(*(c.alias(name) for name, c in columns.items())))
+    rest = lambda s, t: F.slice(F.split(s, ""), t["p"] + 1, (n if s is x else m) - t["p"] - t["q"])
+    near = F.exists(
+        one(p=shared_start(xw, yw, n, m, room)),
+        lambda s: F.exists(
+            one(p=s["p"], q=shared_start(xw, yw, n, m, room - s["p"], True)),
+            lambda t: F.exists(one(x=rest(x, t), y=rest(y, t)), lambda u: edit_distance(u["x"], u["y"], k) <= k),
+        ),
+    )
+    return may_be_near(xw, yw, n, m, k, 8) & may_be_near(xw, yw, n, m, k, 32) & near
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,23 +149,23 @@ def near_earlier(lines: DataFrame, made: DataFrame, k: int, min_chars: int) -> D
     index = made.select("h", F.explode("keys").alias("key"))
     # Written, so that a key of very many probes can be split when it is joined.
     heads = kept(index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")), "heads")
-    probes = long.select("h", F.explode(probe_keys(F.col("line"), F.col("n"), k)).alias("key"))
+    # explode() would add a filter on the array, and with it make the array twice.
+    probes = keyed(long, k, True).select("h", F.explode_outer("keys").alias("key"))
     hits = kept(probes.join(heads, "key").where("lo <> h or hi <> h").select("key", "h").distinct(), "hits")
     inside = kept(index.join(hits.select("key").distinct(), "key", "left_semi").distinct(), "inside")
 
     ids = kept(hits.select("h").unionByName(inside.select("h")).distinct(), "ids")
     small = ids.count() <= BROADCAST_IDS
     found = long.join(F.broadcast(ids) if small else ids, "h", "left_semi").groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos", "line")).alias("t"))
-    texts = kept(found.select("h", "g", F.struct("t.doc_id", "t.pos").alias("place"), F.col("t.line").alias("line")), "lines")
+    texts = kept(found.select("h", "g", F.struct("t.doc_id", "t.pos").alias("place"), F.col("t.line").alias("line")), "lines").withColumns({"n": F.length("line"), "wide": wide(F.col("line"))})
 
     # Every line meets the earliest one of each of its keys.
     placed = inside.join(texts.select("h", "place"), "h")
     lead = kept(placed.groupBy("key").agg(F.min(F.struct("place", "h")).alias("first"), (F.count("*") > 1).alias("many")).select("key", F.col("first.h").alias("lead"), "many"), "lead")
     met = hits.join(lead, "key").where("h <> lead").select(F.least("h", "lead").alias("a"), F.greatest("h", "lead").alias("b")).distinct()
     a, b = (texts.select(*(F.col(c).alias(s if c == "h" else f"{s}_{c}") for c in texts.columns)) for s in "ab")
-    both = met.join(a, "a").join(b, "b").where(may_be_near(F.col("a_line"), F.col("b_line"), k))
-    both = fenced(both, "a", "b", "a_g", "b_g", "a_place", "b_place", F.split("a_line", "").alias("x"), F.split("b_line", "").alias("y"))
-    near = fenced(both, "a", "b", "a_g", "b_g", "a_place", "b_place", edit_distance(F.col("x"), F.col("y"), k).alias("distance")).where(F.col("distance") <= k)
+    both = met.join(a, "a").join(b, "b")
+    near = both.where(within(*(F.col(f"{t}_{c}") for c in ("line", "wide", "n") for t in "ab"), k))
     later = F.when(F.col("a_place") < F.col("b_place"), F.struct(F.col("b").alias("h"), F.col("b_g").alias("g"))).otherwise(F.struct(F.col("a").alias("h"), F.col("a_g").alias("g")))
     gone = kept(near.select(later.alias("l")).select("l.h", "l.g").distinct(), "dropped")
 
@@ -141,9 +174,8 @@ def near_earlier(lines: DataFrame, made: DataFrame, k: int, min_chars: int) -> D
     probing, indexed = (kept(side.join(crowd, "key", "left_semi").join(texts, "h"), "crowd") for side in (hits, inside))
 
     def later_of(mine: DataFrame, others: DataFrame) -> DataFrame:
-        o = others.select("key", F.col("place").alias("o_place"), F.col("line").alias("o_line"))
-        x, y = F.col("line"), F.col("o_line")
-        close = (F.col("o_place") < F.col("place")) & may_be_near(x, y, k) & (edit_distance(F.split(x, ""), F.split(y, ""), k) <= k)
+        o = others.select("key", *(F.col(c).alias(f"o_{c}") for c in ("place", "line", "wide", "n")))
+        close = (F.col("o_place") < F.col("place")) & within(*(F.col(f"{t}{c}") for c in ("line", "wide", "n") for t in ("", "o_")), k)
         left = mine.join(gone, ["h", "g"], "left_anti").alias("m")
         return left.join(o.alias("o"), (F.col("m.key") == F.col("o.key")) & close, "left_semi").select("h", "g")
 
@@ -153,8 +185,8 @@ def near_earlier(lines: DataFrame, made: DataFrame, k: int, min_chars: int) -> D
 def judged_lines(docs: DataFrame, k: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, pos, gone of every line that holds more than white space."""
     lines = lines_of(docs, id_col, text_col)
-    keys = F.when(F.col("n") >= max(min_chars, 2 * k + 2), index_keys(F.col("line"), F.col("n"), k))
-    made = kept(lines.select("doc_id", "pos", "h", "g", keys.alias("keys")), "lines")
+    keys = F.when(F.col("n") >= max(min_chars, 2 * k + 2), F.col("keys"))
+    made = kept(keyed(lines, k, False).select("doc_id", "pos", "h", "g", keys.alias("keys")), "lines")
     near = near_earlier(lines, made, k, min_chars).withColumn("near", F.lit(True))
     firsts = made.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     firsts = kept(firsts.join(near, ["h", "g"], "left").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near")), "firsts")
