@@ -100,36 +100,37 @@ def edit_distance(x: Column, y: Column, k: int) -> Column:
 def may_be_near(x: Column, y: Column, n: Column, m: Column, k: int, pieces: int) -> Column:
     """False only for wide lines (of n and m characters) more than k edits apart: of the pieces of x all but k are found
     in y, at most k places off."""
-    hits = F.lit(0)
-    for i in range(1, pieces + 1):
-        at, size = segment(n, i, pieces - 1)
-        hits = hits + F.when(part(x, at, size).isin(*(part(y, at + o, size) for o in sorted(range(-k, k + 1), key=abs))), 1).otherwise(0)
+
+    def found(i: Column) -> Column:
+        at = F.floor(n * i / pieces).cast("int")
+        size = F.floor(n * (i + 1) / pieces).cast("int") - at
+        return part(x, at + 1, size).isin(*(part(y, at + 1 + o, size) for o in sorted(range(-k, k + 1), key=abs)))
+
+    hits = F.size(F.filter(F.array(*map(F.lit, range(pieces))), found))
     return (F.abs(n - m) <= k) & (hits >= pieces - k)
 
 
 def shared_start(x: Column, y: Column, n: Column, m: Column, length: Column, from_end: bool = False, pieces: int = 16) -> Column:
     """How many characters, whole pieces of `length`, two wide lines have in common at their start (or end)."""
-    out = F
-    for i in range(1, pieces + 1):
-        at, size = segment(length, i, pieces - 1)
-        a, b = (n - at - size + 2, m - at - size + 2) if from_end else (at, at)
-        out = out.when(part(x, a, size) != part(y, b, size), at - 1)
-    return out.otherwise(length)
+
+    def step(so_far: Column, i: Column) -> Column:
+        at = F.floor(length * i / pieces).cast("int")
+        end = F.floor(length * (i + 1) / pieces).cast("int")
+        a, b = (n - end, m - end) if from_end else (at, at)
+        return F.when((so_far == at) & (part(x, a + 1, end - at) == part(y, b + 1, end - at)), end).otherwise(so_far)
+
+    return F.aggregate(F.array(*map(F.lit, range(pieces))), F.lit(0), step)
 
 
 def within(x: Column, y: Column, xw: Column, yw: Column, n: Column, m: Column, k: int) -> Column:
     """Whether two lines (also given wide, of n and m characters, more than k) are within k edits: may_be_near, then the
     edit distance of what is left without a common start and end. One-element arrays hold what is used more than once."""
-    room = F.least(n, m) - (k + 1)
     one = lambda **columns: F.array(F.struct(*(c.alias(name) for name, c in columns.items())))
-    rest = lambda s, t: F.slice(F.split(s, ""), t["p"] + 1, (n if s is x else m) - t["p"] - t["q"])
-    near = F.exists(
-        one(p=shared_start(xw, yw, n, m, room)),
-        lambda s: F.exists(
-            one(p=s["p"], q=shared_start(xw, yw, n, m, room - s["p"], True)),
-            lambda t: F.exists(one(x=rest(x, t), y=rest(y, t)), lambda u: edit_distance(u["x"], u["y"], k) <= k),
-        ),
-    )
+    room = F.least(n, m) - (k + 1)
+    start = F.transform(one(r=room), lambda r: F.struct(r["r"].alias("r"), shared_start(xw, yw, n, m, r["r"]).alias("p")))
+    both = F.transform(start, lambda s: F.struct(s["p"].alias("p"), F.least(s["r"] - s["p"], shared_start(xw, yw, n, m, s["r"] - s["p"], True)).alias("q")))
+    rests = F.transform(both, lambda t: F.struct(F.slice(F.split(x, ""), t["p"] + 1, n - t["p"] - t["q"]).alias("x"), F.slice(F.split(y, ""), t["p"] + 1, m - t["p"] - t["q"]).alias("y")))
+    near = F.exists(rests, lambda u: edit_distance(u["x"], u["y"], k) <= k)
     return may_be_near(xw, yw, n, m, k, 8) & may_be_near(xw, yw, n, m, k, 32) & near
 
 
