@@ -3,8 +3,9 @@
 Texts are cut where a rolling hash of the last bytes says so, at white space wherever there is any: the same passage
 is cut alike in every document, and a Python worker encodes each distinct chunk once while it is in use. The words of
 a new chunk are looked up in the same way, as the smallest chunks. A join at white space agrees as it stands, since no
-token of a word-level BPE crosses it. Only stretches without white space are cut elsewhere; their joins are repaired by encoding a window around the join, which grows until its tokens agree exactly
-with those of both chunks.
+token of a word-level BPE crosses it. Only stretches without white space are cut elsewhere; their joins are repaired by
+encoding a window around the join, which grows until its tokens agree exactly with those of both chunks. A repair touches
+the tokens near its join only.
 """
 
 from __future__ import annotations
@@ -94,19 +95,21 @@ def encode_long(text: str, tokenizer, size: int = LONG_EVERY) -> list[int]:
         right = tokens(chunk, at)
         reach = 64
         while True:
-            lo = max(0, at - reach)
-            lo = next((t[1] for t in made if t[1] >= lo), at) if lo else 0
+            lo, k = max(0, at - reach), len(made)
+            while k and made[k - 1][1] >= lo:
+                k -= 1  # tokens from k on begin inside the window
+            lo = 0 if lo == 0 else made[k][1] if k < len(made) else at
             hi = min(at + len(chunk), at + reach)
             window = tokens(text[lo:hi], lo)
             # Leave out tokens near cut ends of the window: they agree only by chance.
-            left_ok = {t: i for i, t in enumerate(made) if t[1] >= lo and t[2] <= at}
+            left_ok = {made[i]: i for i in range(k, len(made)) if made[i][2] <= at}
             right_ok = {t: i for i, t in enumerate(right)}
             i = 0 if lo == 0 else next((k for k in range(2, len(window) - 2) if window[k] in left_ok and window[k - 1] in left_ok), None)
             j = len(window) if hi == at + len(chunk) else next((k for k in range(len(window) - 3, 0, -1) if window[k] in right_ok and window[k - 1] in right_ok), None)
             if i is not None and j is not None and i <= j:
-                head = made[: left_ok[window[i]]] if lo else []
-                tail = right[right_ok[window[j]] :] if j < len(window) else []
-                made = head + window[i:j] + tail
+                del made[left_ok[window[i]] if lo else 0 :]
+                made += window[i:j]
+                made += right[right_ok[window[j]] :] if j < len(window) else []
                 break
             if lo == 0 and hi == at + len(chunk):
                 made = window

@@ -2,19 +2,26 @@
 
 DataFrame functions only. Places of matches come from two built-in functions over the same pattern: what split()
 leaves between matches and what regexp_extract_all() takes, in turn, add up to the places. The patterns are written so
-that a failed match never starts again inside the same run of characters, which keeps them linear in the text.
+that a failed match never starts again inside the same run of characters, which keeps them linear in the text; places
+add up block by block, so that the work on a text with many matches stays near linear, too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
-#: Characters before and behind a span that are searched for context words.
+from .common import unused
+
+ONE = "struct<kind:string,start:int,end:int,score:double>"
+SPAN = f"array<{ONE}>"
+#: Characters before and behind a span that are searched for context words, up to the next match of its kind.
 REACH = 40
+#: Items that one growing array of a running total holds.
+BLOCK = 256
 #: Spans of the added kinds stay from this score on.
 KEEP = 0.5
 
@@ -96,59 +103,97 @@ def _valid(kind: Kind, match: Column) -> Column:
     return F.lit(True)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(items: Column, step: Callable[[Column, Column], Column], made: Callable[[Column, Column], Column], kind: str) -> Column:
+    """made(state, item) of every item, where state is a number that starts at 0 and becomes step(state, item) behind an item.
+
+    The states before each block of items come first, then all blocks are gone through: appending to an array copies it,
+    so no array grows beyond a block or the number of blocks.
+    """
+
+    def ahead(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen"))
+        seen = F.aggregate(blocks, start, lambda s, b: F.struct(F.aggregate(b["rows"], s["at"], step).alias("at"), F.concat(s["seen"], F.array(s["at"])).alias("seen")), lambda s: s["seen"])
+        return F.flatten(F.zip_with(blocks, seen, within))
+
+    def within(block: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(block["rows"], start, lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(made(s["at"], x))).alias("out")), lambda s: s["out"])
+
+    def in_blocks(rows: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(rows) - 1, F.lit(0)) / BLOCK).cast("int"))
+        return once(F.transform(numbers, lambda i: F.struct(F.slice(rows, i * BLOCK + 1, F.lit(BLOCK)).alias("rows"))), ahead)
+
+    return once(items, in_blocks)
+
+
 def find(text: Column, kind: Kind) -> Column:
     """Spans of one kind: kind, start, end (code points, end exclusive), score."""
     between, taken = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    both = F.arrays_zip(between.alias("gap"), taken.alias("match"))
+    # What comes before a match, the match, what comes behind it.
+    both = once(between, lambda gaps: F.arrays_zip(gaps.alias("gap"), taken.alias("match"), F.slice(gaps, 2, F.size(gaps)).alias("behind")))
 
-    def scored(start: Column, end: Column) -> Column:
+    def scored(part: Column) -> Column:
         score = F.lit(kind.base + kind.sure)
-        around = F.lower(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)) + (end - start) + REACH))
+        around = F.lower(F.concat(F.substring(part["gap"], -REACH, REACH), part["match"], F.substring(part["behind"], 1, REACH)))
         if kind.context:
             score = score + F.when(around.rlike(kind.context), kind.near).otherwise(0.0)
         if kind.against:
             score = score - F.when(around.rlike(kind.against), kind.near).otherwise(0.0)
         return F.round(F.greatest(F.least(score, F.lit(1.0)), F.lit(KEEP if kind.always else 0.0)), 3)
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.length(part["match"])
-        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), scored(start, end).alias("score"))
-        found = F.when(part["match"].isNotNull() & _valid(kind, part["match"]), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(F.coalesce(end, state["at"]).alias("at"), found.alias("spans"))
+    def step(at: Column, part: Column) -> Column:
+        return at + F.length(part["gap"]) + F.coalesce(F.length(part["match"]), F.lit(0))
+
+    def made(at: Column, part: Column) -> Column:
+        start = at + F.length(part["gap"])
+        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(part["match"])).alias("end"), scored(part).alias("score"))
+        return F.when(part["match"].isNotNull() & _valid(kind, part["match"]), span)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    spans = F.aggregate(both, start, step, lambda s: s["spans"])
-    kept = spans if kind.always else F.filter(spans, lambda s: s["score"] >= KEEP)
-    return F.when(text.rlike(kind.hint), kept).otherwise(F.array().cast(SPAN))
+    spans = F.filter(running(both, step, made, ONE), lambda s: s.isNotNull() if kind.always else s["score"] >= KEEP)
+    return F.when(text.rlike(kind.hint), spans).otherwise(F.array().cast(SPAN))
 
 
-def personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a column `spans`: array<struct<kind, start, end, score>>, by kind as in KINDS, then start.
+def spans_of(text: Column) -> Column:
+    return F.concat(*(find(text, k) for k in KINDS))
+
+
+def personal_data(docs: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
+    """docs with a column `out_col`: array<struct<kind, start, end, score>>, by kind as in KINDS, then start.
 
     A null text has no spans, like an empty one; all rows and columns stay as they are, repeated rows included (an own
-    column named `spans` is replaced); an empty table stays empty. Spans of different kinds may overlap.
+    column of that name is replaced: give another name to keep it); an empty table stays empty. Spans of different kinds
+    may overlap.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("spans", F.concat(*(find(text, k) for k in KINDS)))
+    return docs.withColumn(out_col, spans_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each found span replaced by its kind in brackets; spans that overlap go as one, under the first's kind.
 
-    Null texts stay null; the columns stay as they are.
+    Null and empty texts stay as they are, so do all other columns, whatever their names; repeated rows are each masked;
+    an empty table stays empty.
     """
-    found = personal_data(docs, text_col)
+    spans, = unused(docs, "spans")
+    found = personal_data(docs, text_col, spans)
     text = F.col(text_col)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def masked(raw: Column) -> Column:
+        """raw: the text with four bytes for each character, of which a part is found without reading the rest."""
+        part = lambda a, size: F.decode(F.substring(raw, 4 * a + 1, 4 * size), "UTF-32")
+
+        def made(at: Column, s: Column) -> Column:
+            return F.when(s["start"] >= at, F.concat(part(at, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
 
-    def step(state: Column, s: Column) -> Column:
-        new = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], new).otherwise(state["out"]).alias("out"))
+        pieces = running(ordered, lambda at, s: F.greatest(at, s["end"]), made, "string")
+        return F.concat(F.array_join(pieces, ""), part(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(ordered, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text)).select(docs.columns)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, once(F.encode(text, "UTF-32"), masked)).otherwise(text)).select(docs.columns)
 
 
 def _of_kind(kind: str):
@@ -159,5 +204,6 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts and digests of the spans, one row for each document."""
     named = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select(F.col(id_col).cast("long").alias("doc_id"), *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+    count = lambda k: F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}")
+    added = [count(k.name) for k in KINDS if k.name not in BASE]
+    return found.select(F.col(id_col).cast("long").alias("doc_id"), *map(count, BASE), F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"), *added)
