@@ -5,8 +5,7 @@ that shares one of its first s - ceil(t * s) + 1 n-grams in a global order (its
 of fixed size over hashed n-grams, rarest first, so that passages that many documents share stay out of the prefixes.
 
 1. Documents with equal sets form a class; classes with equal prefix and size form a group with one list of prefix
-   n-grams. n-grams of one group only are dropped, but for the first one of a group of several classes, by which
-   these meet.
+   n-grams. n-grams of one group only are dropped; the classes of a group meet by the group's own number.
 2. Group pairs are filtered bucket by bucket (the groups that share a prefix n-gram), then expanded to classes: in
    each round every class meets one leader of its buckets (first the class of most copies, then one by lot) that is in
    another component, and the pair is verified on whole sets. A round has as many pairs as classes at most.
@@ -30,7 +29,8 @@ from .common import blocks, doc_text, kept
 
 #: Counters of the n-gram count table: its size does not grow with the data.
 TABLE = 1 << 18
-#: An n-gram is hot if its counter exceeds this and a multiple of the mean counter; hot ones skip the window.
+#: An n-gram is hot if its counter exceeds this and a multiple of the mean counter; hot ones surely belong to several
+#: groups and are not gathered to find out.
 HOT, HOT_TIMES = 10_000, 8
 #: Rounds with one leader for each class, at most; what they leave is compared pair by pair.
 ROUNDS = 5
@@ -39,6 +39,12 @@ BROADCAST_IDS = 1_000_000
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_PLACE = np.uint64(0xFFFF)
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 256
+#: Partners that meet one copy of a class's set, and bytes of sets that a task hands on at a time.
+FAN, BATCH_BYTES = 512, 8_000_000
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -47,20 +53,28 @@ def _spread(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z as a-z), and where each text's begin; the last entry is the end."""
+    """64-bit hashes of all words (A-Z as a-z), and where each text's begin; the last entry is the end.
+
+    All words take their next eight bytes at once, so there are as many steps as the longest word has; words of more
+    than LONG_WORD bytes are hashed one by one instead.
+    """
     raw = [t.encode() for t in texts]
-    joined = b"\n".join(raw).lower() + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    sep = _SEPARATORS[data]
-    begins = ~sep
-    begins[1:] &= sep[:-1]
-    letters = data[~sep]
-    at = np.flatnonzero(begins)
-    offsets = np.append((np.cumsum(~sep) - 1)[at], len(letters)).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
-    each = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    data = np.frombuffer(b"\n".join(raw).lower() + b"\n" + bytes(8), np.uint8)
+    sep = _SEPARATORS[data[:-8]]
+    begins = np.flatnonzero(~sep & np.concatenate([[True], sep[:-1]]))
+    length = np.flatnonzero(sep & np.concatenate([[False], ~sep[:-1]])) - begins
+    eight = np.ndarray((len(data) - 7,), np.uint64, data, strides=(1,))
+    h = length.astype(np.uint64) * _MIX
+    active = np.flatnonzero(length <= LONG_WORD)
+    at, left = begins[active], length[active]
+    while len(active):
+        h[active] = _spread((h[active] ^ (eight[at] & _LOW_BYTES[np.minimum(left, 8)])) * _MIX)
+        more = left > 8
+        active, at, left = active[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        h[k] = xxhash.xxh64_intdigest(data[begins[k] : begins[k] + length[k]])
     starts = np.concatenate([[0], np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))])
-    return each[words.indices.to_numpy()] if len(at) else np.zeros(0, np.uint64), np.searchsorted(at, starts)
+    return h, np.searchsorted(begins, starts)
 
 
 def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
@@ -72,7 +86,8 @@ def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
     grams = _spread(grams)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= n:
-            yield np.unique(grams[a : b - n + 1])
+            own = np.sort(grams[a : b - n + 1])
+            yield own[np.concatenate([[True], own[1:] != own[:-1]])]
         elif b > a:
             digest = hashlib.blake2b(words[a:b].tobytes(), digest_size=8, key=b"short").digest()
             yield np.frombuffer(digest, np.uint64)
@@ -111,7 +126,11 @@ def count_table(docs: DataFrame, n: int, rows: int = 16) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, set_id, and the prefix in the global order with each n-gram's number of salts."""
+    """doc_id, size, set_id, grp (a hash of size and prefix), prefix, cold (how many of the prefix are not hot, in front).
+
+    An entry of the prefix holds 48 bits of the n-gram's hash (more n-grams that fall together only give more pairs to
+    verify) and in the lowest 16 its place in the prefix (or 65535, as places only rule pairs out).
+    """
     table = count_table(docs, n)
     sent = docs.sparkSession.sparkContext.broadcast(table)
     hot = max(HOT, HOT_TIMES * int(table.mean()))
@@ -120,7 +139,7 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
         known = sent.value
         for batch in batches:
             for ids, texts in blocks(batch.column(0), batch.column(1)):
-                sizes, sets, firsts, salts = [], [], [], []
+                sizes, sets, groups, firsts, cold = [], [], [], [], []
                 for s in shingle_sets(texts, n):
                     size = len(s)
                     length = size - -(-percent * size // 100) + 1 if size else 0
@@ -128,49 +147,81 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     order = np.lexsort((s, counts))[:length]
                     sizes.append(size)
                     sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    firsts.append(s[order].astype(np.int64))
-                    salts.append((1 + counts[order] // hot).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))], ["doc_id", "size", "set_id", "prefix", "salts"])
+                    groups.append(int.from_bytes(hashlib.blake2b(s[order].tobytes(), digest_size=8, key=str(size).encode()).digest(), "little", signed=True))
+                    firsts.append(((s[order] & ~_PLACE) | np.minimum(np.arange(length, dtype=np.uint64), _PLACE)).astype(np.int64))
+                    cold.append(int(np.searchsorted(counts[order], hot, side="right")))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(groups, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(cold, pa.int32())], ["doc_id", "size", "set_id", "grp", "prefix", "cold"])
+
+    return docs.mapInArrow(run, "doc_id long, size int, set_id binary, grp long, prefix array<long>, cold int")
 
-    return docs.mapInArrow(run, "doc_id long, size int, set_id binary, prefix array<long>, salts array<int>")
+
+def _overlaps(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not len(x):
+        return False
+    place = np.searchsorted(x, y)
+    both = int((x[np.minimum(place, len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _similar(percent: int):
+    """Pairs (a, b) that reach the threshold, from rows (key, salt, doc_id, set) in which a's own set comes first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = own = None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                place = np.searchsorted(x, y)
-                both = int((x[np.minimum(place, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            a, b = [], []
+            for key, salt, doc, s in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                if key == doc:
+                    head, own = (key, salt), s.copy()
+                elif head == (key, salt) and _overlaps(own, s, percent):
+                    a.append(key)
+                    b.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class ids whose whole sets reach the threshold.
 
-    A class's set is made from the text of the document that names it; it travels once to each pair's first member.
+    A class's set is made from the text of the document that names it and travels once to each of its partners a; a's
+    own goes along, once for each FAN partners, so that no task has to take all partners of one class. Sorted, a's set
+    comes before its partners', and the comparison holds one set at a time.
     """
-    needed = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("key")).unionByName(pairs.select(F.col("a").alias("doc_id"), F.col("a").alias("key")).distinct())
-    needed = kept(needed.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "needed")
+    fans = pairs.groupBy("a").agg((F.floor(F.count("*") / FAN).cast("int") + 1).alias("salts"))
+    others = pairs.join(fans, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
+    owners = fans.select(F.col("a").alias("doc_id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    needed = others.unionByName(owners).groupBy("doc_id").agg(F.collect_list(F.struct("key", "salt")).alias("keys"))
+    needed = kept(needed.join(classes.select(F.col("class").alias("doc_id"), "set_id"), "doc_id"), "needed")
     found = docs.join(F.broadcast(needed) if pairs.count() <= BROADCAST_IDS else needed, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["key", "salt", "doc_id", "set"])
+
         for batch in batches:
-            keys = batch.column(2).to_pylist()
+            keys, names = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             at = 0
             for ids, texts in blocks(batch.column(0), batch.column(1)):
-                rows = [(k, i, s.tobytes()) for i, s, own in zip(ids, shingle_sets(texts, n), keys[at : at + len(ids)]) for k in own]
+                for i, s, own, name in zip(ids, shingle_sets(texts, n), keys[at : at + len(ids)], names[at : at + len(ids)]):
+                    s = s.tobytes()
+                    if hashlib.blake2b(s, digest_size=16).digest() != name:
+                        continue  # another text under the same id
+                    for k in own:
+                        rows.append((k["key"], k["salt"], i, s))
+                        size += len(s)
+                        if size > BATCH_BYTES:
+                            yield made()
+                            rows, size = [], 0
                 at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["key", "doc_id", "set"])
+        yield made()
 
-    sent = kept(found.select("doc_id", "text", "keys").mapInArrow(sets, "key long, doc_id long, set binary"), "sets")
-    first = sent.where(F.col("key") == F.col("doc_id")).select("key", F.col("set").alias("x")).dropDuplicates(["key"])
-    both = sent.where(F.col("key") != F.col("doc_id")).join(first, "key").select(F.col("key").alias("a"), F.col("doc_id").alias("b"), "x", F.col("set").alias("y"))
-    return both.mapInArrow(_similar(percent), "a long, b long")
+    sent = found.select("doc_id", "text", "keys", "set_id").mapInArrow(sets, "key long, salt int, doc_id long, set binary")
+    sent = sent.repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("doc_id") != F.col("key"))
+    return sent.mapInArrow(_similar(percent), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -201,38 +252,39 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """Per document: n_shingles (the size of its set), component_id (the smallest id reachable by links).
 
     Two documents link when 100 * |intersection| >= percent * |union|. A document without words is linked with nothing,
-    so are null texts; rows with a null id come out with a null component. Rows that repeat an id are expected to
-    repeat its text; each comes out. An empty table gives an empty result; further columns are ignored.
+    so are null texts; rows with a null id come out with a null component. Rows that repeat an id each come out with
+    their own size; if their texts differ, the one whose set has the smallest digest stands for the id's links. An empty
+    table gives an empty result; further columns are ignored.
     """
     source = doc_text(docs, id_col, text_col)
     made = kept(prefixes(source, n, percent), "prefixes")
     named = made.where((F.col("size") > 0) & F.col("doc_id").isNotNull())
-    classes = named.groupBy("size", "set_id").agg(F.min("doc_id").alias("class"))
-    member = kept(named.select("doc_id", "size", "set_id").join(classes, ["size", "set_id"]).select("doc_id", "class").distinct(), "classes")
-    heads = named.join(member.where(F.col("doc_id") == F.col("class")).select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("class"), "size", "prefix", "salts").withColumn("prefix_id", F.sha2(F.to_json("prefix"), 256))
-    groups = heads.groupBy("size", "prefix_id").agg(F.min("class").alias("grp"), (F.count("*") > 1).alias("many"))
-    grouped = kept(heads.select("class", "size", "prefix_id").join(groups, ["size", "prefix_id"]).select("class", "grp", "size", "many"), "groups")
-
-    listed = heads.join(grouped.where(F.col("class") == F.col("grp")).select("class", "many"), "class")
-    entries = listed.select(F.col("class").alias("grp"), "size", "many", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "t")).select("grp", "size", "many", "pos", F.col("t.prefix").alias("token"), F.col("t.salts").alias("salts"))
-    # Cold n-grams that only one group has are dropped, but not the first of a group of several classes: it is their
-    # first common one. Hot n-grams surely have more groups and are not gathered.
-    cold = entries.where("salts = 1").select("grp", "size", "many", "pos", "token", F.expr("count(*) over (partition by token)").alias("n")).where("n > 1 or many and pos = 0")
-    shared = kept(cold.unionByName(entries.where("salts > 1"), allowMissingColumns=True).select("grp", "size", "pos", "token"), "shared")
+    single = named.groupBy("doc_id").agg(F.min(F.struct("set_id", "size", "grp")).alias("m"))
+    single = kept(single.select("doc_id", "m.set_id", "m.size", "m.grp"), "single")
+    of = single.groupBy("size", "set_id").agg(F.min("doc_id").alias("class"), F.min("grp").alias("grp"), F.count("*").alias("weight"))
+    of = kept(of, "classes")
+    member = kept(single.join(of, ["size", "set_id"]).select("doc_id", "class"), "members")
+
+    token = F.shiftright("entry", 16)
+    entry = lambda part: named.select("grp", F.explode(part).alias("entry"))
+    # Two numbers a row: the place is read off the entry only behind the shuffle.
+    cold = entry(F.slice("prefix", 1, F.col("cold"))).repartition(token).select(token.alias("token"), "grp", "entry")
+    cold = cold.select("token", "grp", "entry", F.expr("min(grp) over (partition by token)").alias("lo"), F.expr("max(grp) over (partition by token)").alias("hi")).where("lo < hi").select("token", "grp", "entry").distinct()
+    hot = entry(F.slice("prefix", F.col("cold") + 1, F.size("prefix"))).select(token.alias("token"), "grp", "entry").distinct()
+    shared = kept(cold.unionByName(hot).select("token", "grp", F.col("entry").bitwiseAND(F.lit(int(_PLACE))).cast("int").alias("pos")), "shared")
+    several = of.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp", F.col("grp").alias("token"), F.lit(0).alias("pos"))
 
     fits = lambda s, t: 100 * F.least(s, t) >= percent * F.greatest(s, t)
     # A pair's first common n-gram leaves room for the overlap that the threshold needs.
     room = lambda s, p, t, q: (100 + percent) * (1 + F.least(s - p - 1, t - q - 1)) >= percent * (s + t)
-    weight = member.groupBy("class").agg(F.count("*").alias("weight"))
-    of = kept(grouped.select("class", "grp").join(weight, "class"), "weights")
-    # Classes of one group share all of its n-grams.
-    open_ = kept(shared.join(of, "grp").select("token", "class", "size", "pos", "weight"), "open")
+    # Groups expand to their classes, which also meet by their group's number.
+    open_ = kept(shared.unionByName(several).join(of.select("class", "grp", "size", "weight"), "grp").select("token", "class", "size", "pos", "weight"), "open")
     # A bucket of two classes is one pair, read off the aggregation; only larger ones go into the rounds.
     member_of = F.struct("class", "size", "pos")
     buckets = open_.groupBy("token").agg(F.count("*").alias("n"), F.min(member_of).alias("x"), F.max(member_of).alias("y"))
     two = buckets.where((F.col("n") == 2) & fits(F.col("x.size"), F.col("y.size")) & room(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos")))
     tried = kept(two.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct(), "pairs")
-    links = kept(verified(source, tried, n, percent), "verified")
+    links = kept(verified(source, of, tried, n, percent), "verified")
 
     def joined(links: DataFrame) -> DataFrame:
         known = components(links).withColumnRenamed("id", "class")
@@ -249,7 +301,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         again = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         met = met.join(again, ["a", "b"], "left_anti")
         pairs = kept(met.groupBy("b").agg(F.max(F.struct("w", "lot", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "pairs")
-        new = kept(verified(source, pairs, n, percent), "verified")
+        new = kept(verified(source, of, pairs, n, percent), "verified")
         tried = pairs.unionByName(tried)
         if new.isEmpty() and turn:
             break
@@ -269,7 +321,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     )
     known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     again = kept(again.join(known, ["a", "b"], "left_anti"), "pairs")
-    more = verified(source, again, n, percent)
+    more = verified(source, of, again, n, percent)
     final = components(links.unionByName(more))
 
     by_doc = member.join(final.withColumnRenamed("id", "class"), "class", "left").select("doc_id", F.coalesce("component", "class").alias("component_id"))

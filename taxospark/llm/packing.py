@@ -24,7 +24,7 @@ from .pretokens import words_of
 
 #: Documents that one group packs together, and cached pre-tokens in a Python worker.
 GROUP_ROWS = 8192
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 _library: dict = {}
 
 

@@ -11,20 +11,19 @@ function fitted on the same sample; words with a marginal of a half or more are
 from __future__ import annotations
 
 import json
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, doc_text, kept
 
-#: Labelled documents of each class that the model is fitted on, at most, and their length at most (characters).
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3_000, 6_000, 100_000
+#: Labelled documents of each class that the model is fitted on, at most; a class takes no more once it has so many characters.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3_000, 6_000, 50_000_000
 MIN_TEXTS, EVIDENCE = 8, 16.0
 CHUNK, WINDOW = 32, 8
 CACHE_WORDS = 500_000
@@ -53,9 +52,24 @@ def words_in(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarr
     return words, np.searchsorted(at, starts), at, raw, starts
 
 
+#: A word's features besides itself: beginnings and ends of so many bytes, of longer words.
+BEGINNINGS, ENDS = (3, 4, 5, 6), (3, 4)
+
+
 def parts(word: bytes) -> list[bytes]:
     """A word's features: itself, its beginnings and its ends."""
-    return [b"=" + word, *(b"<" + word[:k] for k in (3, 4, 5, 6) if len(word) > k), *(b">" + word[-k:] for k in (3, 4) if len(word) > k)]
+    return [b"=" + word, *(b"<" + word[:k] for k in BEGINNINGS if len(word) > k), *(b">" + word[-k:] for k in ENDS if len(word) > k)]
+
+
+def feature_columns(words: pa.Array) -> Iterator[tuple[bytes, np.ndarray, pa.Array, np.ndarray]]:
+    """The same for many distinct words, one kind of feature at a time: mark, who has it, its values, the codes of those that do."""
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    kinds = [(b"=", 0, lambda w: w)]
+    kinds += [(b"<", k, lambda w, k=k: pc.binary_slice(w, 0, k)) for k in BEGINNINGS] + [(b">", k, lambda w, k=k: pc.binary_slice(w, -k)) for k in ENDS]
+    for mark, k, cut in kinds:
+        has = np.flatnonzero(size > k)
+        made = cut(words.take(pa.array(has))).dictionary_encode()
+        yield mark, has, made.dictionary, made.indices.to_numpy()
 
 
 def _passed(row: list[np.ndarray], step: list[np.ndarray]) -> list[np.ndarray]:
@@ -123,28 +137,48 @@ def marginals(scores: np.ndarray, opens: np.ndarray, start: float, moves: np.nda
     return (toxic / (alpha[0] * beta[0] + toxic))[:n]
 
 
-def _fit_field(windows: np.ndarray, tags: np.ndarray, uses: np.ndarray, mask: np.ndarray, n: int, rounds: int = 6) -> tuple[np.ndarray, float, np.ndarray]:
-    """Likelihood ascent (AdaGrad) on windows of equal length. windows: word numbers; uses[word]: its features."""
+def pair_marginals(scores: np.ndarray, cut: np.ndarray, start: float, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward on windows [row, place]: P(toxic) of each word, and the sums over rows and places of the
+    probabilities of neighbouring tags [from][to] where no text begins. cut: whether a text begins at a word."""
+    rows, n = scores.shape
+    node = np.stack([np.ones_like(scores), np.exp(np.clip(scores, -25, 25))], axis=2)
+    step = np.where(cut[:, :, None, None], np.array([1.0, np.exp(start)]), np.exp(moves))  # [row, place, from, to]
+    ahead, back = np.empty((rows, n, 2)), np.ones((rows, n, 2))
+    ahead[:, 0] = node[:, 0] * np.where(cut[:, 0, None], np.array([1.0, np.exp(start)]), 1.0)
+    ahead[:, 0] /= ahead[:, 0].sum(axis=1, keepdims=True)
+    for k in range(1, n):
+        x = np.einsum("ri,rij->rj", ahead[:, k - 1], step[:, k]) * node[:, k]
+        ahead[:, k] = x / x.sum(axis=1, keepdims=True)
+    for k in range(n - 2, -1, -1):
+        x = np.einsum("rij,rj->ri", step[:, k + 1], node[:, k + 1] * back[:, k + 1])
+        back[:, k] = x / x.sum(axis=1, keepdims=True)
+    p = ahead * back
+    p /= p.sum(axis=2, keepdims=True)
+    pairs = ahead[:, :-1, :, None] * step[:, 1:] * (node[:, 1:] * back[:, 1:])[:, :, None, :]
+    pairs /= pairs.sum(axis=(2, 3), keepdims=True)
+    return p[:, :, 1], (pairs * ~cut[:, 1:, None, None]).sum(axis=(0, 1))
+
+
+def _fit_field(windows: np.ndarray, tags: np.ndarray, cuts: np.ndarray, uses: np.ndarray, mask: np.ndarray, n: int, rounds: int = 6) -> tuple[np.ndarray, float, np.ndarray]:
+    """Likelihood ascent (AdaGrad) on windows of equal length. windows: word numbers; cuts: where a text begins;
+    uses[word]: its features."""
     weight, start, moves = np.zeros(n), 0.0, np.zeros((2, 2))
     seen, seen_s, seen_m = np.full(n, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     rng = np.random.default_rng(7)
-    opens = np.zeros(windows.shape[1], bool)
-    opens[0] = True
     for _ in range(rounds):
         for rows in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // 256)):
-            w, y = windows[rows], tags[rows]
+            w, y, cut = windows[rows], tags[rows], cuts[rows]
             u = (weight[uses[w]] * mask[w]).sum(axis=2)
-            p = marginals(u.ravel(), np.tile(opens, len(rows)), start, moves).reshape(u.shape)
+            p, expected = pair_marginals(u, cut, start, moves)
             err = y - p
             g = np.bincount(uses[w].ravel(), (err[:, :, None] * mask[w]).ravel(), n) / len(rows) - 1e-5 * weight
             seen += g * g
             weight += 0.3 * g / np.sqrt(seen)
-            # Pairs of tags: expected ones from neighbouring marginals, as if independent given the words.
-            q, t = np.stack([1 - p, p], axis=2), np.stack([1 - y, y], axis=2)
-            gm = (np.einsum("nki,nkj->ij", t[:, :-1], t[:, 1:]) - np.einsum("nki,nkj->ij", q[:, :-1], q[:, 1:])) / len(rows)
+            t = np.stack([1 - y, y], axis=2)
+            gm = (np.einsum("nki,nkj->ij", t[:, :-1] * ~cut[:, 1:, None], t[:, 1:]) - expected) / len(rows)
             seen_m += gm * gm
             moves += 0.1 * gm / np.sqrt(seen_m)
-            gs = float(err[:, 0].mean())
+            gs = float((err * cut).sum() / len(rows))
             seen_s += gs * gs
             start += 0.1 * gs / np.sqrt(seen_s)
     return weight, start, moves
@@ -195,38 +229,33 @@ def fit(texts: list[str], labels: np.ndarray) -> dict:
     keep = one_of_each(texts)
     texts, labels = [t for t, k in zip(texts, keep) if k], labels[keep]
     words, first, _, _, _ = words_in(texts)
-    names, codes = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
+    names, codes = words.dictionary, words.indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     n_bad, n_good = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     pairs = np.unique(doc * max(len(names), 1) + codes)
     sick = labels[pairs // max(len(names), 1)] == 1
-    toxic, clean = Counter(), Counter()
     bad = np.bincount(pairs[sick] % max(len(names), 1), minlength=len(names))
     good = np.bincount(pairs[~sick] % max(len(names), 1), minlength=len(names))
-    for w, b, g in zip(names, bad.tolist(), good.tolist()):
-        for part in parts(w):
-            toxic[part] += b
-            clean[part] += g
-    number = {b"": 0}
-    for part in toxic:
-        if toxic[part] + clean[part] >= MIN_TEXTS:
-            number[part] = len(number)
     base = n_bad / (n_bad + n_good)
-
-    def seeds(part: bytes) -> bool:
-        """Whether a feature goes with toxic texts far beyond chance (log likelihood ratio), over all features tried."""
-        b, g = toxic[part], clean[part]
-        rate = b / (b + g) if b else 0.0
-        return rate > 2 * base and rate > 0.7 and b * math.log(rate / base) + (g * math.log((1 - rate) / (1 - base)) if g else 0.0) > EVIDENCE
-
-    seed = np.array([seeds(b"=" + w) or any(seeds(b"<" + w[:k]) for k in (5, 6) if len(w) > k) for w in names] or [False])
-    lists = [[0, *(number[x] for x in parts(w) if x in number)] for w in names]
-    width = max(map(len, lists), default=1)
-    uses, mask = np.zeros((len(lists) + 1, width), np.int64), np.zeros((len(lists) + 1, width))
-    for i, row in enumerate(lists):
-        uses[i, : len(row)], mask[i, : len(row)] = row, 1.0
+    number = {b"": 0}
+    seed = np.zeros(max(len(names), 1), bool)
+    uses, mask = np.zeros((len(names) + 1, 2 + len(BEGINNINGS) + len(ENDS)), np.int64), np.zeros((len(names) + 1, 2 + len(BEGINNINGS) + len(ENDS)))
+    mask[:, 0] = 1.0
+    for column, (mark, has, values, code) in enumerate(feature_columns(names), 1):
+        b, g = np.bincount(code, bad[has], len(values)), np.bincount(code, good[has], len(values))
+        frequent = np.flatnonzero(b + g >= MIN_TEXTS)
+        places = np.zeros(len(values), np.int64)
+        places[frequent] = np.arange(len(frequent)) + len(number)
+        number |= {mark + values[k].as_py(): int(places[k]) for k in frequent.tolist()}
+        uses[has, column], mask[has, column] = places[code], places[code] > 0
+        if mark == b"=" or (mark == b"<" and column in (4, 5)):  # a word, or five or six bytes of its beginning
+            # Seeds go with toxic texts far beyond chance (log likelihood ratio), over all features tried.
+            rate = b / np.maximum(b + g, 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = b * np.log(rate / base) + np.where(g > 0, g * np.log((1 - rate) / (1 - base)), 0.0)
+            seed[has] |= ((rate > 2 * base) & (rate > 0.7) & (gain > EVIDENCE))[code]
     mask[-1, 0] = 1.0  # a filler beyond the texts' ends
-    padded = np.full(len(codes) + 2 * WINDOW, len(lists))
+    padded = np.full(len(codes) + 2 * WINDOW, len(names))
     padded[WINDOW : WINDOW + len(codes)] = codes
     tagged = np.zeros(len(padded))
     tagged[WINDOW : WINDOW + len(codes)] = seed[codes] & (labels[doc] == 1)
@@ -240,13 +269,18 @@ def fit(texts: list[str], labels: np.ndarray) -> dict:
     centres = np.concatenate([some(hits, 8_000), some(near, 4_000), some(pool, 16_000)]).astype(np.int64) + WINDOW
     if not len(hits):
         return {"weight": {}, "start": 0.0, "moves": [[0.0, 0.0], [0.0, 0.0]], "final": [-2.0, 0.0, 0.0]}
-    places = centres[:, None] + np.arange(-WINDOW, WINDOW + 1)
-    weight, start, moves = _fit_field(padded[places], tagged[places], uses, mask, len(number))
-    score = (weight[uses] * mask).sum(axis=1)
     opens = np.zeros(len(codes), bool)
     opens[first[:-1][first[:-1] < first[1:]]] = True
-    held = np.arange(len(texts)) % 3 == 2
-    x = np.column_stack([np.ones(len(texts)), _summary(marginals(score[codes], opens, start, moves), first)])[held]
+    cuts = np.ones(len(padded), bool)  # fillers stand alone
+    cuts[WINDOW : WINDOW + len(codes)] = opens
+    places = centres[:, None] + np.arange(-WINDOW, WINDOW + 1)
+    weight, start, moves = _fit_field(padded[places], tagged[places], cuts[places], uses, mask, len(number))
+    score = (weight[uses] * mask).sum(axis=1)
+    held = np.arange(2, len(texts), 3)
+    x = np.ones((len(held), 3))
+    for row, i in enumerate(held.tolist()):
+        own = slice(first[i], first[i + 1])
+        x[row, 1:] = _summary(marginals(score[codes[own]], opens[own], start, moves), np.array([0, first[i + 1] - first[i]]))
     y, w = labels[held], np.zeros(3)
     for _ in range(50):  # Newton steps of a ridge logistic regression
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -257,13 +291,19 @@ def fit(texts: list[str], labels: np.ndarray) -> dict:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> dict:
     """Fit the model on a bounded sample of the documents with labels that are not held out.
 
-    Of each class, the ids with the smallest hashes. Labels other than 0 and 1 and null ids are left out; an id with
-    several labels counts as toxic if one is. Without labels the model scores every text alike.
+    Of each class, the ids with the smallest hashes: SAMPLE_TOXIC and SAMPLE_CLEAN of them at most, and no more once
+    they have SAMPLE_CHARS characters, whatever the length of each. Labels other than 0 and 1 and null ids are left out;
+    an id with several labels counts as toxic if one is; of an id with several texts, the first in order is taken.
+    Without labels the model scores every text alike.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = kept(usable.where("y = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(usable.where("y = 0").orderBy(*order).limit(SAMPLE_CLEAN)), "sample")
-    sample = doc_text(docs).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").withColumn("grp", F.lit(0))
+    texts = doc_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    texts = kept(texts.withColumn("n", F.length("text")), "sample")
+    before = F.sum("n").over(Window.partitionBy("y").orderBy(*order)) - F.col("n")  # over the sample's lengths only
+    fitting = texts.select("doc_id", "y", "n").select("doc_id", before.alias("before")).where(F.col("before") < SAMPLE_CHARS).select("doc_id")
+    sample = texts.join(F.broadcast(fitting), "doc_id", "left_semi").withColumn("grp", F.lit(0))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
