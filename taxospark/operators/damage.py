@@ -12,24 +12,48 @@ from pyspark.sql import functions as F
 from ..functions.ids import draw
 from ..model import ABSTRACT, EXTENSION, RELATIONS, Graph, Relations
 from ..plans.closure import betweenness
+from ..storage import kept
 
 KEY = ("src", "dst", "relation")
 ARMS = {"E-HX": "has_extension", "E-SO": "superset_of", "E-HE": "has_element"}
 
 
 def sample_k(rows: DataFrame, rho: float | Column, seed, on: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """Of each group the k rows with the smallest draws. Group sizes come from an aggregation, ranks from a window for
-    each group; without groups the first k are taken without a window."""
+    """Of each group the k rows with the smallest draws.
+
+    Draws fall into 65,536 bins by their first 16 bits. Whole bins below the one that holds the k-th draw are taken as
+    they are; only the rows of that bin are ranked, so no task sorts a group.
+    """
     share = rho if isinstance(rho, Column) else F.lit(float(rho))
     seeds = seed if isinstance(seed, (list, tuple)) else [seed]
-    drawn = rows.withColumn("_draw", draw(*seeds, *(F.col(c) for c in on)))
-    if not by:
-        k = rows.agg(F.least(F.bround(share * F.count("*")), F.count("*")).cast("int").alias("k")).first()["k"]
-        return drawn.orderBy("_draw", *on).limit(k).drop("_draw")
-    w = Window.partitionBy(*by).orderBy("_draw", *on)
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    ranked = drawn.withColumn("_rank", F.row_number().over(w)).join(sizes, list(by))
-    return ranked.where(F.col("_rank") <= F.bround(share * F.col("_n"))).drop("_draw", "_rank", "_n")
+    drawn = rows.withColumn("_draw", draw(*seeds, *(F.col(c) for c in on))).withColumn("_bin", F.conv(F.substring("_draw", 1, 4), 16, 10).cast("int"))
+    bins = drawn.withColumn("_share", share).groupBy(*by, "_bin").agg(F.count("*").alias("_n"), F.max("_share").alias("_share"))
+    w = Window.partitionBy(*by)  # over at most 65,536 rows of a group
+    bins = bins.withColumns({"_to": F.sum("_n").over(w.orderBy("_bin")), "_all": F.sum("_n").over(w)})
+    k = F.least(F.bround(F.col("_share") * F.col("_all")), F.col("_all")).cast("long")
+    cut = bins.where(F.col("_to") >= k).groupBy(*by).agg(F.min(F.struct(F.col("_bin").alias("bin"), (k - F.col("_to") + F.col("_n")).alias("rest"))).alias("_cut"))
+    if by:
+        drawn = drawn.join(cut, list(by))
+    else:
+        found = cut.first()  # one row: an aggregation without groups
+        last, rest = (found["_cut"]["bin"], found["_cut"]["rest"]) if found and found["_cut"] else (0, 0)
+        drawn = drawn.withColumn("_cut", F.struct(F.lit(last).alias("bin"), F.lit(rest).alias("rest")))
+    sure = drawn.where(F.col("_bin") < F.col("_cut.bin"))
+    edge = drawn.where(F.col("_bin") == F.col("_cut.bin"))
+    edge = edge.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_draw", *on))).where(F.col("_rank") <= F.col("_cut.rest"))
+    return sure.select(*rows.columns).unionByName(edge.select(*rows.columns))
+
+
+def ranked(rows: DataFrame, *order: Column | str, per: int = 1_000_000) -> DataFrame:
+    """rows with a dense number from 0 on in a global order that no two rows share. The numbers come from the sizes of
+    ranges of some `per` rows, so no task holds more than one range."""
+    rows = kept(rows, "rows")
+    ranged = rows.repartitionByRange(max(1, rows.count() // per), *order).withColumn("_p", F.spark_partition_id())
+    # Written: a second evaluation could sample other ranges.
+    own = kept(ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order))), "ranked")
+    sizes = own.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each range
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return own.join(before, "_p").select(*rows.columns, (F.col("_before") + F.col("_i") - 1).alias("number"))
 
 
 def corrupt(graph: Graph, arm: str, rho: float, seed: int, policy: str = "UNIF", guidance_removal: float = 0.0, distractor: float = 0.0, rewire: float = 0.0, rel: Relations = RELATIONS) -> tuple[Graph, DataFrame, DataFrame]:
@@ -76,20 +100,14 @@ def targeted(superset: DataFrame, rho: float) -> DataFrame:
     """The top k edges by betweenness, ties by edge."""
     scores = betweenness(superset)
     k = superset.agg(F.bround(F.lit(float(rho)) * F.count("*")).cast("int")).first()[0]
-    top = scores.orderBy(F.bround("score", 12).desc(), "src", "dst").limit(k)
+    top = ranked(scores, F.bround("score", 12).desc(), "src", "dst").where(F.col("number") < k)
     return superset.join(top.select("src", "dst"), ["src", "dst"], "left_semi").select(*KEY)
 
 
 def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """Abstract nodes with a dense number each in order of id, and how many there are. The order is global, the numbers
-    come from partition counts, so no task holds more than one range."""
+    """Abstract nodes with a dense number each in order of id, and how many there are."""
     ids = nodes.where(F.col("kind") == ABSTRACT).select("id").distinct()
-    n = ids.count()
-    ranged = ids.repartitionByRange(max(1, n // 1_000_000), "id").sortWithinPartitions("id").withColumn("_p", F.spark_partition_id())
-    own = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("id")))
-    sizes = own.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each partition
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return own.join(before, "_p").select("id", (F.col("_before") + F.col("_i") - 1).alias("number")), n
+    return ranked(ids, "id"), ids.count()
 
 
 def _number(n: int, *parts) -> Column:
@@ -106,7 +124,7 @@ def distractors(graph: Graph, rate: float, seed: int, rel: Relations = RELATIONS
     picks = graph.nodes.sparkSession.range(tries * wanted + 16 if n > 1 else 0).select(F.col("id").alias("attempt"), _number(n, seed, "a", F.col("id")).alias("i"), _number(n, seed, "b", F.col("id")).alias("j")).where("i <> j")
     named = picks.join(numbered.select(F.col("number").alias("i"), F.col("id").alias("src")), "i").join(numbered.select(F.col("number").alias("j"), F.col("id").alias("dst")), "j")
     fresh = named.join(graph.edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("attempt").alias("attempt"))
-    return fresh.orderBy("attempt").limit(wanted).select("src", "dst", F.lit(rel.sub_class_of).alias("relation"))
+    return ranked(fresh, "attempt").where(F.col("number") < wanted).select("src", "dst", F.lit(rel.sub_class_of).alias("relation"))
 
 
 def rewired(graph: Graph, rate: float, seed: int, rel: Relations = RELATIONS, tries: int = 8) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from . import damage
 from .damage import KEY, flat_preimage, sample_k
 from .metrics import Oracle, closure_quality, edge_quality, edge_recall, freeze_oracle, ratio, recoverable
 from .repair import apply, corroboration_scorer, gate, prior_scorer, proposals
+from .stats import mean_ci
 from .threads import entries, expected_from_flat, validate
 
 BY = ("trial",)
@@ -165,3 +166,14 @@ def fidelity(grid: DataFrame, theta: float = 0.75) -> DataFrame:
     return grid.where(F.col("theta") == theta).groupBy("dataset", "confidence", "rewire").agg(F.avg("edge_precision").alias("edge_precision"), F.avg("hallucination").alias("hallucination"))
 
 
+def fidelity_surface(grid: DataFrame) -> DataFrame:
+    """The same for every theta of the grid: hallucination and precision by (dataset, scorer, rewire rate, theta)."""
+    return grid.groupBy("dataset", "confidence", "rewire", "theta").agg(F.avg("edge_precision").alias("edge_precision"), F.avg("hallucination").alias("hallucination"))
+
+
+def coverage_series(grid: DataFrame) -> DataFrame:
+    """(dataset, arm, rho, series, n, mean, half): coverage of the damaged, repaired and single-node graph by rho, with a
+    normal 95 % interval over seeds."""
+    series = [c for c in ("cov_corrupt", "cov_repair", "cov_single") if c in grid.columns]
+    by = [c for c in ("dataset", "arm", "rho") if c in grid.columns]
+    return mean_ci(grid.unpivot(by, series, "series", "value"), "value", (*by, "series"))

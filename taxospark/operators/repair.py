@@ -63,12 +63,12 @@ def proposals(graph: Graph, report: DataFrame, rel: Relations = RELATIONS, drop_
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     heads = paths.select(*by, F.col("dst").alias("concept")).distinct()
     heads = side(side(heads, "concept", abstract_id, "u"), "concept", extension_id, "v")
-    first = heads.select(*by, F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(rel.has_extension).alias("relation"), F.lit(PRIOR["hasExtension"]).alias("base_confidence"), F.format_string("hasExtension structurally implied for '%s'", "concept").alias("reason"), *none("parent_concept", "child_concept"), F.col("concept"), *none("leaf_concept", "instance"))
+    first = heads.select(*by, F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(rel.has_extension).alias("relation"), F.lit(PRIOR["hasExtension"]).alias("base_confidence"), F.format_string("%s should have an extension node of its own", "concept").alias("reason"), *none("parent_concept", "child_concept"), F.col("concept"), *none("leaf_concept", "instance"))
     steps = paths.where(F.size("path") > 1).select(*by, F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("child"), F.element_at("path", i + 1).alias("parent")))).alias("s")).select(*by, "s.child", "s.parent").distinct()
     steps = side(side(steps, "parent", extension_id, "u"), "child", extension_id, "v")
-    middle = steps.select(*by, F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(rel.superset_of).alias("relation"), F.lit(PRIOR["supersetOf"]).alias("base_confidence"), F.format_string("supersetOf attested by taxonomy: %s -> %s", "parent", "child").alias("reason"), F.col("parent").alias("parent_concept"), F.col("child").alias("child_concept"), *none("concept", "leaf_concept", "instance"))
+    middle = steps.select(*by, F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(rel.superset_of).alias("relation"), F.lit(PRIOR["supersetOf"]).alias("base_confidence"), F.format_string("the taxonomy places %2$s below %1$s", "parent", "child").alias("reason"), F.col("parent").alias("parent_concept"), F.col("child").alias("child_concept"), *none("concept", "leaf_concept", "instance"))
     ends = side(routes.select(*by, "leaf", "instance").distinct(), "leaf", extension_id, "u")
-    last = ends.select(*by, F.col("u").alias("src"), F.col("instance").alias("dst"), F.lit(rel.has_element).alias("relation"), F.lit(PRIOR["hasElement"]).alias("base_confidence"), F.format_string("hasElement would assert NEW membership: %s -> %s", "leaf", "instance").alias("reason"), *none("parent_concept", "child_concept", "concept"), F.col("leaf").alias("leaf_concept"), F.col("instance"))
+    last = ends.select(*by, F.col("u").alias("src"), F.col("instance").alias("dst"), F.lit(rel.has_element).alias("relation"), F.lit(PRIOR["hasElement"]).alias("base_confidence"), F.format_string("new member of %s: %s", "leaf", "instance").alias("reason"), *none("parent_concept", "child_concept", "concept"), F.col("leaf").alias("leaf_concept"), F.col("instance"))
     found = first.unionByName(middle).unionByName(last)
     for end in ("src", "dst"):
         found = found.join(ids.select(*by, F.col("id").alias(end)), [*by, end], "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _PC = "'pc:' || p_type || '|' || p_brand"
 GEO = """
 tax AS (SELECT 'nation:' || n_nationkey AS child, 'region:' || n_regionkey AS parent FROM nation
@@ -88,6 +90,14 @@ pts AS MATERIALIZED (SELECT dataset, theta, round_even(avg(r), 4) AS recall, rou
 _APPLIED = "app AS (SELECT src, dst, relation FROM prop WHERE base_confidence >= {theta})"
 
 
+#: The graph with what is proposed at 0.75 or more, its threads and its report.
+REPAIRED = (PATHS, PROPOSE, _APPLIED.format(theta=0.75), "e_2 AS MATERIALIZED (SELECT * FROM e UNION SELECT * FROM app)", re.sub(r"\b(txo|clo|own|exp|down|reach|thr)\b", r"\1_2", re.sub(r"\be(?=\.| )", "e_2", WALKS)),
+    "rep_2 AS (SELECT x.instance, x.concept, t.instance IS NOT NULL AS is_valid FROM exp_2 x LEFT JOIN thr_2 t USING (instance, concept))")
+#: Abstract nodes numbered by id; a drawn number below their count.
+NUMBERED = "numbered AS (SELECT 'abstract:' || c AS id, row_number() OVER (ORDER BY 'abstract:' || c) - 1 AS number, count(*) OVER () AS n FROM con)"
+_NUMBER = "('0x' || substr(md5(concat_ws('|', {parts})), 1, 12))::BIGINT % (SELECT max(n) FROM numbered)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "expand_edges": q(PRODUCT, DUAL, "SELECT DISTINCT src, dst, relation FROM dual"),
@@ -111,7 +121,9 @@ def oracle_sql() -> dict[str, str]:
             (SELECT count(DISTINCT instance) FROM inst) AS n_instances, count_if(is_valid)::DOUBLE / count(*) AS coverage, count_if(is_valid)::DOUBLE / (SELECT count(DISTINCT instance) FROM inst) AS avg_valid FROM rep"""),
         "flat_direct": q(GEO, "SELECT instance FROM inst WHERE concept = 'nation:3'"),
         "flat_transitive": q(GEO, FROZEN, "SELECT instance FROM frozen WHERE concept = 'region:1'"),
-        "query_comparison": q(GEO, FROZEN, "SELECT instance, false AS direct, true AS transitive, true AS threaded, true AS missed_by_direct FROM frozen WHERE concept = 'region:1'"),
+        "query_comparison": q(GEO, DUAL, FROZEN, WHOLE, WALKS, "d AS (SELECT instance FROM inst WHERE concept = 'region:1'), f AS (SELECT instance FROM frozen WHERE concept = 'region:1'), t AS (SELECT instance FROM thr WHERE concept = 'region:1')",
+            "x AS (SELECT instance, instance IN (SELECT instance FROM d) AS direct, instance IN (SELECT instance FROM f) AS transitive, instance IN (SELECT instance FROM t) AS threaded FROM (SELECT * FROM d UNION SELECT * FROM f UNION SELECT * FROM t))",
+            "SELECT *, transitive AND NOT direct AS missed_by_direct FROM x"),
         "graph_summary": q(PRODUCT, DUAL, "SELECT 'relation' AS what, relation AS name, count(*) AS n FROM dual GROUP BY 2 UNION ALL SELECT 'kind', k, n FROM (SELECT unnest(['abstract', 'extension']) AS k, (SELECT count(*) FROM con) AS n) UNION ALL SELECT 'kind', 'instance', count(DISTINCT instance) FROM inst"),
         "redundancy": q(PRODUCT, FROZEN, "h AS (SELECT DISTINCT t.child, k.a, t.parent AS nb FROM tax t JOIN (SELECT d, a FROM fclo UNION SELECT parent, parent FROM tax) k ON k.d = t.parent WHERE k.a <> t.child)",
             "n AS (SELECT count(*) AS n FROM h GROUP BY child, a)", "SELECT count(*) AS n_pairs, count_if(n > 1)::BIGINT AS n_redundant, count_if(n > 1)::DOUBLE / count(*) AS redundancy FROM n"),
@@ -121,6 +133,21 @@ def oracle_sql() -> dict[str, str]:
         "node_removal": q(PRODUCT, DUAL, "x AS (SELECT id FROM (SELECT 'extension:' || c AS id, row_number() OVER (ORDER BY md5(concat_ws('|', '7', 'extension:' || c)), c) AS r, count(*) OVER () AS n FROM con) WHERE r <= round_even(0.2 * n, 0))",
             "SELECT DISTINCT src, dst, relation FROM dual WHERE src IN (SELECT id FROM x) OR dst IN (SELECT id FROM x)"),
         "guidance_removal": q(PRODUCT, DUAL, removed("relation = 'hasExtension'", 0.1), removed("relation = 'subClassOf'", 0.3, "'7g'").replace("removed AS", "cut AS").replace("EXCEPT SELECT * FROM removed", "EXCEPT SELECT * FROM cut").replace("\ne AS", "\ne2 AS"), "SELECT * FROM removed UNION ALL SELECT * FROM cut"),
+        "distractors": q(PRODUCT, DUAL, removed("relation = 'hasExtension'", 0.1), NUMBERED, "w AS (SELECT round_even(0.2 * greatest(count(*), 1), 0)::BIGINT AS n FROM e WHERE relation = 'subClassOf')",
+            f"a AS (SELECT i AS attempt, {_NUMBER.format(parts="'7', 'a', i")} AS x, {_NUMBER.format(parts="'7', 'b', i")} AS y FROM w, range(0, 4 * w.n + 16) r(i))",
+            "f AS (SELECT p.id AS src, q.id AS dst, min(attempt) AS attempt FROM a JOIN numbered p ON p.number = x JOIN numbered q ON q.number = y WHERE x <> y AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = p.id AND e.dst = q.id) GROUP BY 1, 2)",
+            "SELECT src, dst, 'subClassOf' AS relation FROM (SELECT *, row_number() OVER (ORDER BY attempt) AS r FROM f) WHERE r <= (SELECT n FROM w)"),
+        "rewire": q(PRODUCT, DUAL, removed("relation = 'hasExtension'", 0.1), NUMBERED,
+            "cut AS MATERIALIZED (SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '7w', src, dst, relation)), src, dst, relation) AS r, count(*) OVER () AS n FROM e WHERE relation = 'subClassOf') WHERE r <= round_even(0.3 * n, 0))",
+            f"a AS (SELECT src, dst, i, {_NUMBER.format(parts="'7', 'to', src, dst, i")} AS x FROM cut, range(0, 8) r(i))",
+            "g AS (SELECT a.src, a.dst, first(p.id ORDER BY i) AS target FROM a JOIN numbered p ON p.number = x WHERE p.id <> a.src AND p.id <> a.dst AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = a.src AND e.dst = p.id) GROUP BY 1, 2)",
+            "SELECT DISTINCT src, target AS dst, 'subClassOf' AS relation FROM g"),
+        "targeted_spine": q(PRODUCT, DUAL, "so AS (SELECT DISTINCT src, dst FROM dual WHERE relation = 'supersetOf')", "ids AS (SELECT src AS id FROM so UNION SELECT dst FROM so)",
+            "walk(s, t, d, via) AS (SELECT id, id, 0, [id] FROM ids UNION ALL SELECT w.s, so.dst, w.d + 1, list_append(w.via, so.dst) FROM walk w JOIN so ON so.src = w.t)",
+            "near AS MATERIALIZED (SELECT * FROM (SELECT *, min(d) OVER (PARTITION BY s, t) AS low, FROM walk) WHERE d = low AND d > 0)", "many AS (SELECT s, t, count(*) AS n FROM near GROUP BY 1, 2)",
+            "over AS (SELECT via[i] AS src, via[i + 1] AS dst, 1.0::DOUBLE / m.n AS part FROM near JOIN many m USING (s, t), range(1, 10) r(i) WHERE i <= near.d)",
+            "score AS (SELECT src, dst, sum(part) / ((SELECT count(*) FROM ids) * ((SELECT count(*) FROM ids) - 1))::DOUBLE AS score FROM over GROUP BY 1, 2)",
+            "SELECT src, dst, 'supersetOf' AS relation FROM (SELECT *, row_number() OVER (ORDER BY round_even(score, 12) DESC, src, dst) AS r FROM score) WHERE r <= round_even(0.1 * (SELECT count(*) FROM so), 0)"),
         "holdout": q(PRODUCT, FROZEN, "SELECT instance, concept, row_number() OVER (ORDER BY md5(concat_ws('|', '7', instance, concept)), instance, concept) <= round_even(0.3 * count(*) OVER (), 0) AS held FROM frozen"),
         "flat_preimage": q(PRODUCT, DUAL, removed(MIX, 0.2), f"SELECT DISTINCT {_NAME.format(x='dst')} AS src, {_NAME.format(x='src')} AS dst, CASE relation WHEN 'hasElement' THEN 'instanceOf' ELSE 'subClassOf' END AS relation FROM removed WHERE relation <> 'hasExtension'"),
         "single_node_valid": q(PRODUCT, DUAL, FROZEN, removed(MIX, 0.2), f"gone AS (SELECT {_NAME.format(x='dst')} AS a, {_NAME.format(x='src')} AS b FROM removed WHERE relation <> 'hasExtension')",
@@ -130,9 +157,10 @@ def oracle_sql() -> dict[str, str]:
         "repair_proposals": q(*broken(MIX), PATHS, PROPOSE, "SELECT src, dst, relation, base_confidence FROM prop"),
         "repair_applied": q(*broken(MIX), PATHS, PROPOSE, "r AS (SELECT *, row_number() OVER (ORDER BY base_confidence DESC, src, dst, relation) AS n FROM prop)",
             "SELECT src, dst, relation, base_confidence AS confidence, base_confidence >= 0.75 AND n <= 20 AS applied, CASE WHEN base_confidence < 0.75 THEN 'confidence 0.55 < min_confidence 0.75' WHEN n > 20 THEN 'max_new_edges cap (20) reached' END AS skip_reason FROM r"),
-        "enforcement_delta": q(*broken(expected="exp"), """SELECT count_if(is_valid)::DOUBLE / count(*) AS coverage_before, count_if(NOT is_valid)::BIGINT AS n_broken_before, count_if(is_valid)::BIGINT AS n_valid_before,
-            1.0::DOUBLE AS coverage_after, 0::BIGINT AS n_broken_after, count(*) AS n_valid_after, 1.0::DOUBLE - count_if(is_valid)::DOUBLE / count(*) AS coverage_gain, count_if(NOT is_valid)::BIGINT AS repaired_pairs FROM rep"""),
-        "newly_valid": q(*broken(expected="exp"), "SELECT instance, concept, instance || '~' || concept AS label FROM rep WHERE NOT is_valid"),
+        "enforcement_delta": q(*broken(expected="exp"), *REPAIRED, """b AS (SELECT count_if(is_valid)::DOUBLE / count(*) AS c, count_if(NOT is_valid)::BIGINT AS n, count_if(is_valid)::BIGINT AS v FROM rep),
+            a AS (SELECT count_if(is_valid)::DOUBLE / count(*) AS c, count_if(NOT is_valid)::BIGINT AS n, count_if(is_valid)::BIGINT AS v FROM rep_2)""",
+            "SELECT b.c AS coverage_before, b.n AS n_broken_before, b.v AS n_valid_before, a.c AS coverage_after, a.n AS n_broken_after, a.v AS n_valid_after, a.c - b.c AS coverage_gain, a.v - b.v AS repaired_pairs FROM a, b"),
+        "newly_valid": q(*broken(expected="exp"), *REPAIRED, "SELECT instance, concept, instance || '~' || concept AS label FROM (SELECT instance, concept FROM rep_2 WHERE is_valid EXCEPT SELECT instance, concept FROM rep WHERE is_valid)"),
         "edge_quality": q(*broken(MIX), PATHS, PROPOSE, _APPLIED.format(theta=0.5), "t AS (SELECT count(*) AS n, (SELECT count(*) FROM app SEMI JOIN dual USING (src, dst, relation)) AS k FROM app)",
             "SELECT n AS n_added, k AS n_true, k::DOUBLE / n AS edge_precision, 1 - k::DOUBLE / n AS hallucination FROM t"),
         "closure_quality": q(*broken(MIX), PATHS, PROPOSE, _APPLIED.format(theta=0.5), f"""t AS (SELECT count(*) AS n, count_if(CASE relation WHEN 'supersetOf' THEN EXISTS (SELECT 1 FROM fclo WHERE d = {_NAME.format(x='dst')} AND a = {_NAME.format(x='src')})
