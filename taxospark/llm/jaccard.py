@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import blocks, doc_text, kept
 
 #: Counters of the n-gram count table: its size does not grow with the data.
-TABLE = 1 << 18
+TABLE = 1 << 20
 #: An n-gram is hot if its counter exceeds this and a multiple of the mean counter; hot ones surely belong to several
 #: groups and are not gathered to find out.
 HOT, HOT_TIMES = 10_000, 8
@@ -43,8 +43,8 @@ _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _PLACE = np.uint64(0xFFFF)
 #: Bytes from which a word is hashed by itself.
 LONG_WORD = 256
-#: Partners that meet one copy of a class's set, and bytes of sets that a task hands on at a time.
-FAN, BATCH_BYTES = 512, 8_000_000
+#: Partners that meet one copy of a class's text.
+FAN = 512
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -95,43 +95,55 @@ def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) & (TABLE - 1)
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def count_table(docs: DataFrame, n: int, rows: int = 16) -> np.ndarray:
-    """How many documents' n-grams fall on each of TABLE counters: over all documents, summed in two steps."""
-    width = TABLE // rows
+def _slot(h: np.ndarray, counters: int = TABLE) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) & (counters - 1)
+
+
+def count_table(docs: DataFrame, n: int, counters: int = TABLE, rows: int = 16) -> np.ndarray:
+    """How many documents' n-grams fall on each of the counters (a power of 2): over all documents, summed in two steps."""
+    width = counters // rows
+
+    def packed(x: np.ndarray) -> bytes:
+        """In as few bytes a counter as the largest needs."""
+        return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+
+    def unpacked(raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, f"u{len(raw) // width}").astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TABLE, np.int64)
+        total = np.zeros(counters, np.int64)
         for batch in batches:
             for _, texts in blocks(batch.column(0), batch.column(1)):
-                total += np.bincount(_slot(np.concatenate(list(shingle_sets(texts, n)))), minlength=TABLE)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(rows), pa.int32()), "counts": pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(rows)], pa.binary())})
+                total += np.bincount(_slot(np.concatenate(list(shingle_sets(texts, n))), counters), minlength=counters)
+        parts = [total[i * width : (i + 1) * width] for i in range(rows)]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(rows), pa.int32()), "counts": pa.array([packed(x) for x in parts], pa.binary())})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.int64)
         for c in pdf["counts"]:
-            total += np.frombuffer(c, np.int64)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1].to_numpy(), "salt": [0], "counts": [total.tobytes()]})
+            total += unpacked(c)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1].to_numpy(), "salt": [0], "counts": [packed(total)]})
 
     parts = docs.mapInArrow(count, "part int, counts binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
     for keys in (["part", "salt"], ["part"]):
         parts = parts.groupBy(*keys).applyInPandas(add, "part int, salt int, counts binary")
-    out = np.zeros(TABLE, np.int64)
-    for r in parts.collect():  # TABLE counters, whatever the input
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(bytes(r["counts"]), np.int64)
+    out = np.zeros(counters, np.int64)
+    for r in parts.collect():  # the counters, whatever the input
+        out[r["part"] * width : (r["part"] + 1) * width] = unpacked(bytes(r["counts"]))
     return out
 
 
-def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, n: int, percent: int, counters: int = TABLE) -> DataFrame:
     """doc_id, size, set_id, grp (a hash of size and prefix), prefix, cold (how many of the prefix are not hot, in front).
 
     An entry of the prefix holds 48 bits of the n-gram's hash (more n-grams that fall together only give more pairs to
     verify) and in the lowest 16 its place in the prefix (or 65535, as places only rule pairs out).
     """
-    table = count_table(docs, n)
+    table = count_table(docs, n, counters)
     sent = docs.sparkSession.sparkContext.broadcast(table)
     hot = max(HOT, HOT_TIMES * int(table.mean()))
 
@@ -143,10 +155,10 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 for s in shingle_sets(texts, n):
                     size = len(s)
                     length = size - -(-percent * size // 100) + 1 if size else 0
-                    counts = known[_slot(s)]
+                    counts = known[_slot(s, counters)]
                     order = np.lexsort((s, counts))[:length]
                     sizes.append(size)
-                    sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    sets.append(_digest(s))
                     groups.append(int.from_bytes(hashlib.blake2b(s[order].tobytes(), digest_size=8, key=str(size).encode()).digest(), "little", signed=True))
                     firsts.append(((s[order] & ~_PLACE) | np.minimum(np.arange(length, dtype=np.uint64), _PLACE)).astype(np.int64))
                     cold.append(int(np.searchsorted(counts[order], hot, side="right")))
@@ -163,20 +175,25 @@ def _overlaps(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _similar(percent: int):
-    """Pairs (a, b) that reach the threshold, from rows (key, salt, doc_id, set) in which a's own set comes first."""
+def _similar(n: int, percent: int):
+    """Pairs (a, b) that reach the threshold, from rows (key, salt, doc_id, text, set_id) in which a's own text comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = own = None
         for batch in batches:
-            a, b = [], []
-            for key, salt, doc, s in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
-                s = np.frombuffer(s.as_buffer(), np.uint64)
-                if key == doc:
-                    head, own = (key, salt), s.copy()
-                elif head == (key, salt) and _overlaps(own, s, percent):
-                    a.append(key)
-                    b.append(doc)
+            keys, salts, names = (batch.column(k).to_pylist() for k in (0, 1, 4))
+            at, a, b = 0, [], []
+            for docs, texts in blocks(batch.column(2), batch.column(3)):
+                for doc, s in zip(docs, shingle_sets(texts, n)):
+                    key, salt, name = keys[at], salts[at], names[at]
+                    at += 1
+                    if _digest(s) != name:
+                        continue  # another text under the same id
+                    if key == doc:
+                        head, own = (key, salt), s
+                    elif head == (key, salt) and _overlaps(own, s, percent):
+                        a.append(key)
+                        b.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -185,43 +202,17 @@ def _similar(percent: int):
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class ids whose whole sets reach the threshold.
 
-    A class's set is made from the text of the document that names it and travels once to each of its partners a; a's
-    own goes along, once for each FAN partners, so that no task has to take all partners of one class. Sorted, a's set
-    comes before its partners', and the comparison holds one set at a time.
+    A class's text, which is smaller than its set, travels once to each of its partners a; a's own goes along, once for
+    each FAN partners, so that no task has to take all partners of one class. Sorted, a's text comes before its
+    partners', and the comparison holds one set and one batch at a time.
     """
     fans = pairs.groupBy("a").agg((F.floor(F.count("*") / FAN).cast("int") + 1).alias("salts"))
     others = pairs.join(fans, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
     owners = fans.select(F.col("a").alias("doc_id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    needed = others.unionByName(owners).groupBy("doc_id").agg(F.collect_list(F.struct("key", "salt")).alias("keys"))
-    needed = kept(needed.join(classes.select(F.col("class").alias("doc_id"), "set_id"), "doc_id"), "needed")
-    found = docs.join(F.broadcast(needed) if pairs.count() <= BROADCAST_IDS else needed, "doc_id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["key", "salt", "doc_id", "set"])
-
-        for batch in batches:
-            keys, names = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            at = 0
-            for ids, texts in blocks(batch.column(0), batch.column(1)):
-                for i, s, own, name in zip(ids, shingle_sets(texts, n), keys[at : at + len(ids)], names[at : at + len(ids)]):
-                    s = s.tobytes()
-                    if hashlib.blake2b(s, digest_size=16).digest() != name:
-                        continue  # another text under the same id
-                    for k in own:
-                        rows.append((k["key"], k["salt"], i, s))
-                        size += len(s)
-                        if size > BATCH_BYTES:
-                            yield made()
-                            rows, size = [], 0
-                at += len(ids)
-        yield made()
-
-    sent = found.select("doc_id", "text", "keys", "set_id").mapInArrow(sets, "key long, salt int, doc_id long, set binary")
-    sent = sent.repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("doc_id") != F.col("key"))
-    return sent.mapInArrow(_similar(percent), "a long, b long").distinct()
+    needed = kept(others.unionByName(owners).join(classes.select(F.col("class").alias("doc_id"), "set_id"), "doc_id"), "needed")
+    found = docs.join(F.broadcast(needed) if pairs.count() <= BROADCAST_IDS else needed, "doc_id").select("key", "salt", "doc_id", "text", "set_id")
+    sent = found.repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("doc_id") != F.col("key"))
+    return sent.mapInArrow(_similar(n, percent), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -248,7 +239,7 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", counters: int = TABLE) -> DataFrame:
     """Per document: n_shingles (the size of its set), component_id (the smallest id reachable by links).
 
     Two documents link when 100 * |intersection| >= percent * |union|. A document without words is linked with nothing,
@@ -257,7 +248,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     table gives an empty result; further columns are ignored.
     """
     source = doc_text(docs, id_col, text_col)
-    made = kept(prefixes(source, n, percent), "prefixes")
+    made = kept(prefixes(source, n, percent, counters), "prefixes")
     named = made.where((F.col("size") > 0) & F.col("doc_id").isNotNull())
     single = named.groupBy("doc_id").agg(F.min(F.struct("set_id", "size", "grp")).alias("m"))
     single = kept(single.select("doc_id", "m.set_id", "m.size", "m.grp"), "single")
