@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import kept, shared_dir  # noqa: F401 (kept is used by the operators from here)
+
 #: Bytes of text that a vectorised step holds as arrays at a time.
 BLOCK_BYTES = 4_000_000
 
@@ -18,32 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only where the setting is empty (tests, local runs) a new temporary folder is set.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_dir, "local", None)
-        if base is None:
-            base = shared_dir.local = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(base)
-    return base
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it again: a cut in the lineage that survives lost executors."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def fenced(df: DataFrame, *columns) -> DataFrame:

@@ -36,6 +36,8 @@ BATCH_BYTES = 4 << 20
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file:"):  # with one slash or three
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
