@@ -66,9 +66,13 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return flat_graph(geo_taxonomy(spark, sf_dir).unionByName(product_taxonomy(spark, sf_dir)), line_items(spark, sf_dir))
 
 
+#: The host of a URL: behind any scheme and user, up to a port, path, query or fragment.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+
+
 def host_taxonomy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """host -> parent domain -> ... -> top level from page URLs, and pages as members of their host."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#:]+)", 1).alias("host")).where("host <> ''")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", HOST, 1)).alias("host")).where("host <> ''")
     parts_ = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts_)), lambda i: F.array_join(F.slice(parts_, i, F.size(parts_)), "."))
     chain = pages.select("host").distinct().select(tails.alias("t"))

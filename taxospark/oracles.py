@@ -108,7 +108,7 @@ def oracle_sql() -> dict[str, str]:
             UNION SELECT concept, instance, 'hasElement' FROM inst"""),
         "dual_pairs": q(PRODUCT, DUAL, "SELECT c AS concept, 'abstract:' || c AS abstract, 'extension:' || c AS extension FROM con"),
         "taxonomy_closure": q(PRODUCT, FROZEN, "SELECT d AS src, a AS dst FROM fclo WHERE d <> a"),
-        "host_closure": q("h AS (SELECT DISTINCT string_split(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '.') AS t FROM pages WHERE url LIKE '%://%')",
+        "host_closure": q("h AS (SELECT DISTINCT string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.') AS t FROM pages WHERE url LIKE '%://%')",
             "p AS (SELECT unnest(list_transform(range(1, len(t)), lambda i: {'c': array_to_string(t[i:], '.'), 'p': array_to_string(t[i+1:], '.')})) AS s FROM h)",
             "tax AS (SELECT DISTINCT s.c AS child, s.p AS parent FROM p)",
             "k(d, a) AS (SELECT child, parent FROM tax UNION SELECT k.d, tax.parent FROM k JOIN tax ON tax.child = k.a)", "SELECT d AS src, a AS dst FROM k WHERE d <> a"),

@@ -11,10 +11,12 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir as the session has it; a temporary folder only where it is unset in a local session (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return _local[0]
