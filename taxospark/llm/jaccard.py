@@ -6,7 +6,7 @@ of fixed size over hashed n-grams, rarest first, so that passages that many docu
 
 1. Documents with equal sets form a class; classes with equal prefix and size form a group with one list of prefix
    n-grams. n-grams of one group only are dropped; the classes of a group meet by the group's own number.
-2. Group pairs are filtered bucket by bucket (the groups that share a prefix n-gram), then expanded to classes: in
+2. Bitmaps of the sets rule out most pairs that cannot reach the threshold before any text is sent. Group pairs are filtered bucket by bucket (the groups that share a prefix n-gram), then expanded to classes: in
    each round every class meets one leader of its buckets (first the class of most copies, then one by lot) that is in
    another component, and the pair is verified on whole sets. A round has as many pairs as classes at most.
 3. When rounds find no more, only classes of different components that still share a bucket meet pair by pair, so no
@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, doc_text, kept
@@ -45,6 +45,8 @@ _PLACE = np.uint64(0xFFFF)
 LONG_WORD = 256
 #: Partners that meet one copy of a class's text.
 FAN = 512
+#: Numbers of 64 bits in a set's bitmap: bit h of it is set if an n-gram hashes to h.
+BITMAP = 16
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -95,6 +97,21 @@ def shingle_sets(texts: list[str], n: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[s & np.uint64(64 * BITMAP - 1)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def may_overlap(x: str, y: str, percent: int) -> Column:
+    """Whether two sets (structs with size and bits) can reach the threshold: a bit of one's bitmap that the other lacks
+    stands for at least one n-gram that the other lacks. Never false for sets that do."""
+    a, b = F.col(f"{x}.bits"), F.col(f"{y}.bits")
+    lacks = lambda p, q: sum((F.bit_count(p[k].bitwiseAND(F.bitwise_not(q[k]))) for k in range(BITMAP)), F.lit(0))
+    s, t = F.col(f"{x}.size"), F.col(f"{y}.size")
+    return (100 + percent) * F.least(s - lacks(a, b), t - lacks(b, a)) >= percent * (s + t)
+
+
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -138,7 +155,7 @@ def count_table(docs: DataFrame, n: int, counters: int = TABLE, rows: int = 16)
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, counters: int = TABLE) -> DataFrame:
-    """doc_id, size, set_id, grp (a hash of size and prefix), prefix, cold (how many of the prefix are not hot, in front).
+    """doc_id, size, set_id, bits (its bitmap), grp (a hash of size and prefix), prefix, cold (how many of the prefix are not hot, in front).
 
     An entry of the prefix holds 48 bits of the n-gram's hash (more n-grams that fall together only give more pairs to
     verify) and in the lowest 16 its place in the prefix (or 65535, as places only rule pairs out).
@@ -151,7 +168,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, counters: int = TABLE) -> Da
         known = sent.value
         for batch in batches:
             for ids, texts in blocks(batch.column(0), batch.column(1)):
-                sizes, sets, groups, firsts, cold = [], [], [], [], []
+                sizes, sets, maps, groups, firsts, cold = [], [], [], [], [], []
                 for s in shingle_sets(texts, n):
                     size = len(s)
                     length = size - -(-percent * size // 100) + 1 if size else 0
@@ -159,12 +176,13 @@ def prefixes(docs: DataFrame, n: int, percent: int, counters: int = TABLE) -> Da
                     order = np.lexsort((s, counts))[:length]
                     sizes.append(size)
                     sets.append(_digest(s))
+                    maps.append(bitmap(s))
                     groups.append(int.from_bytes(hashlib.blake2b(s[order].tobytes(), digest_size=8, key=str(size).encode()).digest(), "little", signed=True))
                     firsts.append(((s[order] & ~_PLACE) | np.minimum(np.arange(length, dtype=np.uint64), _PLACE)).astype(np.int64))
                     cold.append(int(np.searchsorted(counts[order], hot, side="right")))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(groups, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(cold, pa.int32())], ["doc_id", "size", "set_id", "grp", "prefix", "cold"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(maps, pa.list_(pa.int64())), pa.array(groups, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(cold, pa.int32())], ["doc_id", "size", "set_id", "bits", "grp", "prefix", "cold"])
 
-    return docs.mapInArrow(run, "doc_id long, size int, set_id binary, grp long, prefix array<long>, cold int")
+    return docs.mapInArrow(run, "doc_id long, size int, set_id binary, bits array<long>, grp long, prefix array<long>, cold int")
 
 
 def _overlaps(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -199,6 +217,12 @@ def _similar(n: int, percent: int):
     return run
 
 
+def promising(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of class ids that their bitmaps do not rule out."""
+    x, y = (maps.select(F.col("class").alias(c), F.struct("size", "bits").alias(f"m_{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").where(may_overlap("m_a", "m_b", percent)).select(pairs.columns)
+
+
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class ids whose whole sets reach the threshold.
 
@@ -250,11 +274,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     source = doc_text(docs, id_col, text_col)
     made = kept(prefixes(source, n, percent, counters), "prefixes")
     named = made.where((F.col("size") > 0) & F.col("doc_id").isNotNull())
-    single = named.groupBy("doc_id").agg(F.min(F.struct("set_id", "size", "grp")).alias("m"))
-    single = kept(single.select("doc_id", "m.set_id", "m.size", "m.grp"), "single")
+    single = named.groupBy("doc_id").agg(F.min(F.struct("set_id", "size", "grp", "bits")).alias("m"))
+    single = kept(single.select("doc_id", "m.set_id", "m.size", "m.grp", "m.bits"), "single")
     of = single.groupBy("size", "set_id").agg(F.min("doc_id").alias("class"), F.min("grp").alias("grp"), F.count("*").alias("weight"))
     of = kept(of, "classes")
-    member = kept(single.join(of, ["size", "set_id"]).select("doc_id", "class"), "members")
+    member = kept(single.select("doc_id", "size", "set_id").join(of, ["size", "set_id"]).select("doc_id", "class"), "members")
+    maps = kept(single.join(of.select("class"), F.col("doc_id") == F.col("class"), "left_semi").select(F.col("doc_id").alias("class"), "size", "bits"), "bitmaps")
 
     token = F.shiftright("entry", 16)
     entry = lambda part: named.select("grp", F.explode(part).alias("entry"))
@@ -274,7 +299,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     member_of = F.struct("class", "size", "pos")
     buckets = open_.groupBy("token").agg(F.count("*").alias("n"), F.min(member_of).alias("x"), F.max(member_of).alias("y"))
     two = buckets.where((F.col("n") == 2) & fits(F.col("x.size"), F.col("y.size")) & room(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos")))
-    tried = kept(two.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct(), "pairs")
+    tried = kept(promising(two.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct(), maps, percent), "pairs")
     links = kept(verified(source, of, tried, n, percent), "verified")
 
     def joined(links: DataFrame) -> DataFrame:
@@ -290,7 +315,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         met = own.join(lead, "token").where((F.col("comp") != F.col("l.comp")) & fits(F.col("size"), F.col("l.size")) & room(F.col("size"), F.col("pos"), F.col("l.size"), F.col("l.pos")))
         met = met.select(F.col("class").alias("b"), F.col("l.class").alias("a"), "l.w", "l.lot").distinct()
         again = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        met = met.join(again, ["a", "b"], "left_anti")
+        met = promising(met.join(again, ["a", "b"], "left_anti"), maps, percent)
         pairs = kept(met.groupBy("b").agg(F.max(F.struct("w", "lot", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "pairs")
         new = kept(verified(source, of, pairs, n, percent), "verified")
         tried = pairs.unionByName(tried)
@@ -301,12 +326,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     own = open_.join(comps, "class")
     mixed = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    left = kept(own.join(mixed, "token", "left_semi"), "left")
+    # With their bitmaps at hand, only pairs that may be similar leave the join.
+    left = kept(own.join(mixed, "token", "left_semi").join(maps.select("class", "bits"), "class"), "left")
     x, y = left.alias("x"), left.alias("y")
     order = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.class") < F.col("y.class")))
     again = (
         x.join(y, F.col("x.token") == F.col("y.token"))
-        .where(order & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.size"), F.col("y.size")) & room(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos")))
+        .where(order & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.size"), F.col("y.size")) & room(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos")) & may_overlap("x", "y", percent))
         .select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
         .distinct()
     )
