@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe_chunks import bpe_round_trip
 from .common import table
+from .decontaminate import contamination
 from .jaccard import jaccard_components
 from .line_dedup import line_report
 from .packing import pack
@@ -68,6 +69,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(counts(docs), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.size("hit").cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -80,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_quality_rules": op10_quality_rules,
+        "op12_decontamination": op12_decontamination,
     }
 
 
@@ -88,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_round_trip": sql.OP5,
         "op7_topk": sql.OP7,
         "op8_ngram_jaccard": sql.OP8,
+        "op12_decontamination": sql.OP12,
     }

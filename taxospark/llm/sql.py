@@ -38,3 +38,20 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.a, c.a)::BIGINT
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM benchmark WHERE item_id IS NOT NULL),
+w AS MATERIALIZED (SELECT DISTINCT item_id, g, len(g) AS n FROM (SELECT item_id,
+    unnest(list_transform(range(1, greatest(len(a) - 9, 1) + 1), lambda i: a[i:i+9])) AS g FROM b WHERE len(a) > 0)),
+s AS (SELECT DISTINCT n FROM w),
+p AS (SELECT r, n, unnest(range(1, len(a) - n + 2)) AS i, a FROM d JOIN s ON len(a) >= n),
+h AS MATERIALIZED (SELECT r, i, p.n, item_id FROM (SELECT r, i, n, a[i:i+n-1] AS g FROM p) p JOIN w ON w.g = p.g),
+k AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS x FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM h) GROUP BY r)
+SELECT doc_id, len(a)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN k USING (r) LEFT JOIN t USING (r)
+"""
