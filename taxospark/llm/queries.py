@@ -17,6 +17,7 @@ from .line_dedup import line_report
 from .packing import pack
 from .pii import digest, personal_data
 from .quality import apply_rules, counts, learn_from
+from .spelling import spelling_groups, word_counts
 from . import toxicity
 from .token_counts import token_counts
 from .topk import top_k
@@ -70,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(counts(docs), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(word_counts(table(spark, sf_dir, "documents"), every=199))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hit").cast("long")
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_bpe_round_trip": op9_bpe_round_trip,
         "op10_quality_rules": op10_quality_rules,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_decontamination": op12_decontamination,
         "op13_alignment": op13_alignment,
     }
