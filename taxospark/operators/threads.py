@@ -5,13 +5,13 @@ abstract:C -hasExtension-> entry -supersetOf*-> node -hasElement-> instance
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import ABSTRACT_PREFIX, abstract_id, concept_of, name_of
 from ..model import ABSTRACT, INSTANCE, RELATIONS, Graph, Relations
 from ..plans.closure import closure, reach, reflexive, shortest_paths
-from ..storage import kept
+from .folding import fanned_out, fold
 
 
 def taxonomy(graph: Graph, rel: Relations = RELATIONS) -> DataFrame:
@@ -35,12 +35,37 @@ def instances(graph: Graph) -> DataFrame:
     return graph.nodes.where(F.col("kind") == INSTANCE).select(*graph.by, F.col("id").alias("instance")).distinct()
 
 
+def _held(graph: Graph, rel: Relations = RELATIONS) -> DataFrame:
+    """(by, instance, item): the nodes that hold each id over hasElement."""
+    return graph.relation(rel.has_element).select(*graph.by, F.col("dst").alias("instance"), F.col("src").alias("item"))
+
+
+def _folded_members(graph: Graph, rel: Relations = RELATIONS) -> tuple[DataFrame, DataFrame]:
+    """(members, sets) of the instance nodes, by the array `nodes` of what holds them."""
+    kind = graph.nodes.where(F.col("kind") == INSTANCE).select(*graph.by, F.col("id").alias("instance"), F.lit(INSTANCE).alias("item"))
+    return fold(graph.by, ("nodes", "kind"), nodes=_held(graph, rel), kind=kind)
+
+
+def _bytes_of(array: str) -> Column:
+    return F.aggregate(array, F.lit(0), lambda total, x: total + F.octet_length(x["concept"]) + 24)
+
+
 def expected_pairs(graph: Graph, rel: Relations = RELATIONS, closed: DataFrame | None = None) -> DataFrame:
-    """(by, instance, concept): direct concepts and all their ancestors, as the graph itself has them."""
+    """(by, instance, concept): direct concepts and all their ancestors, as the graph itself has them.
+
+    Members are shuffled once, by instance; the ancestors of their classes are united for each distinct set of classes.
+    """
     by = list(graph.by)
-    own = memberships(graph, rel)
+    members, sets = _folded_members(graph, rel)
     closed = closure(taxonomy(graph, rel), graph.by) if closed is None else closed
-    above = own.join(closed.select(*by, F.col("src").alias("concept"), "dst"), [*by, "concept"]).select(*by, "instance", F.col("dst").alias("concept"))
+    found = expected_of_sets(sets, closed, by).groupBy(*by, "set_id").agg(F.collect_list(F.struct("concept")).alias("concepts"))
+    return fanned_out(members, found, by, "concepts", _bytes_of("concepts"))
+
+
+def expected_of_sets(sets: DataFrame, closed: DataFrame, by: list[str], array: str = "nodes") -> DataFrame:
+    """(by, set_id, concept): the concepts of a set's nodes and all their ancestors."""
+    own = sets.select(*by, "set_id", F.explode(F.transform(array, name_of)).alias("concept"))
+    above = own.join(closed.select(*by, F.col("src").alias("concept"), "dst"), [*by, "concept"]).select(*by, "set_id", F.col("dst").alias("concept"))
     return own.unionByName(above).distinct()
 
 
@@ -108,22 +133,36 @@ def thread_paths(graph: Graph, pairs: DataFrame, rel: Relations = RELATIONS) ->
 def validate(graph: Graph, expected: DataFrame | None = None, rel: Relations = RELATIONS) -> DataFrame:
     """(by, instance, concept, is_valid) for every expected pair.
 
-    Without an expected table both sides come from the same memberships, so a pair's validity is decided on taxonomy-
-    sized tables: for each (holding node's concept, expected concept), then fanned out to the members.
+    Validity is decided for each distinct set of holding nodes (and of expected concepts, where a table of pairs is
+    given), then fanned out to the members: no table of pairs meets another.
     """
     by = list(graph.by)
-    if expected is not None:
-        key = [*by, "instance", "concept"]
-        found = thread_pairs(graph, rel).select(*key).withColumn("is_valid", F.lit(True))
-        return expected.select(*key).distinct().join(found, key, "left").withColumn("is_valid", F.coalesce("is_valid", F.lit(False)))
-    held = graph.relation(rel.has_element).select(*by, F.col("src").alias("node"), F.col("dst").alias("instance")).distinct().join(instances(graph), [*by, "instance"], "left_semi")
-    leaves = held.select(*by, "node").distinct().withColumn("leaf", name_of(F.col("node")))
-    closed = reflexive(closure(taxonomy(graph, rel), graph.by), leaves.select(*by, F.col("leaf").alias("id")), graph.by)
-    wanted = leaves.join(closed.select(*by, F.col("src").alias("leaf"), F.col("dst").alias("concept")), [*by, "leaf"])
-    reachable = reachable_leaves(graph, rel).withColumn("ok", F.lit(True))
-    decided = kept(wanted.join(reachable, [*by, "node", "concept"], "left").select(*by, "node", "concept", F.coalesce("ok", F.lit(False)).alias("ok")), "decided")
+    members, decided = decide(graph, expected, rel)
+    return fanned_out(members, decided, by, "decided", _bytes_of("decided"))
+
+
+def decide(graph: Graph, expected: DataFrame | None = None, rel: Relations = RELATIONS) -> tuple[DataFrame, DataFrame]:
+    """(members, sets): members has (by, instance, set_id), sets has (by, set_id, n, decided: structs of concept, is_valid)."""
+    by = list(graph.by)
+    reachable = reachable_leaves(graph, rel)
+    if expected is None:
+        members, sets = _folded_members(graph, rel)
+        wanted = expected_of_sets(sets, closure(taxonomy(graph, rel), graph.by), by)
+    else:
+        pairs = expected.select(*by, "instance", F.col("concept").alias("item"))
+        members, sets = fold(by, ("concepts",), concepts=pairs, nodes=_held(graph, rel))
+        wanted = sets.select(*by, "set_id", F.explode("concepts").alias("concept"))
     # A member of several nodes is valid for a concept if one of its threads is.
-    return held.join(decided, [*by, "node"]).groupBy(*by, "instance", "concept").agg(F.bool_or("ok").alias("is_valid"))
+    found = sets.select(*by, "set_id", F.explode("nodes").alias("node")).join(reachable, [*by, "node"]).select(*by, "set_id", "concept").distinct()
+    flagged = wanted.join(found.withColumn("ok", F.lit(True)), [*by, "set_id", "concept"], "left")
+    decided = flagged.groupBy(*by, "set_id").agg(F.collect_list(F.struct("concept", F.coalesce("ok", F.lit(False)).alias("is_valid"))).alias("decided"))
+    return members, sets.select(*by, "set_id", "n").join(decided, [*by, "set_id"])
+
+
+def concept_coverage(graph: Graph, expected: DataFrame | None = None, rel: Relations = RELATIONS) -> DataFrame:
+    """(by, concept, n_expected, n_valid): counted over sets of members, without a table of pairs."""
+    rows = decide(graph, expected, rel)[1].select(*graph.by, "n", F.inline("decided"))
+    return rows.groupBy(*graph.by, "concept").agg(F.sum("n").alias("n_expected"), F.sum(F.when(F.col("is_valid"), F.col("n")).otherwise(0)).alias("n_valid"))
 
 
 def per_instance(graph: Graph, report: DataFrame) -> DataFrame:

@@ -93,8 +93,7 @@ def trade_coverage(spark, sf):
     dual = _stored(expand.expand(catalog.trade_graph(spark, sf)))
     bad, _, _ = damage.corrupt(dual, "E-SO", 0.05, SEED)
     bad = Graph(dual.nodes, bad.edges)
-    report = threads.validate(bad)
-    return report.groupBy("concept").agg(F.count("*").alias("n_expected"), F.count_if("is_valid").alias("n_valid"))
+    return threads.concept_coverage(bad)
 
 
 def coverage_metrics(spark, sf):
