@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from .common import BLOCK_BYTES, blocks, doc_text, kept, safe_cuts
 from .pretokens import words_of
 
-#: Documents that one group packs together, and cached pre-tokens in a Python worker.
+#: Documents that one group packs together, cached pre-tokens in a Python worker, and bytes of text that it works on at a time.
 GROUP_ROWS = 8192
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
+RUN_BYTES = 1_500_000
 _library: dict = {}
 
 
@@ -126,7 +127,7 @@ def token_ids(texts: list[str], path: str, closing: int) -> tuple[np.ndarray, np
 def _piece_map(path: str, size: int, closing: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, texts in blocks(batch.column(0), batch.column(1)):
+            for docs, texts in blocks(batch.column(0), batch.column(1), RUN_BYTES):
                 cols: list[list] = [[], [], [], [], []]
                 ids, bounds = token_ids(texts, path, closing)
                 raw = memoryview(ids.astype("<u4").view(np.uint8))
