@@ -18,8 +18,9 @@ KEY = ("src", "dst", "relation")
 ARMS = {"E-HX": "has_extension", "E-SO": "superset_of", "E-HE": "has_element"}
 
 
-def sample_k(rows: DataFrame, rho: float | Column, seed, on: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """Of each group the k rows with the smallest draws.
+def sample_k(rows: DataFrame, rho: float | Column, seed, on: list[str], by: tuple[str, ...] = (), few: bool = False) -> DataFrame:
+    """Of each group the k rows with the smallest draws. few: there are few groups, of a number that the caller bounds (such
+    as a table of factors); what they cut at is then broadcast and no row is shuffled to be dropped.
 
     Draws fall into 65,536 bins by their first 16 bits. Whole bins below the one that holds the k-th draw are taken as
     they are; only the rows of that bin are ranked, so no task sorts a group.
@@ -33,7 +34,7 @@ def sample_k(rows: DataFrame, rho: float | Column, seed, on: list[str], by: tupl
     k = F.least(F.bround(F.col("_share") * F.col("_all")), F.col("_all")).cast("long")
     cut = bins.where(F.col("_to") >= k).groupBy(*by).agg(F.min(F.struct(F.col("_bin").alias("bin"), (k - F.col("_to") + F.col("_n")).alias("rest"))).alias("_cut"))
     if by:
-        drawn = drawn.join(cut, list(by))
+        drawn = drawn.join(F.broadcast(cut) if few else cut, list(by))
     else:
         found = cut.first()  # one row: an aggregation without groups
         last, rest = (found["_cut"]["bin"], found["_cut"]["rest"]) if found and found["_cut"] else (0, 0)
@@ -110,35 +111,102 @@ def _numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
     return ranked(ids, "id"), ids.count()
 
 
-def _number(n: int, *parts) -> Column:
-    """A drawn number from 0 to n - 1."""
-    return F.conv(F.substring(draw(*parts), 1, 12), 16, 10).cast("long") % F.lit(max(n, 1))
+def number(parts) -> Column:
+    """A drawn number of 48 bits."""
+    return F.conv(F.substring(draw(*parts), 1, 12), 16, 10).cast("long")
 
 
-def distractors(graph: Graph, rate: float, seed: int, rel: Relations = RELATIONS, tries: int = 4) -> DataFrame:
+def free_number(blocked: Column, rank: Column) -> Column:
+    """The number of that rank (from 0) among those that the sorted array lacks."""
+    return F.aggregate(blocked, rank, lambda at, taken: F.when(taken <= at, at + 1).otherwise(at))
+
+
+def _targets(edges: DataFrame, sources: DataFrame, numbered: DataFrame, by: list[str]) -> DataFrame:
+    """(by, src, targets): numbers of the abstract nodes that an edge of any relation leads to, for the sources (by, src)."""
+    own = edges.select("src", "dst").distinct().join(sources, "src").join(numbered.select(F.col("id").alias("dst"), "number"), "dst")
+    return own.groupBy(*by, "src").agg(F.collect_set("number").alias("targets"))
+
+
+def distractors(graph: Graph, rate: float, seed: int, rel: Relations = RELATIONS) -> DataFrame:
     """New wrong subClassOf edges between abstract nodes: rate * max(number of subClassOf edges, 1), none that exists in
-    any relation. Drawn with tries times as many attempts as wanted."""
+    any relation, all different; fewer only where fewer pairs are free.
+
+    A free pair has a rank, by its source and its place among the source's free targets; prefix sums of how many targets
+    each source has free lead from a rank to the pair. The drawn ranks are the first different ones of a sequence of
+    draws, or, where more than half of all are wanted, those of the smallest draws.
+    """
+    spark = graph.nodes.sparkSession
     n_sub = graph.edges.where(F.col("relation") == rel.sub_class_of).count()
-    wanted = int(graph.nodes.sparkSession.range(1).select(F.bround(F.lit(rate * max(n_sub, 1)))).first()[0])
+    wanted = int(spark.range(1).select(F.bround(F.lit(rate * max(n_sub, 1)))).first()[0])
     numbered, n = _numbered(graph.nodes)
-    picks = graph.nodes.sparkSession.range(tries * wanted + 16 if n > 1 else 0).select(F.col("id").alias("attempt"), _number(n, seed, "a", F.col("id")).alias("i"), _number(n, seed, "b", F.col("id")).alias("j")).where("i <> j")
-    named = picks.join(numbered.select(F.col("number").alias("i"), F.col("id").alias("src")), "i").join(numbered.select(F.col("number").alias("j"), F.col("id").alias("dst")), "j")
-    fresh = named.join(graph.edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("attempt").alias("attempt"))
-    return ranked(fresh, "attempt").where(F.col("number") < wanted).select("src", "dst", F.lit(rel.sub_class_of).alias("relation"))
-
-
-def rewired(graph: Graph, rate: float, seed: int, rel: Relations = RELATIONS, tries: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(removed, injected): a share of the subClassOf edges, each led to a drawn wrong parent that is none of its ends and
-    no target yet. Targets are drawn for all edges at once, the first good one of `tries`."""
+    numbered = kept(numbered, "numbered")
+    named = numbered.select(F.col("id").alias("src"), F.col("number").alias("a"))
+    taken = graph.edges.select("src", "dst").distinct().join(numbered.select(F.col("id").alias("dst")), "dst", "left_semi").where("src <> dst").groupBy("src").agg(F.count("*").alias("taken"))
+    free = named.join(taken, "src", "left").select("src", "a", (F.lit(n - 1) - F.coalesce("taken", F.lit(0))).alias("free"), F.floor(F.col("a") / 100_000).alias("part"))
+    free = kept(free, "free")
+    parts = free.groupBy("part").agg(F.sum("free").alias("_all"))  # one row for each 100,000 nodes
+    parts = parts.select("part", (F.sum("_all").over(Window.orderBy("part")) - F.col("_all")).alias("_before"))
+    within = F.sum("free").over(Window.partitionBy("part").orderBy("a")) - F.col("free")
+    starts = kept(free.withColumn("_in", within).join(parts, "part").select("src", "a", "free", (F.col("_in") + F.col("_before")).alias("start")), "starts")
+    total = starts.agg(F.coalesce(F.sum("free"), F.lit(0))).first()[0]
+    wanted = min(wanted, total)
+    if 2 * wanted >= total:
+        ranks = sample_k(spark.range(total).withColumnRenamed("id", "rank"), wanted / total if total else 0.0, f"{seed}d", ["rank"])
+    else:
+        tries = 2 * wanted + 16
+        while True:
+            first = spark.range(tries).select((number([seed, "d", F.col("id")]) % total).alias("rank"), F.col("id").alias("attempt")).groupBy("rank").agg(F.min("attempt").alias("attempt"))
+            first = kept(first, "ranks")
+            if first.count() >= wanted:
+                break
+            tries *= 2
+        ranks = ranked(first, "attempt").where(F.col("number") < wanted).select("rank")
+    # Sources and ranks meet by ranges of the mean length: a source lies in few of them, a range holds few sources.
+    width = max(1, -(-total // max(n, 1)))
+    place = lambda c: F.floor(c / F.lit(width))
+    spread = starts.where("free > 0").withColumn("range", F.explode(F.sequence(place(F.col("start")), place(F.col("start") + F.col("free") - 1))))
+    hit = ranks.withColumn("range", place(F.col("rank"))).join(spread, "range").where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("free")))
+    hit = kept(hit.select("src", "a", (F.col("rank") - F.col("start")).alias("rank")), "drawn")
+    blocked = F.array_sort(F.array_distinct(F.concat(F.coalesce("targets", F.array().cast("array<bigint>")), F.array("a"))))
+    found = hit.join(_targets(graph.edges, hit.select("src").distinct(), numbered, []), "src", "left").select("src", free_number(blocked, F.col("rank")).alias("number"))
+    return found.join(numbered.select("number", F.col("id").alias("dst")), "number").select("src", "dst", F.lit(rel.sub_class_of).alias("relation"))
+
+
+def wrong_parents(nodes: DataFrame, edges: DataFrame, cut: DataFrame, seed: str | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, src, dst): a drawn new parent for each edge of cut (by, src, dst), one edge of a child after the other.
+
+    A new parent is an abstract node, neither child nor old parent, to which the child has no edge at that time: edges cut
+    before are gone, new ones are there. It is the one of drawn rank among those, so an edge gets none only if none is free.
+    Children do not depend on each other; one child's parents are an array, which is as long as it has parents.
+    """
+    by = list(by)
+    numbered, n = _numbered(nodes)
+    numbered = kept(numbered, "numbered")
+    at = lambda side, name: numbered.select(F.col("id").alias(side), F.col("number").alias(name))
+    lot = draw(seed, "to", F.col("src"), F.col("dst"))
+    steps = cut.join(at("dst", "old"), "dst", "left").groupBy(*by, "src").agg(F.array_sort(F.collect_list(F.struct(lot.alias("lot"), F.coalesce("old", F.lit(-1).cast("long")).alias("old")))).alias("steps"))
+    child = steps.join(at("src", "own"), "src", "left").join(_targets(edges, cut.select(*by, "src").distinct(), numbered, by), [*by, "src"], "left")
+
+    def turn(s: Column, step: Column) -> Column:
+        there = F.array_remove(s["there"], step["old"])
+        blocked = F.array_sort(F.filter(F.array_distinct(F.concat(there, F.array(step["old"], F.coalesce("own", F.lit(-1).cast("long"))))), lambda x: x >= 0))
+        drawn = F.conv(F.substring(step["lot"], 1, 12), 16, 10).cast("long")
+        # One-element arrays hold what is used more than once.
+        new = F.transform(F.array(F.struct(there.alias("there"), blocked.alias("blocked"))), lambda t: F.struct(t["there"].alias("there"), F.when(F.size(t["blocked"]) < n, free_number(t["blocked"], drawn % (F.lit(n) - F.size(t["blocked"])))).alias("new")))
+        return F.transform(new, lambda t: F.struct(F.when(t["new"].isNull(), t["there"]).otherwise(F.array_append(t["there"], t["new"])).alias("there"), F.when(t["new"].isNull(), s["put"]).otherwise(F.array_append(s["put"], t["new"])).alias("put")))[0]
+
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.coalesce("targets", none).alias("there"), none.alias("put"))
+    put = child.select(*by, "src", F.explode(F.aggregate("steps", start, turn, lambda s: s["put"])).alias("number"))
+    return put.join(numbered.select("number", F.col("id").alias("dst")), "number").select(*by, "src", "dst")
+
+
+def rewired(graph: Graph, rate: float, seed: int, rel: Relations = RELATIONS) -> tuple[DataFrame, DataFrame]:
+    """(removed, injected): a share of the subClassOf edges, each led to a drawn wrong parent (see wrong_parents)."""
     sub = graph.edges.where(F.col("relation") == rel.sub_class_of).select(*KEY).distinct()
-    cut = sample_k(sub, rate, f"{seed}w", list(KEY))
-    numbered, n = _numbered(graph.nodes)
-    tried = cut.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt"))
-    tried = tried.withColumn("number", _number(n, seed, "to", F.col("src"), F.col("dst"), F.col("attempt")))
-    named = tried.join(numbered.withColumnRenamed("id", "to"), "number").where((F.col("to") != F.col("src")) & (F.col("to") != F.col("dst")))
-    good = named.join(graph.edges.select("src", F.col("dst").alias("to")).distinct(), ["src", "to"], "left_anti")
-    put = good.groupBy("src", "dst").agg(F.min_by("to", "attempt").alias("to")).select("src", F.col("to").alias("dst"), F.lit(rel.sub_class_of).alias("relation")).distinct()
-    return cut, put
+    cut = kept(sample_k(sub, rate, f"{seed}w", list(KEY)), "cut")
+    put = wrong_parents(graph.nodes, graph.edges, cut.select("src", "dst"), str(seed))
+    return cut, put.select("src", "dst", F.lit(rel.sub_class_of).alias("relation")).distinct()
 
 
 def holdout(pairs: DataFrame, share: float, seed: int) -> DataFrame:

@@ -95,7 +95,9 @@ REPAIRED = (PATHS, PROPOSE, _APPLIED.format(theta=0.75), "e_2 AS MATERIALIZED (S
     "rep_2 AS (SELECT x.instance, x.concept, t.instance IS NOT NULL AS is_valid FROM exp_2 x LEFT JOIN thr_2 t USING (instance, concept))")
 #: Abstract nodes numbered by id; a drawn number below their count.
 NUMBERED = "numbered AS (SELECT 'abstract:' || c AS id, row_number() OVER (ORDER BY 'abstract:' || c) - 1 AS number, count(*) OVER () AS n FROM con)"
-_NUMBER = "('0x' || substr(md5(concat_ws('|', {parts})), 1, 12))::BIGINT % (SELECT max(n) FROM numbered)"
+#: Numbers of the abstract nodes that a node's edges lead to; the free number of a rank, given the sorted blocked ones.
+TARGETS = "targets AS MATERIALIZED (SELECT src, list(DISTINCT number) AS there FROM e JOIN numbered ON id = dst GROUP BY 1)"
+_FREE = "list_reduce(list_concat([{rank}], {blocked}), lambda w, x: CASE WHEN x <= w THEN w + 1 ELSE w END)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -133,15 +135,23 @@ def oracle_sql() -> dict[str, str]:
         "node_removal": q(PRODUCT, DUAL, "x AS (SELECT id FROM (SELECT 'extension:' || c AS id, row_number() OVER (ORDER BY md5(concat_ws('|', '7', 'extension:' || c)), c) AS r, count(*) OVER () AS n FROM con) WHERE r <= round_even(0.2 * n, 0))",
             "SELECT DISTINCT src, dst, relation FROM dual WHERE src IN (SELECT id FROM x) OR dst IN (SELECT id FROM x)"),
         "guidance_removal": q(PRODUCT, DUAL, removed("relation = 'hasExtension'", 0.1), removed("relation = 'subClassOf'", 0.3, "'7g'").replace("removed AS", "cut AS").replace("EXCEPT SELECT * FROM removed", "EXCEPT SELECT * FROM cut").replace("\ne AS", "\ne2 AS"), "SELECT * FROM removed UNION ALL SELECT * FROM cut"),
-        "distractors": q(PRODUCT, DUAL, removed("relation = 'hasExtension'", 0.1), NUMBERED, "w AS (SELECT round_even(0.2 * greatest(count(*), 1), 0)::BIGINT AS n FROM e WHERE relation = 'subClassOf')",
-            f"a AS (SELECT i AS attempt, {_NUMBER.format(parts="'7', 'a', i")} AS x, {_NUMBER.format(parts="'7', 'b', i")} AS y FROM w, range(0, 4 * w.n + 16) r(i))",
-            "f AS (SELECT p.id AS src, q.id AS dst, min(attempt) AS attempt FROM a JOIN numbered p ON p.number = x JOIN numbered q ON q.number = y WHERE x <> y AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = p.id AND e.dst = q.id) GROUP BY 1, 2)",
-            "SELECT src, dst, 'subClassOf' AS relation FROM (SELECT *, row_number() OVER (ORDER BY attempt) AS r FROM f) WHERE r <= (SELECT n FROM w)"),
-        "rewire": q(PRODUCT, DUAL, removed("relation = 'hasExtension'", 0.1), NUMBERED,
+        "distractors": q(PRODUCT, DUAL, removed("relation = 'hasExtension'", 0.1), NUMBERED, TARGETS,
+            "f AS (SELECT m.id, m.number AS own, m.n - 1 - len(coalesce(list_filter(t.there, lambda x: x <> m.number), [])) AS free, coalesce(t.there, []) AS there FROM numbered m LEFT JOIN targets t ON t.src = m.id)",
+            "s AS MATERIALIZED (SELECT *, sum(free) OVER (ORDER BY own)::BIGINT - free AS start FROM f)",
+            "w AS (SELECT round_even(0.2 * greatest(count(*), 1), 0)::BIGINT AS n, (SELECT sum(free) FROM s)::BIGINT AS total FROM e WHERE relation = 'subClassOf')",
+            "a AS (SELECT ('0x' || substr(md5(concat_ws('|', '7', 'd', i)), 1, 12))::BIGINT % total AS rank, min(i) AS i FROM w, range(0, 2 * w.n + 16) r(i) GROUP BY 1)",
+            "k AS (SELECT rank FROM (SELECT rank, row_number() OVER (ORDER BY i) AS r FROM a) WHERE r <= (SELECT n FROM w))",
+            f"d AS (SELECT id AS src, {_FREE.format(rank='rank - start', blocked='list_sort(list_distinct(list_append(there, own)))')} AS number FROM k JOIN s ON rank >= start AND rank < start + free)",
+            "SELECT d.src, m.id AS dst, 'subClassOf' AS relation FROM d JOIN numbered m USING (number)"),
+        "rewire": q(PRODUCT, DUAL, removed("relation = 'hasExtension'", 0.1), NUMBERED, TARGETS,
             "cut AS MATERIALIZED (SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '7w', src, dst, relation)), src, dst, relation) AS r, count(*) OVER () AS n FROM e WHERE relation = 'subClassOf') WHERE r <= round_even(0.3 * n, 0))",
-            f"a AS (SELECT src, dst, i, {_NUMBER.format(parts="'7', 'to', src, dst, i")} AS x FROM cut, range(0, 8) r(i))",
-            "g AS (SELECT a.src, a.dst, first(p.id ORDER BY i) AS target FROM a JOIN numbered p ON p.number = x WHERE p.id <> a.src AND p.id <> a.dst AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = a.src AND e.dst = p.id) GROUP BY 1, 2)",
-            "SELECT DISTINCT src, target AS dst, 'subClassOf' AS relation FROM g"),
+            "step AS MATERIALIZED (SELECT c.src, m.number AS old, l.lot, row_number() OVER (PARTITION BY c.src ORDER BY l.lot) AS k FROM (SELECT src, dst, md5(concat_ws('|', '7', 'to', src, dst)) AS lot FROM cut) l JOIN cut c USING (src, dst) JOIN numbered m ON m.id = c.dst)",
+            f"""walk(src, k, there, new) AS (SELECT DISTINCT src, 0::BIGINT, t.there, NULL::BIGINT FROM step JOIN targets t USING (src) UNION ALL
+              SELECT src, k, CASE WHEN new IS NULL THEN there ELSE list_append(there, new) END, new FROM (SELECT src, k, there,
+                CASE WHEN len(b) < n THEN {_FREE.format(rank="('0x' || substr(lot, 1, 12))::BIGINT % (n - len(b))", blocked='b')} END AS new FROM (SELECT w.src, s.k, s.lot, m.n,
+                  list_filter(w.there, lambda x: x <> s.old) AS there, list_sort(list_distinct(list_concat(list_filter(w.there, lambda x: x <> s.old), [s.old, m.number]))) AS b
+                  FROM walk w JOIN step s ON s.src = w.src AND s.k = w.k + 1 JOIN numbered m ON m.id = w.src)))""",
+            "SELECT w.src, m.id AS dst, 'subClassOf' AS relation FROM walk w JOIN numbered m ON m.number = w.new"),
         "targeted_spine": q(PRODUCT, DUAL, "so AS (SELECT DISTINCT src, dst FROM dual WHERE relation = 'supersetOf')", "ids AS (SELECT src AS id FROM so UNION SELECT dst FROM so)",
             "walk(s, t, d, via) AS (SELECT id, id, 0, [id] FROM ids UNION ALL SELECT w.s, so.dst, w.d + 1, list_append(w.via, so.dst) FROM walk w JOIN so ON so.src = w.t)",
             "near AS MATERIALIZED (SELECT * FROM (SELECT *, min(d) OVER (PARTITION BY s, t) AS low, FROM walk) WHERE d = low AND d > 0)", "many AS (SELECT s, t, count(*) AS n FROM near GROUP BY 1, 2)",
