@@ -12,8 +12,10 @@ The pair counts are sent to the workers in parts of bounded size, one narrow pas
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from .token_counts import byte_letters
 #: Pair counts that one pass holds in memory, at most (some 20 bytes each, in the driver and each Python worker).
 PART_PAIRS = 4_000_000
 #: Bytes of distinct chunks that a worker keeps aligned (some ten times this in memory), and pairs that it sums up, before it starts anew.
-TABLE_BYTES, SUM_PAIRS = 3_000_000, 2_000_000
+TABLE_BYTES, SUM_PAIRS = 4_500_000, 2_000_000
 #: Characters of text that are worked on at a time.
 RUN = 1_000_000
 #: Both sides begin anew at a blank behind a character that is no white space.
@@ -35,6 +37,30 @@ _PIECE_BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _A_BITS = 32
 
 
+# Fixed value: the pre-tokens of a byte-level BPE file that names no pattern of its own.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _quick(path: str, letters: dict[str, int]) -> Callable[[str], list[int]] | None:
+    """tiktoken's encoder over the file's own vocabulary, where ids rise with the merges and nothing else is asked of a text."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    own = {k: model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)}
+    if own or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    vocab = model["vocab"]
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    singles = {c: vocab[c] for c in letters if c in vocab}
+    if len(singles) < 256 or made != sorted(set(made)) or made and made[0] <= max(singles.values()):
+        return None
+    import tiktoken
+
+    reached = set(made) | set(singles.values())
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if i in reached}
+    return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Pair:
     """The two tokenizers, and the bytes of each of their tokens."""
 
@@ -50,6 +76,7 @@ class Pair:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         letters = byte_letters()
+        self.quick = _quick(byte_level, letters)
         self.a_bytes = [b""] * (max(self.a.get_vocab().values(), default=-1) + 1)
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
@@ -62,14 +89,23 @@ class Pair:
             if re.search("[^▁]▁", piece):
                 raise ValueError(f"a piece goes beyond a blank, so texts cannot be cut there: {piece!r}")
         self.blank = self.b.piece_to_id("▁")
-
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-        """Ids of side A in one array and how many each chunk has; ids of side B for each chunk. Chunks begin with a blank."""
-        made = self.a.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-        sizes = np.bincount(np.array(made.word_ids, np.int64), minlength=len(chunks))
+        self.a_width, self.b_width = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        #: An id behind each mark that can stand before it in a text of groups.
+        self.ids = max(len(self.a_bytes), len(self.b_bytes))
+        self.marked = [f"{mark}{i}" for mark in ("\n", ",", "|", ";") for i in range(self.ids)]
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of side A and how many each chunk has, the same of side B. Chunks begin with a blank."""
+        if self.quick:
+            a = list(map(self.quick, chunks))
+            sizes, ids = np.fromiter(map(len, a), np.int64, len(a)), np.array(list(chain.from_iterable(a)), np.int64)
+        else:
+            made = self.a.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+            sizes, ids = np.bincount(np.array(made.word_ids, np.int64), minlength=len(chunks)), np.array(made.ids, np.int64)
         # Side B adds the first blank itself, but adds none to an empty text.
-        b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        return np.array(made.ids, np.int64), sizes, [ids or [self.blank] for ids in b]
+        b = [ids or [self.blank] for ids in self.b.encode([c[1:] for c in chunks], num_threads=1)]
+        b_sizes = np.fromiter(map(len, b), np.int64, len(chunks))
+        return ids, sizes, np.array(list(chain.from_iterable(b)), np.int64), b_sizes
 
 
 def coalesced(start: np.ndarray, end: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,11 +127,21 @@ def overlaps(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end:
     return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + first[i]
 
 
+def _given_back(ids: np.ndarray, sizes: np.ndarray, table: list[bytes], width: np.ndarray, raw: list[bytes], whole: bytes, chunk_bytes: np.ndarray) -> np.ndarray:
+    """Whether the tokens of each chunk are its bytes. whole: all of raw; chunk_bytes: their lengths."""
+    ends = np.cumsum(sizes)
+    total = np.concatenate([[0], np.cumsum(width[ids])])
+    if np.array_equal(np.diff(total[np.concatenate([[0], ends])]), chunk_bytes) and b"".join(map(table.__getitem__, ids.tolist())) == whole:
+        return np.ones(len(raw), bool)
+    own = list(map(table.__getitem__, ids.tolist()))
+    return np.fromiter((b"".join(own[a:b]) == r for a, b, r in zip((ends - sizes).tolist(), ends.tolist(), raw)), bool, len(raw))
+
+
 class ChunkTable:
     """Alignments of distinct chunks in flat arrays, one entry for each chunk."""
 
-    def __init__(self, pair: Pair, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
-        self.pair, self.counts = pair, counts
+    def __init__(self, pair: Pair, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, with_groups: bool = True) -> None:
+        self.pair, self.counts, self.with_groups = pair, counts, with_groups
         self.clear()
 
     def clear(self) -> None:
@@ -108,30 +154,26 @@ class ChunkTable:
 
     def entries(self, chunks: list[str]) -> np.ndarray:
         known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        found = list(map(known.get, chunks))
+        new = list(dict.fromkeys(c for c, k in zip(chunks, found) if k is None))
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
             self._align(new)
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+            found = list(map(known.__getitem__, chunks))
+        return np.array(found, np.int64)
 
     def _align(self, chunks: list[str]) -> None:
         raw = [c.encode() for c in chunks]
-        self.size += sum(map(len, raw))
-        a, a_n, b_lists = self.pair.encode(chunks)
-        b_n = np.fromiter(map(len, b_lists), np.int64, len(chunks))
-        b = np.fromiter((i for ids in b_lists for i in ids), np.int64, int(b_n.sum()))
-        a_at, b_at = np.concatenate([[0], np.cumsum(a_n)]), np.concatenate([[0], np.cumsum(b_n)])
-        a_list = a.tolist()
-        good = np.zeros(len(chunks), bool)
-        a_bytes, b_bytes = self.pair.a_bytes, self.pair.b_bytes
-        for k, text in enumerate(raw):
-            good[k] = b"".join(map(a_bytes.__getitem__, a_list[a_at[k] : a_at[k + 1]])) == text == b"".join(map(b_bytes.__getitem__, b_lists[k]))
+        chunk_bytes, all_bytes = np.fromiter(map(len, raw), np.int64, len(raw)), b"".join(raw)
+        self.size += len(all_bytes)
+        pair = self.pair
+        a, a_n, b, b_n = pair.encode(chunks)
+        good = _given_back(a, a_n, pair.a_bytes, pair.a_width, raw, all_bytes, chunk_bytes) & _given_back(b, b_n, pair.b_bytes, pair.b_width, raw, all_bytes, chunk_bytes)
         # Only chunks that both sides give back have tokens; their bytes are laid out one behind the other.
         owner_a, owner_b = np.repeat(np.arange(len(chunks)), a_n), np.repeat(np.arange(len(chunks)), b_n)
         a, owner_a, b, owner_b = a[good[owner_a]], owner_a[good[owner_a]], b[good[owner_b]], owner_b[good[owner_b]]
-        width = lambda ids, table: np.fromiter((len(table[i]) for i in ids.tolist()), np.int64, len(ids))
-        a_end, b_end = np.cumsum(width(a, a_bytes)), np.cumsum(width(b, b_bytes))
-        a_start, b_start = np.concatenate([[0], a_end[:-1]])[: len(a)], np.concatenate([[0], b_end[:-1]])[: len(b)]
+        a_end, b_end = np.cumsum(pair.a_width[a]), np.cumsum(pair.b_width[b])
+        a_start, b_start = a_end - pair.a_width[a], b_end - pair.b_width[b]
         side = np.repeat([0, 1], [len(a), len(b)])
         owner, ids = np.concatenate([owner_a, owner_b]), np.concatenate([a, b])
         order, group = coalesced(np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end]), side)
@@ -153,16 +195,16 @@ class ChunkTable:
         self.sums = np.concatenate([self.sums, rows])
         self.keys = np.concatenate([self.keys, keys])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(rows[:, 4])])
-        self.groups += self._texts(ids[order], side[order], group, of, len(chunks))
+        if self.with_groups:
+            self.groups += self._texts(ids[order], side[order], group, of, len(chunks))
 
-    @staticmethod
-    def _texts(ids: np.ndarray, side: np.ndarray, group: np.ndarray, of: np.ndarray, n: int) -> list[str]:
+    def _texts(self, ids: np.ndarray, side: np.ndarray, group: np.ndarray, of: np.ndarray, n: int) -> list[str]:
         """The groups of each chunk as a1,a2|b1;a3|b2."""
         within = np.lexsort((side, group))  # stable: the tokens of a side stay in order
         ids, side, group = ids[within], side[within], group[within]
         mark = np.zeros(len(ids), np.int64)  # what stands before a token
         mark[1:] = np.where(group[1:] != group[:-1], np.where(of[group[1:]] != of[group[:-1]], 0, 3), np.where(side[1:] != side[:-1], 2, 1))
-        whole = "".join([m + str(i) for m, i in zip(np.array(["\n", ",", "|", ";"], object)[mark].tolist(), ids.tolist())])
+        whole = "".join(map(self.pair.marked.__getitem__, (mark * self.pair.ids + ids).tolist()))
         out = [""] * n
         for k, text in zip(np.unique(of).tolist(), whole.split("\n")[1:]):
             out[k] = text
@@ -221,7 +263,7 @@ def pair_counts(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(_pair(byte_level, pieces))
+        table = ChunkTable(_pair(byte_level, pieces), with_groups=False)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, _, _, entries, first in _runs(batches, table, 1):
             doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -276,7 +318,7 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id
         sent = docs.sparkSession.sparkContext.broadcast((key[order], n[order], best[order].astype(bool)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = ChunkTable(_pair(byte_level, pieces), sent.value)
+            table = ChunkTable(_pair(byte_level, pieces), sent.value, last)
             for batch, begin, finish, entries, first in _runs(batches, table, 1):
                 part_of = batch.slice(begin, finish - begin)
                 sums = _summed(table.sums[entries], first)

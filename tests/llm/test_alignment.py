@@ -94,3 +94,17 @@ def test_coalescing():
     order, group = alignment.coalesced(start, end, side)
     assert order.tolist() == [0, 3, 1, 2, 4, 5] and group.tolist() == [0, 0, 0, 1, 1, 1]
     assert [x.tolist() for x in alignment.overlaps(start[:3], end[:3], start[3:], end[3:])] == [[0, 1, 2, 2], [0, 0, 1, 2]]
+
+
+def test_quick_encoder_is_the_library(spark):
+    """Every character, next to a letter, a number and itself."""
+    pair = alignment.Pair(BYTES, PIECES)
+    assert pair.quick and alignment._quick(public_tokenizers.path("word_bpe_49k.json"), alignment.byte_letters()) is None
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 4000):
+        text = "".join(f"a{chr(c)}1{chr(c)}{chr(c)} ?" for c in points[k : k + 4000])
+        assert pair.quick(text) == pair.a.encode(text, add_special_tokens=False).ids
+    pair.quick = None
+    chunks = [" a", "  b", " <|endoftext|>x", " é\n\t1"]
+    ids, sizes, _, _ = pair.encode(chunks)
+    assert ids.tolist() == [i for c in chunks for i in alignment.Pair(BYTES, PIECES).quick(c)] and sizes.sum() == len(ids)
