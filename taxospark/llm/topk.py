@@ -119,7 +119,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     asked = kept(usable(queries).dropDuplicates(["id"]), "queries")
     b_tiles = -(-blocks.count() // TILE_BLOCKS) or 1
     q_tiles = -(-asked.count() // TILE_QUERIES) or 1
-    dealt_b = blocks.withColumn("bt", F.pmod(F.monotonically_increasing_id(), F.lit(b_tiles))).withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1))))
+    dealt_b = blocks.withColumn("bt", F.pmod(F.xxhash64("ids"), F.lit(b_tiles).cast("long"))).withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1))))
     dealt_q = asked.withColumn("qt", F.pmod(F.xxhash64("id"), F.lit(q_tiles)).cast("int")).withColumn("bt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b_tiles - 1).cast("long"))))
 
     def tile(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

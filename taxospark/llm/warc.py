@@ -3,7 +3,8 @@
 Format: one gzip member for each record, its compressed length in an extra header field ("sl", skip lengths), so a
 reader can leave a record after its headers. Readers plan partitions from whole files, take over predicates on the
 record type and the other header columns, parse headers first, and inflate a payload only if the record passes and
-the payload is wanted. Archives without the extra field are read too; their records are inflated to find their ends.
+the payload is wanted. Plain archives, and gzipped ones without the extra field, with any number of records in a member
+or a record over several, are read too; of the gzipped ones all records are inflated to find their ends.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A file is closed beyond this size; a partition reads files of about this size together.
 FILE_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
+#: Compressed bytes that are read at a time.
+STEP = 1 << 16
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -151,7 +154,10 @@ class WarcReader(DataSourceReader):
         fs, root = _open(self.path)
         info = fs.get_file_info(root)
         found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
-        files = sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")) and f.base_name.endswith(".warc.gz"))
+        named = [f for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))]
+        files = sorted((f.path, f.size) for f in named if f.base_name.endswith((".warc", ".warc.gz")))
+        if named and (not files or info.type == pafs.FileType.File and len(files) < len(named)):
+            raise ValueError(f"{self.path}: no .warc or .warc.gz, but {named[0].base_name}")
         groups, size = [[]], 0
         for path, n in files:
             if groups[-1] and size + n > FILE_BYTES:
@@ -178,61 +184,128 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     def records(self, f: io.BufferedReader, path: str) -> Iterator[dict]:
-        while True:
-            at = f.tell()
-            head = f.read(24)
-            if len(head) < 18:
-                return
-            if head[:2] != b"\x1f\x8b":
-                raise ValueError(f"{path}, {at}: not a gzip member")
-            length = struct.unpack("<I", head[16:20])[0] if head[3] & 4 and head[12:14] == b"sl" else None
-            f.seek(at)
-            inflate, text, read, held = zlib.decompressobj(31), b"", 0, False
-
-            def more(step: int) -> bytes:
-                """The next inflated bytes; zlib may hold some back without having input left."""
-                nonlocal read, held
-                part = inflate.unconsumed_tail
-                if not part and not held:
-                    part = f.read(min(step, length - read) if length else step)
-                    read += len(part)
-                    if not part:
-                        raise ValueError(f"{path}, {at}: a record is cut short")
-                got = inflate.decompress(part, 2 * step)
-                held = len(got) == 2 * step
-                return got
-
-            while b"\r\n\r\n" not in text:
-                text += more(4096)
-            lines = text[: text.index(b"\r\n\r\n")].decode().split("\r\n")
-            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        source = Archive(f, path)
+        while source.more():
+            at = source.member
+            head = source.until(b"\r\n\r\n")
+            if not head.startswith(b"WARC/"):
+                raise ValueError(f"{path}, {at}: not a WARC record")
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+            left = int(fields["content-length"])
             row = {c: _bare(c, fields.get(h)) for c, h in HEADERS.items()} | {"payload_bytes": None, "payload": None, "file": path, "position": at}
-            passed = self.passes(row)
-            whole = False
-            if passed or length is None:
-                text = text[text.index(b"\r\n\r\n") + 4 :]
-                whole = passed and self.wanted and fields.get("warc-type") == "response"
-                while not inflate.eof and (whole or length is None or b"\r\n\r\n" not in text):
-                    got = more(1 << 16)
-                    if whole or b"\r\n\r\n" not in text:
-                        text += got
-            if length is None:
-                f.seek(at + read - len(inflate.unused_data))
-            else:
-                f.seek(at + length)
-            if not passed:
+            if not self.passes(row):
+                source.leave(left)
                 continue
-            body = text[: int(fields["content-length"])]
-            http, _, payload = body.partition(b"\r\n\r\n")
+            whole = self.wanted and fields.get("warc-type") == "response"
+            http = source.until(b"\r\n\r\n", left)
+            left -= len(http)
             sizes = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
             row["payload_bytes"] = int(sizes[0]) if sizes else None
             if whole:
-                row["payload"] = payload
-                if self.verify and base64.b32encode(hashlib.sha1(payload).digest()).decode() != row["payload_digest"]:
+                row["payload"] = source.take(left)
+                if self.verify and base64.b32encode(hashlib.sha1(row["payload"]).digest()).decode() != row["payload_digest"]:
                     raise ValueError(f"{path}, {at}: the payload does not match its digest")
+                left = 0
+            source.leave(left)
             yield row
 
 
+class Archive:
+    """The bytes of a plain or gzipped archive, one record after the other, however records are dealt to gzip members.
+
+    A member with an `sl` field is one record of that length and is left by seeking; so is a record of a plain file.
+    """
+
+    def __init__(self, f: io.BufferedReader, path: str) -> None:
+        self.f, self.path = f, path
+        magic = f.read(2)
+        f.seek(0)
+        self.zipped = magic == b"\x1f\x8b"
+        self.member, self.next, self.held, self.inflate = 0, None, b"", None
+
+    def _fill(self) -> bool:
+        """Hold more bytes; false at the end of the file."""
+        while self.zipped:
+            if self.inflate is None and not self._open():
+                return False
+            part = self.inflate.unconsumed_tail or self.f.read(STEP)
+            got = self.inflate.decompress(part, 4 * STEP)  # zlib may hold some back without input left
+            if self.inflate.eof:
+                self.f.seek(-len(self.inflate.unused_data), io.SEEK_CUR)
+                self.inflate = None
+            elif not got and not part:
+                raise ValueError(f"{self.path}, {self.member}: a record is cut short")
+            if got:
+                self.held += got
+                return True
+        got = self.f.read(4 * STEP)
+        self.held += got
+        return bool(got)
+
+    def _open(self) -> bool:
+        """Begin the next gzip member, if there is one."""
+        self.member, self.next = self.f.tell(), None
+        head = self.f.read(24)
+        if not head:
+            return False
+        if head[:2] != b"\x1f\x8b":
+            raise ValueError(f"{self.path}, {self.member}: not a gzip member")
+        if len(head) >= 20 and head[3] & 4 and head[12:14] == b"sl":
+            self.next = self.member + struct.unpack("<I", head[16:20])[0]
+        self.f.seek(self.member)
+        self.inflate = zlib.decompressobj(31)
+        return True
+
+    def more(self) -> bool:
+        """Whether another record begins; line ends between records are passed over."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            if self.held:
+                if not self.zipped:
+                    self.member = self.f.tell() - len(self.held)
+                return True
+            if not self._fill():
+                return False
+
+    def until(self, mark: bytes, limit: int | None = None) -> bytes:
+        """Bytes up to and with the mark, or as many as the limit where the mark does not come before."""
+        looked = 0
+        while (at := self.held.find(mark, looked)) < 0 and (limit is None or len(self.held) < limit):
+            looked = max(len(self.held) - len(mark), 0)
+            if not self._fill():
+                raise ValueError(f"{self.path}, {self.member}: a record is cut short")
+        n = at + len(mark) if at >= 0 else limit
+        return self.take(n if limit is None else min(n, limit))
+
+    def take(self, n: int) -> bytes:
+        parts, left = [], n
+        while len(self.held) < left:
+            parts.append(self.held)
+            left -= len(self.held)
+            self.held = b""
+            if not self._fill():
+                raise ValueError(f"{self.path}, {self.member}: a record is cut short")
+        parts.append(self.held[:left])
+        self.held = self.held[left:]
+        return b"".join(parts)
+
+    def leave(self, n: int) -> None:
+        """Pass over what is left of a record, without inflating it where that can be."""
+        if self.zipped and self.next is not None:
+            self.f.seek(self.next)
+            self.inflate, self.held = None, b""
+        elif not self.zipped and n > len(self.held):
+            self.f.seek(n - len(self.held), io.SEEK_CUR)
+            self.held = b""
+        else:
+            while n > len(self.held):
+                n -= len(self.held)
+                self.held = b""
+                if not self._fill():
+                    raise ValueError(f"{self.path}, {self.member}: a record is cut short")
+            self.held = self.held[n:]
+
+
 class WarcSource(DataSource):
     """format("warc"): option payload=false never inflates payloads; verify=true checks those that are read."""
 
