@@ -170,6 +170,14 @@ def oracle_sql() -> dict[str, str]:
         "enforcement_delta": q(*broken(expected="exp"), *REPAIRED, """b AS (SELECT count_if(is_valid)::DOUBLE / count(*) AS c, count_if(NOT is_valid)::BIGINT AS n, count_if(is_valid)::BIGINT AS v FROM rep),
             a AS (SELECT count_if(is_valid)::DOUBLE / count(*) AS c, count_if(NOT is_valid)::BIGINT AS n, count_if(is_valid)::BIGINT AS v FROM rep_2)""",
             "SELECT b.c AS coverage_before, b.n AS n_broken_before, b.v AS n_valid_before, a.c AS coverage_after, a.n AS n_broken_after, a.v AS n_valid_after, a.c - b.c AS coverage_gain, a.v - b.v AS repaired_pairs FROM a, b"),
+        "recovery": q(*broken(expected="exp"), *REPAIRED, "b AS (SELECT count_if(is_valid)::DOUBLE / count(*) AS c FROM rep), a AS (SELECT count_if(is_valid)::DOUBLE / count(*) AS c FROM rep_2)",
+            "SELECT b.c AS coverage_before, a.c AS coverage_after, CASE WHEN b.c < 1 THEN (a.c - b.c) / (1.0 - b.c) END AS recovery FROM a, b"),
+        "ap_advantage": q("c AS (SELECT o_orderpriority AS dataset, CASE WHEN o_orderkey % 2 = 0 THEN 'prior' ELSE 'corroboration' END AS s, month(o_orderdate) / 12.0::DOUBLE AS theta, (o_orderkey % 97) / 96.0::DOUBLE AS r, (o_custkey % 89) / 88.0::DOUBLE AS p FROM orders)",
+            "pts AS MATERIALIZED (SELECT DISTINCT dataset, s, round_even(avg(r), 4) AS recall, round_even(avg(p), 4) AS precision FROM c GROUP BY dataset, s, theta)", "t AS (SELECT dataset, s, max(recall) AS top FROM pts GROUP BY 1, 2)",
+            "g AS (SELECT t.dataset, t.s, t.top, i, coalesce(max(p.precision), 0.0) AS b FROM t CROSS JOIN range(0, 101) r(i) LEFT JOIN pts p ON p.dataset = t.dataset AND p.s = t.s AND p.recall >= t.top * i / 100.0::DOUBLE - 1e-9 GROUP BY 1, 2, 3, 4)",
+            "ap AS (SELECT x.dataset, x.s, sum((x.b + y.b) / 2.0 * (x.top / 100.0)) AS ap FROM g x JOIN g y ON y.dataset = x.dataset AND y.s = x.s AND y.i = x.i + 1 GROUP BY 1, 2)",
+            "v AS (SELECT dataset, coalesce(max(ap) FILTER (s = 'prior'), 0.0) AS a, coalesce(max(ap) FILTER (s = 'corroboration'), 0.0) AS b FROM ap GROUP BY 1)",
+            "SELECT dataset, round_even(a, 9) AS ap_prior, round_even(b, 9) AS ap_corroboration, round_even(b - a, 9) AS advantage FROM v"),
         "newly_valid": q(*broken(expected="exp"), *REPAIRED, "SELECT instance, concept, instance || '~' || concept AS label FROM (SELECT instance, concept FROM rep_2 WHERE is_valid EXCEPT SELECT instance, concept FROM rep WHERE is_valid)"),
         "edge_quality": q(*broken(MIX), PATHS, PROPOSE, _APPLIED.format(theta=0.5), "t AS (SELECT count(*) AS n, (SELECT count(*) FROM app SEMI JOIN dual USING (src, dst, relation)) AS k FROM app)",
             "SELECT n AS n_added, k AS n_true, k::DOUBLE / n AS edge_precision, 1 - k::DOUBLE / n AS hallucination FROM t"),
@@ -198,6 +206,15 @@ def oracle_sql() -> dict[str, str]:
         "thread_paths": q(*broken(), "w(s, t, path) AS (SELECT dst, dst, [dst] FROM e WHERE relation = 'hasExtension' UNION SELECT w.s, e.dst, list_append(w.path, e.dst) FROM w JOIN e ON e.src = w.t AND e.relation = 'supersetOf')",
             f"full_ AS (SELECT {_NAME.format(x='h.src')} AS concept, x.dst AS instance, [h.src] || w.path || [x.dst] AS path FROM e h JOIN w ON w.s = h.dst JOIN e x ON x.src = w.t AND x.relation = 'hasElement' WHERE h.relation = 'hasExtension')",
             "b AS (SELECT concept, instance, first(array_to_string(path, '>') ORDER BY len(path), array_to_string(path, chr(1))) AS path FROM full_ GROUP BY 1, 2)", "SELECT f.instance, f.concept, b.path FROM frozen f LEFT JOIN b USING (instance, concept)"),
+        "has_thread": q(*broken(MIX), "SELECT instance, concept FROM rep WHERE is_valid"),
+        "components": q(GEO, f"t AS (SELECT child AS s, parent AS d FROM tax UNION {PRODUCT_TAX} UNION SELECT 'customer:' || c_custkey, 'segment:' || c_nationkey || ':' || c_mktsegment FROM customer)",
+            "b AS (SELECT s, d FROM t UNION SELECT d, s FROM t)", "r(id, o) AS (SELECT s, s FROM b UNION SELECT r.id, b.d FROM r JOIN b ON b.s = r.o)", "SELECT id, min(o) AS component FROM r GROUP BY 1"),
+        "rank_sums": q("d AS (SELECT l_returnflag || '-' || l_linestatus AS dataset, l_discount::DOUBLE AS a, l_tax::DOUBLE AS b FROM lineitem)",
+            "s AS (SELECT dataset, abs(a - b) AS size, count(*) AS t, count_if(a - b > 0) AS plus, count_if(abs(a - b) > 1e-8::DOUBLE + 1e-5::DOUBLE * abs(b)) AS far FROM d WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2)",
+            "r AS (SELECT *, sum(t) OVER (PARTITION BY dataset ORDER BY size) - (t - 1) / 2.0::DOUBLE AS rank FROM s WHERE size > 0)",
+            """SELECT x.dataset, x.n_pairs, coalesce(n, 0)::BIGINT AS n, n_zero, coalesce(n_sizes, 0)::BIGINT AS n_sizes, coalesce(y.plus, 0)::DOUBLE AS plus, coalesce(ties, 0)::DOUBLE AS ties, x.far FROM
+            (SELECT dataset, sum(t)::BIGINT AS n_pairs, sum(CASE WHEN size = 0 THEN t ELSE 0 END)::BIGINT AS n_zero, sum(far)::BIGINT AS far FROM s GROUP BY 1) x
+            LEFT JOIN (SELECT dataset, sum(t) AS n, count(*) AS n_sizes, sum(plus * rank) AS plus, sum(t::DOUBLE * t * t - t) AS ties FROM r GROUP BY 1) y USING (dataset)"""),
         "pr_points": q(CURVE, "SELECT dataset, theta, recall, precision FROM pts"),
         "average_precision": q(CURVE, "t AS (SELECT dataset, max(recall) AS top FROM pts GROUP BY 1)",
             "g AS (SELECT t.dataset, t.top, i, coalesce(max(p.precision), 0.0) AS b FROM t CROSS JOIN range(0, 101) r(i) LEFT JOIN pts p ON p.dataset = t.dataset AND p.recall >= t.top * i / 100.0::DOUBLE - 1e-9 GROUP BY 1, 2, 3)",

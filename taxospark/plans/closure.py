@@ -83,6 +83,33 @@ def component_of(pairs: DataFrame, root: str) -> DataFrame:
     return reach(kept(both, "both"), pairs.sparkSession.createDataFrame([(root,)], "id string"))
 
 
+def components(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, id, component): the smallest id of each weakly connected component, for every id of the pairs (by, src, dst).
+
+    Every id is linked to the smallest one of its neighbourhood, in turn by its larger and by its smaller neighbours, until
+    the links are stars; rounds grow with the logarithm of the longest path. A hub's links are aggregated before they are
+    shuffled, and no round makes more links than it got, but for one each id.
+    """
+    by = list(by)
+    ids = kept(pairs.select(*by, F.col("src").alias("id")).unionByName(pairs.select(*by, F.col("dst").alias("id"))).where("id is not null").distinct(), "ids")
+    pair = F.struct(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    links = kept(pairs.where(F.col("src") != F.col("dst")).select(*by, pair.alias("p")).select(*by, "p.*").distinct(), "links")
+    seen = None
+    while True:
+        both = links.unionByName(links.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+        lowest = both.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*by, "u", F.least("u", "m").alias("m"))
+        large = both.join(lowest, [*by, "u"]).where(F.col("v") > F.col("u")).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lower = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
+        small = large.join(lower, [*by, "u"]).select(*by, F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        links = kept(small.where(F.col("u") != F.col("v")).distinct(), "links")
+        h = F.xxhash64(*by, "u", "v")  # equal sets have equal counts, sums and exclusive sums of hashes
+        now = links.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first()
+        if now == seen:
+            break
+        seen = now
+    return ids.join(links.select(*by, F.col("u").alias("id"), F.col("v").alias("component")), [*by, "id"], "left").withColumn("component", F.coalesce("component", "id"))
+
+
 def cyclic_core(pairs: DataFrame) -> DataFrame:
     """The pairs that stay when nodes without way in or without way out are peeled off, again and again."""
     left = kept(pairs.select("src", "dst").distinct(), "core")

@@ -330,12 +330,47 @@ def holm(spark, sf):
     return stats.holm(tests).select("dataset", "p", F.bround("holm_p", 9).alias("holm_p"), "significant")
 
 
+def ap_advantage(spark, sf):
+    """Pooled advantage of one half of the orders over the other."""
+    grid = catalog.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("dataset"), F.when(F.col("o_orderkey") % 2 == 0, "prior").otherwise("corroboration").alias("confidence"), (F.month("o_orderdate") / 12.0).alias("theta"), (F.pmod("o_orderkey", F.lit(97)) / 96.0).alias("edge_recall"), (F.pmod("o_custkey", F.lit(89)) / 88.0).alias("edge_precision"))
+    return stats.precision_advantage(grid, "edge_precision").select("dataset", *(F.bround(c, 9).alias(c) for c in ("ap_prior", "ap_corroboration", "advantage")))
+
+
+def recovery(spark, sf):
+    """The share of the lost coverage that a repair brings back."""
+    delta = enforcement_delta(spark, sf)
+    return delta.select("coverage_before", "coverage_after", metrics.recovery_fraction(F.col("coverage_before"), F.col("coverage_after")).alias("recovery"))
+
+
+def _line_pairs(spark, sf) -> DataFrame:
+    return catalog.table(spark, sf, "lineitem").select(F.concat_ws("-", "l_returnflag", "l_linestatus").alias("dataset"), F.col("l_discount").cast("double").alias("a"), F.col("l_tax").cast("double").alias("b"))
+
+
 def bootstrap_ci(spark, sf):
-    return stats.bootstrap_ci(pr_points(spark, sf), "precision", ("dataset",), 2000)
+    """Mean discount of all line items of a flag and status."""
+    return stats.bootstrap_ci(_line_pairs(spark, sf), "a", ("dataset",), 2000)
+
+
+def rank_sums(spark, sf):
+    """Discounts against taxes of all line items of a flag and status."""
+    return stats.rank_sums(_line_pairs(spark, sf), ("dataset",), "a", "b")
 
 
 def wilcoxon(spark, sf):
-    return stats.paired_tests(pr_points(spark, sf), ("dataset",), "recall", "precision")
+    return stats.paired_tests(_line_pairs(spark, sf), ("dataset",), "a", "b")
+
+
+def components(spark, sf):
+    """Components of both taxonomies and of customers of the same nation and segment, without any named root."""
+    tax = catalog.geo_taxonomy(spark, sf).unionByName(catalog.product_taxonomy(spark, sf))
+    c = catalog.table(spark, sf, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("child"), F.concat_ws(":", F.lit("segment"), F.col("c_nationkey").cast("string"), "c_mktsegment").alias("parent"))
+    return plans.components(tax.unionByName(c).select(F.col("child").alias("src"), F.col("parent").alias("dst")))
+
+
+def has_thread(spark, sf):
+    """Which expected pairs of the damaged graph still have a thread."""
+    _, dual, bad, _, _ = _damaged(spark, sf, "E-MIX")
+    return threads.has_thread(bad, threads.expected_pairs(dual))
 
 
 NAMES = (
@@ -343,7 +378,7 @@ NAMES = (
     "coverage_metrics enforcement_delta newly_valid flat_direct flat_transitive query_comparison graph_summary redundancy multi_parent damage_k damage_mix node_removal "
     "guidance_removal distractors rewire targeted_spine holdout flat_preimage single_node_valid repair_leaves repair_proposals repair_applied corroboration edge_quality "
     "closure_quality recall_of_repair false_memberships slice_depth slice_budget members_topk labels uri_parts root_component break_cycles clean_slice shortest_paths "
-    "grid_coverage grid_repair advantage pr_points average_precision pareto_front mean_ci holm bootstrap_ci wilcoxon"
+    "grid_coverage grid_repair advantage pr_points average_precision pareto_front mean_ci holm bootstrap_ci wilcoxon rank_sums components has_thread ap_advantage recovery"
 ).split()
 
 
