@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,9 @@ TABLE_BYTES, SUM_PAIRS = 4_500_000, 2_000_000
 #: Characters of text that are worked on at a time.
 RUN = 1_000_000
 #: Both sides begin anew at a blank behind a character that is no white space.
-_CHUNKS = re.compile(r"(?<=\S)(?= )")
+_CHUNKS = re.compile(r"(?<=\S) ")
+#: Blanks at which they may not: those behind white space.
+_INNER = re.compile(r"\s ")
 _PIECE_BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _A_BITS = 32
 
@@ -95,15 +97,16 @@ class Pair:
         self.marked = [f"{mark}{i}" for mark in ("\n", ",", "|", ";") for i in range(self.ids)]
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of side A and how many each chunk has, the same of side B. Chunks begin with a blank."""
+        """Ids of side A and how many each chunk has, the same of side B. A chunk's own blank in front is left out of its text."""
+        blank = [f" {c}" for c in chunks]
         if self.quick:
-            a = list(map(self.quick, chunks))
+            a = list(map(self.quick, blank))
             sizes, ids = np.fromiter(map(len, a), np.int64, len(a)), np.array(list(chain.from_iterable(a)), np.int64)
         else:
-            made = self.a.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+            made = self.a.encode(blank, is_pretokenized=True, add_special_tokens=False)
             sizes, ids = np.bincount(np.array(made.word_ids, np.int64), minlength=len(chunks)), np.array(made.ids, np.int64)
         # Side B adds the first blank itself, but adds none to an empty text.
-        b = [ids or [self.blank] for ids in self.b.encode([c[1:] for c in chunks], num_threads=1)]
+        b = [ids or [self.blank] for ids in self.b.encode(chunks, num_threads=1)]
         b_sizes = np.fromiter(map(len, b), np.int64, len(chunks))
         return ids, sizes, np.array(list(chain.from_iterable(b)), np.int64), b_sizes
 
@@ -154,16 +157,18 @@ class ChunkTable:
 
     def entries(self, chunks: list[str]) -> np.ndarray:
         known = self.known
-        found = list(map(known.get, chunks))
-        new = list(dict.fromkeys(c for c, k in zip(chunks, found) if k is None))
-        if new:
+        found = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            lacking = [chunks[k] for k in missing.tolist()]
+            new = list(dict.fromkeys(lacking))
             known.update(zip(new, range(len(known), len(known) + len(new))))
             self._align(new)
-            found = list(map(known.__getitem__, chunks))
-        return np.array(found, np.int64)
+            found[missing] = list(map(known.__getitem__, lacking))
+        return found
 
     def _align(self, chunks: list[str]) -> None:
-        raw = [c.encode() for c in chunks]
+        raw = [f" {c}".encode() for c in chunks]
         chunk_bytes, all_bytes = np.fromiter(map(len, raw), np.int64, len(raw)), b"".join(raw)
         self.size += len(all_bytes)
         pair = self.pair
@@ -220,6 +225,11 @@ def _pair(byte_level: str, pieces: str) -> Pair:
     return _made[byte_level, pieces]
 
 
+def _cut(text: str) -> list[str]:
+    """The chunks of a text, each without the blank in front of it (the first one's is not in the text)."""
+    return text.split(" ") if text[0] != " " and not _INNER.search(text) else _CHUNKS.split(text)
+
+
 def _gathered(table: ChunkTable, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Entries of all texts' chunks, and where each text's begin; the last place is the end. An empty text has none."""
     if table.size > TABLE_BYTES:
@@ -228,7 +238,7 @@ def _gathered(table: ChunkTable, texts: list[str]) -> tuple[np.ndarray, np.ndarr
     first = [0]
     for t in texts:
         if t:
-            chunks += _CHUNKS.split(" " + t)
+            chunks += _cut(t)
         first.append(len(chunks))
     return table.entries(chunks), np.array(first, np.int64)
 
