@@ -135,3 +135,21 @@ def test_draws_are_even(spark):
     times = {r["dst"]: r["count"] for r in put.groupBy("dst").count().collect()}
     assert set(times) == {f"abstract:n{i}" for i in range(3, 8)} and sum(times.values()) == 4000
     assert all(650 < n < 950 for n in times.values())
+
+
+def test_folded_validity(spark, dag):
+    """Counts over sets of members equal those over pairs, for derived and for given pairs; a hub, a lost member, repeats."""
+    _, dual = dag
+    lost = dual.edges.where(~((F.col("relation") == "hasElement") & F.col("dst").startswith("c3_1")) & ~((F.col("relation") == "supersetOf") & (F.col("dst") == "extension:c2_4")))
+    bad = stored(Graph(dual.nodes, lost.unionByName(lost.where("relation = 'hasElement'"))))
+    given = threads.expected_pairs(dual)
+    given = experiment.kept(given.unionByName(given).unionByName(spark.createDataFrame([("nobody", "c0_0"), ("m1", "unknown")], "instance string, concept string")), "given")
+    reach = {(r["instance"], r["concept"]) for r in threads.thread_pairs(bad).collect()}
+    for expected in (None, given):
+        rows = {tuple(r) for r in threads.validate(bad, expected).select("instance", "concept", "is_valid").collect()}
+        assert rows and all(ok == ((i, c) in reach) for i, c, ok in rows)
+        assert expected is None or {r[:2] for r in rows} == {tuple(r) for r in given.select("instance", "concept").collect()}
+        want = collections.Counter(c for _, c, _ in rows), collections.Counter(c for _, c, ok in rows if ok)
+        got = {r["concept"]: (r["n_expected"], r["n_valid"]) for r in threads.concept_coverage(bad, expected).collect()}
+        assert got == {c: (n, want[1][c]) for c, n in want[0].items()}
+        assert len(rows) == threads.validate(bad, expected).count()
