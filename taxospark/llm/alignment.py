@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, doc_text, kept
+from .common import CACHES, blocks, doc_text, kept
 from .token_counts import byte_letters
 
 #: Pair counts that one pass holds in memory, at most (some 20 bytes each, in the driver and each Python worker).
@@ -217,6 +217,7 @@ class ChunkTable:
 
 
 _made: dict = {}
+CACHES.append(_made.clear)
 
 
 def _pair(byte_level: str, pieces: str) -> Pair:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,21 @@ from ..storage import kept, shared_dir  # noqa: F401 (kept is used by the operat
 BLOCK_BYTES = 4_000_000
 
 
+#: What empties the caches that a Python worker keeps between tasks; an operator's module adds its own.
+CACHES: list[Callable[[], None]] = []
+
+
+def free_caches() -> None:
+    """Give back the memory of all caches of this worker, which outlive the stage that filled them."""
+    for clear in CACHES:
+        clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library keeps its free memory
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, doc_text, kept, safe_cuts
+from .common import BLOCK_BYTES, CACHES, blocks, doc_text, kept, safe_cuts
 from .pretokens import words_of
 
 #: Documents that one group packs together, cached pre-tokens in a Python worker, and bytes of text that it works on at a time.
@@ -27,6 +27,7 @@ GROUP_ROWS = 8192
 CACHE_WORDS = 250_000
 RUN_BYTES = 1_500_000
 _library: dict = {}
+CACHES.append(_library.clear)
 
 
 class WordTable:

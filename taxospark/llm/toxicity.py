@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, doc_text, kept
+from .common import blocks, doc_text, free_caches, kept
 
 #: Labelled documents of each class that the model is fitted on, at most; a class takes no more once it has so many characters.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3_000, 6_000, 50_000_000
@@ -306,6 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> dict:
     sample = texts.join(F.broadcast(fitting), "doc_id", "left_semi").withColumn("grp", F.lit(0))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        free_caches()
         pdf = pdf.sort_values(["doc_id", "text"])
         return pd.DataFrame({"model": [json.dumps(fit(pdf["text"].tolist(), pdf["y"].to_numpy(np.int64)))]})
 
@@ -335,6 +336,7 @@ def _tagged(model: dict, texts: list[str], known: dict[bytes, float]) -> tuple:
 
 def _scorer(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         known: dict[bytes, float] = {}
         for batch in batches:
             for ids, texts in blocks(batch.column(0), batch.column(1)):
@@ -358,6 +360,7 @@ def keep(docs: DataFrame, model: dict, below: float, text_col: str = "text") ->
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_caches()
         known: dict[bytes, float] = {}
         for batch in batches:
             at = 0
