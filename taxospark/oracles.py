@@ -207,6 +207,9 @@ def oracle_sql() -> dict[str, str]:
             f"full_ AS (SELECT {_NAME.format(x='h.src')} AS concept, x.dst AS instance, [h.src] || w.path || [x.dst] AS path FROM e h JOIN w ON w.s = h.dst JOIN e x ON x.src = w.t AND x.relation = 'hasElement' WHERE h.relation = 'hasExtension')",
             "b AS (SELECT concept, instance, first(array_to_string(path, '>') ORDER BY len(path), array_to_string(path, chr(1))) AS path FROM full_ GROUP BY 1, 2)", "SELECT f.instance, f.concept, b.path FROM frozen f LEFT JOIN b USING (instance, concept)"),
         "has_thread": q(*broken(MIX), "SELECT instance, concept FROM rep WHERE is_valid"),
+        "strong_components": q(PRODUCT, "e AS MATERIALIZED (SELECT child AS s, parent AS d FROM tax UNION SELECT parent, min(child) FROM tax WHERE child LIKE 'pc:%' GROUP BY parent)",
+            "r AS (SELECT s, d FROM e UNION SELECT r.s, e.d FROM r JOIN e ON e.s = r.d)",
+            "SELECT a.s AS id, min(a.d) AS component FROM r a JOIN r b ON b.s = a.d AND b.d = a.s GROUP BY a.s"),
         "components": q(GEO, f"t AS (SELECT child AS s, parent AS d FROM tax UNION {PRODUCT_TAX} UNION SELECT 'customer:' || c_custkey, 'segment:' || c_nationkey || ':' || c_mktsegment FROM customer)",
             "b AS (SELECT s, d FROM t UNION SELECT d, s FROM t)", "r(id, o) AS (SELECT s, s FROM b UNION SELECT r.id, b.d FROM r JOIN b ON b.s = r.o)", "SELECT id, min(o) AS component FROM r GROUP BY 1"),
         "rank_sums": q("d AS (SELECT l_returnflag || '-' || l_linestatus AS dataset, l_discount::DOUBLE AS a, l_tax::DOUBLE AS b FROM lineitem)",

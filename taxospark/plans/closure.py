@@ -129,13 +129,86 @@ def is_acyclic(pairs: DataFrame) -> bool:
     return cyclic_core(pairs).isEmpty()
 
 
+def _highest(pairs: DataFrame, order: Column) -> DataFrame:
+    """(id, top): for every id of the pairs the highest id, in the given order of src, that reaches it, itself included.
+
+    A round takes the tops of the neighbours before and the top of the own top, which is reached by it, so rounds grow with
+    the logarithm of the way where tops are far apart.
+    """
+    ids = pairs.select("src").union(pairs.select("dst")).distinct()
+    tops = kept(ids.select(F.col("src").alias("id"), F.struct(order.alias("o"), F.col("src").alias("i")).alias("top")), "tops")
+    while True:
+        ahead = pairs.join(tops.select(F.col("id").alias("src"), "top"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("top").alias("top"))
+        over = tops.select("id", F.col("top.i").alias("via")).join(tops.select(F.col("id").alias("via"), "top"), "via").select("id", "top")
+        best = ahead.unionByName(over).groupBy("id").agg(F.max("top").alias("best"))
+        now = kept(tops.join(best, "id", "left").select("id", F.greatest("top", "best").alias("top"), (F.col("best") > F.col("top")).alias("rose")), "tops")
+        tops = now.select("id", "top")
+        if now.where("rose").isEmpty():
+            return tops.select("id", F.col("top.i").alias("top"))
+
+
+def _coloured(pairs: DataFrame) -> DataFrame:
+    """(id, component) by forward and backward colouring. The ids that share a highest id before them form a colour; those
+    that also reach it inside the colour are its component. All colours are worked on at once; what is left over goes on
+    inside its colour. The pairs are a cyclic core; ids on no cycle may form components of one."""
+    done, left = None, pairs
+    while not left.isEmpty():
+        before = _highest(left, F.xxhash64("src"))  # mixed, so that few colours hold many components behind one another
+        own = left.join(before.select(F.col("id").alias("src"), "top"), "src").join(before.select(F.col("id").alias("dst"), F.col("top").alias("other")), "dst")
+        inside = kept(own.where(F.col("top") == F.col("other")).select("src", "dst"), "inside")
+        after = _highest(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), F.xxhash64("src"))
+        found = kept(before.join(after.withColumnRenamed("top", "back"), "id").where(F.col("top") == F.col("back")).select("id", F.col("top").alias("component")), "strong")
+        done = found if done is None else done.unionByName(found)
+        rest = inside.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
+        left = cyclic_core(rest)
+    return pairs.select(F.col("src").alias("id"), F.col("src").alias("component")).where("false") if done is None else done
+
+
+def _strong(pairs: DataFrame) -> DataFrame:
+    """(id, component) as _coloured, with runs of nodes that have one way in and one way out drawn together first.
+
+    Such a run is one pair from the node before it to the node after it; it belongs to their component if they share one.
+    A run without a node before it is a whole cycle. The contraction is repeated while it takes a quarter of the pairs.
+    """
+    core = cyclic_core(pairs)
+    ends = core.groupBy(F.col("src").alias("id")).count().where("count = 1").select("id")
+    single = kept(ends.join(core.groupBy(F.col("dst").alias("id")).count().where("count = 1").select("id"), "id"), "single")
+    n, m = core.count(), single.count()
+    if 4 * m < n or not m:
+        return _coloured(core)
+    flag = lambda side: single.select(F.col("id").alias(side), F.lit(True).alias(f"{side}_in"))
+    marked = kept(core.join(flag("src"), "src", "left").join(flag("dst"), "dst", "left").fillna(False, ["src_in", "dst_in"]), "marked")
+    linked = components(marked.where("src_in and dst_in").select("src", "dst"))
+    runs = kept(single.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("run")), "runs")
+    first = marked.where("not src_in and dst_in").join(runs.select(F.col("id").alias("dst"), "run"), "dst").select("run", F.col("src").alias("u"))
+    last = marked.where("src_in and not dst_in").join(runs.select(F.col("id").alias("src"), "run"), "src").select("run", F.col("dst").alias("w"))
+    bridges = kept(first.join(last, "run"), "bridges")
+    rest = marked.where("not src_in and not dst_in").select("src", "dst").unionByName(bridges.select(F.col("u").alias("src"), F.col("w").alias("dst")))
+    inner = kept(_strong(rest), "strong")
+    at = lambda side: inner.select(F.col("id").alias(side), F.col("component").alias(f"{side}_part"))
+    closed = bridges.join(at("u"), "u").join(at("w"), "w").where("u_part = w_part").select("run", F.col("u_part").alias("component"))
+    whole = runs.join(bridges.select("run"), "run", "left_anti").select("id", F.col("run").alias("component"))
+    return inner.unionByName(runs.join(closed, "run").select("id", "component")).unionByName(whole)
+
+
+def strong_components(pairs: DataFrame) -> DataFrame:
+    """(id, component): for every id on a cycle of the pairs (src, dst) the smallest id that it can reach and that reaches
+    it. Ids on no cycle, null ids and all ids of an empty table have no row; repeated pairs count once, and a pair of an id
+    with itself is a cycle. No closure is made: the tables are as large as the cyclic core."""
+    pairs = pairs.select("src", "dst").where("src is not null and dst is not null").distinct()
+    parts = kept(_strong(pairs), "strong")
+    sizes = parts.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    loops = pairs.where("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("loop"))
+    named = parts.join(sizes, "component").join(loops, "id", "left").where("n > 1 or loop")
+    return named.select("id", F.col("least").alias("component"))
+
+
 def break_cycles(pairs: DataFrame, root: str) -> DataFrame:
     """child -> parent pairs without cycles: inside a strongly connected part only pairs that lead towards the root in
     the order of (distance to the root, id) stay."""
-    core = cyclic_core(pairs)
-    closed = closure(core)
-    mutual = closed.alias("x").join(closed.alias("y"), (F.col("x.src") == F.col("y.dst")) & (F.col("x.dst") == F.col("y.src"))).select("x.src", "x.dst")
-    inside = core.join(mutual, ["src", "dst"], "left_semi").unionByName(core.where("src = dst"))
+    parts = kept(strong_components(pairs), "parts")
+    own = pairs.select("src", "dst").distinct().join(parts.select(F.col("id").alias("src"), F.col("component").alias("a")), "src")
+    inside = own.join(parts.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").where("a = b").select("src", "dst")
     down = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
     depth = kept(levels(down, root), "depth")
     far = lambda side: depth.select(F.col("id").alias(side), F.col("depth").alias(f"{side}_depth"))
@@ -163,24 +236,32 @@ def levels(pairs: DataFrame, root: str, limit: int | None = None) -> DataFrame:
 def betweenness(pairs: DataFrame) -> DataFrame:
     """(src, dst, score): share of shortest paths over an edge, summed over all ordered pairs, by n(n-1).
 
-    Path counts are kept for each (source, target): as large as the closure, so for taxonomies only.
+    Path counts go forward from each source level by level, dependencies come back level by level: the last edge into a
+    node carries its share of the node's own pair and of all that was carried beyond it. The tables have a row for each
+    source and edge on a shortest path from it; sources and targets never meet.
     """
     edges = kept(pairs.select("src", "dst").distinct(), "edges")
     ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     seen = level = kept(ids.select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0).alias("d"), F.lit(1.0).cast("double").alias("paths")), "sigma")
+    depth = 0
     while True:
         step = level.join(edges, level["t"] == edges["src"]).groupBy("s", F.col("dst").alias("t")).agg((F.first("d") + 1).alias("d"), F.sum("paths").alias("paths"))
         level = kept(step.join(seen.select("s", "t"), ["s", "t"], "left_anti"), "sigma")
         if level.isEmpty():
             break
+        depth += 1
         seen = kept(seen.unionByName(level), "sigma")
-    first, last, whole = seen.alias("a"), seen.alias("b"), seen.alias("c")
-    on_path = (
-        edges.join(first, F.col("a.t") == F.col("src"))
-        .join(last, F.col("b.s") == F.col("dst"))
-        .join(whole, (F.col("c.s") == F.col("a.s")) & (F.col("c.t") == F.col("b.t")))
-        .where(F.col("a.d") + 1 + F.col("b.d") == F.col("c.d"))
-    )
+    near = edges.join(seen.select("s", F.col("t").alias("src"), (F.col("d") + 1).alias("d"), F.col("paths").alias("before")), "src")
+    steps = kept(near.join(seen.select("s", F.col("t").alias("dst"), "d", "paths"), ["s", "dst", "d"]).select("s", "src", "dst", "d", (F.col("before") / F.col("paths")).alias("share")), "steps")
+    beyond, scores = None, None
+    for d in range(depth, 0, -1):
+        here = steps.where(F.col("d") == d)
+        here = here.withColumn("more", F.lit(0.0)) if beyond is None else here.join(beyond, ["s", "dst"], "left").fillna(0.0, ["more"])
+        carried = kept(here.select("s", "src", "dst", (F.col("share") * (F.col("more") + 1)).alias("score")), "carried")
+        beyond = carried.groupBy("s", F.col("src").alias("dst")).agg(F.sum("score").alias("more"))
+        part = carried.select("src", "dst", "score")
+        scores = part if scores is None else scores.unionByName(part)
     n = ids.count()
-    scores = on_path.groupBy("src", "dst").agg(F.sum(F.col("a.paths") * F.col("b.paths") / F.col("c.paths")).alias("score"))
-    return scores.withColumn("score", F.col("score") / F.lit(float(n * (n - 1) or 1)))
+    if scores is None:
+        return edges.where("false").withColumn("score", F.lit(0.0))
+    return scores.groupBy("src", "dst").agg((F.sum("score") / F.lit(float(n * (n - 1) or 1))).alias("score"))

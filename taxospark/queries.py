@@ -367,6 +367,13 @@ def components(spark, sf):
     return plans.components(tax.unionByName(c).select(F.col("child").alias("src"), F.col("parent").alias("dst")))
 
 
+def strong_components(spark, sf):
+    """The product taxonomy with every type and every brand also below its lowest class, which makes many cycles."""
+    tax = kept(_tax(spark, sf))
+    back = tax.where(F.col("src").startswith("pc:")).groupBy(F.col("dst").alias("up")).agg(F.min("src").alias("dst")).select(F.col("up").alias("src"), "dst")
+    return plans.strong_components(tax.unionByName(back))
+
+
 def has_thread(spark, sf):
     """Which expected pairs of the damaged graph still have a thread."""
     _, dual, bad, _, _ = _damaged(spark, sf, "E-MIX")
@@ -378,7 +385,7 @@ NAMES = (
     "coverage_metrics enforcement_delta newly_valid flat_direct flat_transitive query_comparison graph_summary redundancy multi_parent damage_k damage_mix node_removal "
     "guidance_removal distractors rewire targeted_spine holdout flat_preimage single_node_valid repair_leaves repair_proposals repair_applied corroboration edge_quality "
     "closure_quality recall_of_repair false_memberships slice_depth slice_budget members_topk labels uri_parts root_component break_cycles clean_slice shortest_paths "
-    "grid_coverage grid_repair advantage pr_points average_precision pareto_front mean_ci holm bootstrap_ci wilcoxon rank_sums components has_thread ap_advantage recovery"
+    "grid_coverage grid_repair advantage pr_points average_precision pareto_front mean_ci holm bootstrap_ci wilcoxon rank_sums components strong_components has_thread ap_advantage recovery"
 ).split()
 
 
