@@ -81,6 +81,17 @@ def q(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes[:-1]) + "\n" + ctes[-1]
 
 
+#: The product taxonomy with every type and brand also below its lowest class, each pair judged by reach and by the
+#: distance of its ends from the root: kept are pairs on no cycle and those that lead towards the root.
+UNTANGLED = """
+e AS MATERIALIZED (SELECT child AS s, parent AS d FROM tax UNION SELECT parent, min(child) FROM tax WHERE child LIKE 'pc:%' GROUP BY parent),
+r AS (SELECT s, d FROM e UNION SELECT r.s, e.d FROM r JOIN e ON e.s = r.d),
+far(id, n) AS (SELECT 'product', 0 UNION SELECT e.s, far.n + 1 FROM far JOIN e ON e.d = far.id WHERE far.n < 5),
+rank AS (SELECT id, min(n) AS n FROM far GROUP BY id),
+left_over AS MATERIALIZED (SELECT e.s AS src, e.d AS dst FROM e LEFT JOIN r ON r.s = e.d AND r.d = e.s JOIN rank a ON a.id = e.s JOIN rank b ON b.id = e.d
+  WHERE r.s IS NULL OR (b.n, b.id) < (a.n, a.id))"""
+
+
 def broken(where: str = SO, expected: str = "frozen") -> tuple[str, ...]:
     return PRODUCT, DUAL, FROZEN, removed(where, 0.2), WALKS, REPORT.format(expected=expected)
 
@@ -210,6 +221,11 @@ def oracle_sql() -> dict[str, str]:
         "strong_components": q(PRODUCT, "e AS MATERIALIZED (SELECT child AS s, parent AS d FROM tax UNION SELECT parent, min(child) FROM tax WHERE child LIKE 'pc:%' GROUP BY parent)",
             "r AS (SELECT s, d FROM e UNION SELECT r.s, e.d FROM r JOIN e ON e.s = r.d)",
             "SELECT a.s AS id, min(a.d) AS component FROM r a JOIN r b ON b.s = a.d AND b.d = a.s GROUP BY a.s"),
+        "fallback_pairs": q(PRODUCT, DUAL, f"ext AS (SELECT {_NAME.format(x='dst')} AS child, {_NAME.format(x='src')} AS parent FROM dual WHERE relation = 'supersetOf')",
+            "up(d, a) AS (SELECT child, parent FROM ext UNION SELECT up.d, ext.parent FROM up JOIN ext ON ext.child = up.a)", "SELECT instance, concept FROM inst UNION SELECT i.instance, up.a FROM inst i JOIN up ON up.d = i.concept"),
+        "cycles_broken": q(PRODUCT, UNTANGLED, "SELECT src, dst FROM left_over"),
+        "clean_slice_overlap": q(PRODUCT, UNTANGLED, "listed AS (SELECT instance, concept FROM inst UNION SELECT s, d FROM e)",
+            "SELECT instance, concept FROM listed WHERE concept IN (SELECT src FROM left_over) AND concept NOT IN (SELECT dst FROM left_over) AND instance NOT IN (SELECT src FROM left_over UNION SELECT dst FROM left_over)"),
         "components": q(GEO, f"t AS (SELECT child AS s, parent AS d FROM tax UNION {PRODUCT_TAX} UNION SELECT 'customer:' || c_custkey, 'segment:' || c_nationkey || ':' || c_mktsegment FROM customer)",
             "b AS (SELECT s, d FROM t UNION SELECT d, s FROM t)", "r(id, o) AS (SELECT s, s FROM b UNION SELECT r.id, b.d FROM r JOIN b ON b.s = r.o)", "SELECT id, min(o) AS component FROM r GROUP BY 1"),
         "rank_sums": q("d AS (SELECT l_returnflag || '-' || l_linestatus AS dataset, l_discount::DOUBLE AS a, l_tax::DOUBLE AS b FROM lineitem)",

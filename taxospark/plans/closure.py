@@ -1,7 +1,8 @@
 """Closures, walks, shortest paths and components as loops over joins.
 
-Each round writes its table to the shared folder, which cuts the lineage. Loops end on cycles too. Their tables are as
-large as the taxonomy's closure; memberships never take part.
+Each round writes what it found to the shared folder, which cuts the lineage; what a loop has found before is a log of
+such parts and never written again. Loops end on cycles too. Their tables are as large as the taxonomy's closure;
+memberships never take part.
 """
 
 from __future__ import annotations
@@ -9,25 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import kept
+from ..storage import Log, kept
 
 
 def closure(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, src, dst) for every dst that is reached from src over one or more pairs, without (x, x).
 
     Doubling: a round joins what is new with all that is known, on either side, so rounds grow with the logarithm of
-    the depth.
+    the depth. Every pair of the closure is written once.
     """
     key = [*by, "src", "dst"]
-    total = new = kept(pairs.select(*key).distinct(), "closure")
+    log = Log(pairs.select(*key).distinct(), "closure")
+    new = log.last()
     while True:
+        total = log.table()
         ahead = new.join(total.select(*by, F.col("src").alias("dst"), F.col("dst").alias("far")), [*by, "dst"])
         behind = total.join(new.select(*by, F.col("src").alias("dst"), F.col("dst").alias("far")), [*by, "dst"])
         found = ahead.unionByName(behind).select(*by, "src", F.col("far").alias("dst")).distinct()
-        new = kept(found.join(total, key, "left_anti"), "delta")
+        new = log.add(found.join(total, key, "left_anti"))
         if new.isEmpty():
             return total.where("src <> dst")
-        total = kept(total.unionByName(new), "closure")
 
 
 def reflexive(closed: DataFrame, ids: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -37,13 +39,14 @@ def reflexive(closed: DataFrame, ids: DataFrame, by: tuple[str, ...] = ()) -> Da
 
 def reach(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Ids that are reached from seeds (id) over pairs, the seeds among them: a walk of the frontier alone."""
-    seen = frontier = kept(seeds.select("id").distinct(), "frontier")
+    log = Log(seeds.select("id").distinct(), "reach")
+    frontier = log.last()
     while True:
+        seen = log.table()
         nxt = pairs.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = kept(nxt.join(seen, "id", "left_anti"), "frontier")
+        frontier = log.add(nxt.join(seen, "id", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = kept(seen.unionByName(frontier), "seen")
 
 
 def shortest_paths(pairs: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -53,28 +56,36 @@ def shortest_paths(pairs: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ()
     """
     edges = pairs.select(*by, F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
     start = wanted.select(*by, "src").distinct()
-    seen = level = kept(start.select(*by, "src", F.col("src").alias("dst"), F.array("src").alias("path")), "paths")
+    log = Log(start.select(*by, "src", F.col("src").alias("dst"), F.array("src").alias("path")), "paths")
+    level = log.last()
     while True:
+        seen = log.table()
         step = level.join(edges, [*(level[c] == edges[c] for c in by), level["dst"] == edges["at"]])
         step = step.select(*(level[c] for c in by), "src", F.col("to").alias("dst"), F.concat("path", F.array("to")).alias("path"))
         best = step.join(seen.select(*by, "src", "dst"), [*by, "src", "dst"], "left_anti").groupBy(*by, "src", "dst").agg(F.min("path").alias("path"))
-        level = kept(best, "level")
+        level = log.add(best)
         if level.isEmpty():
             return seen.join(wanted.select(*by, "src", "dst").distinct(), [*by, "src", "dst"], "left_semi")
-        seen = kept(seen.unionByName(level), "paths")
 
 
 def widest(weighted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, src, dst, width): the largest, over all paths, of a path's smallest weight. weighted: (by, src, dst, weight)."""
+    """(by, src, dst, width): the largest, over all paths, of a path's smallest weight. weighted: (by, src, dst, weight).
+
+    Doubling as in closure; a round joins only the pairs whose width rose, and writes only those that rise again.
+    """
     key = [*by, "src", "dst"]
-    total = kept(weighted.groupBy(*key).agg(F.max("weight").alias("width")), "widest")
+    log = Log(weighted.groupBy(*key).agg(F.max("weight").alias("width")), "widest")
+    new = log.last()
     while True:
-        other = total.select(*by, F.col("src").alias("dst"), F.col("dst").alias("far"), F.col("width").alias("w"))
-        longer = total.join(other, [*by, "dst"]).select(*by, "src", F.col("far").alias("dst"), F.least("width", "w").alias("width"))
-        new = kept(total.unionByName(longer).groupBy(*key).agg(F.max("width").alias("width")), "widest")
-        if new.exceptAll(total).isEmpty():
-            return new.where("src <> dst")
-        total = new
+        total = log.table().groupBy(*key).agg(F.max("width").alias("width"))
+        on = lambda t: t.select(*by, F.col("src").alias("dst"), F.col("dst").alias("far"), F.col("width").alias("w"))
+        longer = new.join(on(total), [*by, "dst"]).unionByName(total.join(on(new), [*by, "dst"]))
+        found = longer.groupBy(*by, "src", F.col("far").alias("dst")).agg(F.max(F.least("width", "w")).alias("width"))
+        known = total.select(*key, F.col("width").alias("before"), F.lit(True).alias("known"))
+        rises = "known is null or width > before or (before is null and width is not null)"
+        new = log.add(found.join(known, key, "left").where(rises))
+        if new.isEmpty():
+            return total.where("src <> dst")
 
 
 def component_of(pairs: DataFrame, root: str) -> DataFrame:
@@ -221,16 +232,15 @@ def break_cycles(pairs: DataFrame, root: str) -> DataFrame:
 def levels(pairs: DataFrame, root: str, limit: int | None = None) -> DataFrame:
     """(id, depth): distance from root over pairs."""
     spark = pairs.sparkSession
-    seen = frontier = kept(spark.createDataFrame([(root, 0)], "id string, depth int"), "levels")
-    depth = 0
+    log = Log(spark.createDataFrame([(root, 0)], "id string, depth int"), "levels")
+    frontier, depth = log.last(), 0
     while limit is None or depth < limit:
         depth += 1
         nxt = pairs.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = kept(nxt.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "levels")
+        frontier = log.add(nxt.join(log.table(), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = kept(seen.unionByName(frontier), "levels")
-    return seen
+    return log.table()
 
 
 def betweenness(pairs: DataFrame) -> DataFrame:
@@ -242,15 +252,15 @@ def betweenness(pairs: DataFrame) -> DataFrame:
     """
     edges = kept(pairs.select("src", "dst").distinct(), "edges")
     ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    seen = level = kept(ids.select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0).alias("d"), F.lit(1.0).cast("double").alias("paths")), "sigma")
-    depth = 0
+    log = Log(ids.select(F.col("id").alias("s"), F.col("id").alias("t"), F.lit(0).alias("d"), F.lit(1.0).cast("double").alias("paths")), "sigma")
+    level, depth = log.last(), 0
     while True:
+        seen = log.table()
         step = level.join(edges, level["t"] == edges["src"]).groupBy("s", F.col("dst").alias("t")).agg((F.first("d") + 1).alias("d"), F.sum("paths").alias("paths"))
-        level = kept(step.join(seen.select("s", "t"), ["s", "t"], "left_anti"), "sigma")
+        level = log.add(step.join(seen.select("s", "t"), ["s", "t"], "left_anti"))
         if level.isEmpty():
             break
         depth += 1
-        seen = kept(seen.unionByName(level), "sigma")
     near = edges.join(seen.select("s", F.col("t").alias("src"), (F.col("d") + 1).alias("d"), F.col("paths").alias("before")), "src")
     steps = kept(near.join(seen.select("s", F.col("t").alias("dst"), "d", "paths"), ["s", "dst", "d"]).select("s", "src", "dst", "d", (F.col("before") / F.col("paths")).alias("share")), "steps")
     beyond, scores = None, None

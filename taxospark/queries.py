@@ -380,12 +380,39 @@ def has_thread(spark, sf):
     return threads.has_thread(bad, threads.expected_pairs(dual))
 
 
+def fallback_pairs(spark, sf):
+    """Expected pairs of a graph that has lost its abstract layer, so that the taxonomy is read off the extension layer."""
+    g = _product(spark, sf)[1]
+    return threads.expected_pairs(Graph(g.nodes, g.edges.where(F.col("relation") != RELATIONS.sub_class_of)))
+
+
+def _tangled(spark, sf) -> DataFrame:
+    """The product taxonomy with every type and every brand also below its lowest class: many cycles that share classes."""
+    tax = _tax(spark, sf)
+    back = tax.where(F.col("src").startswith("pc:")).groupBy(F.col("dst").alias("up")).agg(F.min("src").alias("dst"))
+    return tax.unionByName(back.select(F.col("up").alias("src"), "dst"))
+
+
+def cycles_broken(spark, sf):
+    """What is left of the tangled taxonomy once no cycle is left in it."""
+    return plans.break_cycles(kept(_tangled(spark, sf)), "product")
+
+
+def clean_slice_overlap(spark, sf):
+    """A slice of the tangled taxonomy and the geographic one, of which only the root's component stays, with every class
+    also listed as a member of each of its classes: no class is left among the members."""
+    both = _tangled(spark, sf).unionByName(catalog.geo_taxonomy(spark, sf).select(F.col("child").alias("src"), F.col("parent").alias("dst")))
+    tax = kept(both.select(F.col("src").alias("child"), F.col("dst").alias("parent")))
+    listed = catalog.parts(spark, sf).unionByName(catalog.customers(spark, sf)).unionByName(tax.select(F.col("child").alias("instance"), F.col("parent").alias("concept")))
+    return slices.clean_slice(tax, listed, "product", 3, None, None)[1]
+
+
 NAMES = (
     "expand_edges expand_nodes expand_partial dual_pairs taxonomy_closure host_closure expected_pairs thread_pairs thread_paths validate_damaged validate_frozen trade_coverage "
     "coverage_metrics enforcement_delta newly_valid flat_direct flat_transitive query_comparison graph_summary redundancy multi_parent damage_k damage_mix node_removal "
     "guidance_removal distractors rewire targeted_spine holdout flat_preimage single_node_valid repair_leaves repair_proposals repair_applied corroboration edge_quality "
     "closure_quality recall_of_repair false_memberships slice_depth slice_budget members_topk labels uri_parts root_component break_cycles clean_slice shortest_paths "
-    "grid_coverage grid_repair advantage pr_points average_precision pareto_front mean_ci holm bootstrap_ci wilcoxon rank_sums components strong_components has_thread ap_advantage recovery"
+    "grid_coverage grid_repair advantage pr_points average_precision pareto_front mean_ci holm bootstrap_ci wilcoxon rank_sums components strong_components has_thread ap_advantage recovery fallback_pairs cycles_broken clean_slice_overlap"
 ).split()
 
 

@@ -28,9 +28,9 @@ def slice_by_depth(hypernyms: DataFrame, roots: DataFrame, max_depth: int, per_l
     return taxonomy, members.select(F.concat("concept", F.lit("_"), F.col("i").cast("string")).alias("instance"), "concept")
 
 
-def slice_by_budget(hypernyms: DataFrame, root: str, max_depth: int, max_classes: int) -> DataFrame:
-    """(child, parent) found walking down from root, until max_classes classes were taken up for expansion. Edges to
-    children that were not taken up stay; parents within the slice are added."""
+def slice_by_budget(hypernyms: DataFrame, root: str, max_depth: int, max_classes: int | None) -> DataFrame:
+    """(child, parent) found walking down from root, until max_classes classes were taken up for expansion (None: all).
+    Edges to children that were not taken up stay; parents within the slice are added."""
     spark = hypernyms.sparkSession
     taken = level = kept(spark.createDataFrame([(root,)], "id string"), "taken")
     edges, n = None, 1
@@ -38,7 +38,7 @@ def slice_by_budget(hypernyms: DataFrame, root: str, max_depth: int, max_classes
         step = hypernyms.join(level.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent").distinct()
         edges = step if edges is None else edges.unionByName(step)
         fresh = step.select(F.col("child").alias("id")).distinct().join(taken, "id", "left_anti")
-        level = kept(fresh.orderBy("id").limit(max(0, max_classes - n)), "level")
+        level = kept(fresh if max_classes is None else fresh.orderBy("id").limit(max(0, max_classes - n)), "level")
         got = level.count()
         if not got:
             break
@@ -57,9 +57,11 @@ def leaf_classes(taxonomy: DataFrame) -> DataFrame:
     return taxonomy.select(F.col("child").alias("id")).distinct().join(taxonomy.select(F.col("parent").alias("id")), "id", "left_anti")
 
 
-def members_per_class(instances: DataFrame, classes: DataFrame, per_class: int) -> DataFrame:
-    """The first per_class members, by id, of each class."""
+def members_per_class(instances: DataFrame, classes: DataFrame, per_class: int | None) -> DataFrame:
+    """The first per_class members, by id, of each class (None: all)."""
     own = instances.select("instance", "concept").distinct().join(classes.select(F.col("id").alias("concept")), "concept", "left_semi")
+    if per_class is None:
+        return own.select("instance", "concept")
     ranked = own.withColumn("n", F.expr("row_number() over (partition by concept order by instance)"))
     return ranked.where(F.col("n") <= per_class).select("instance", "concept")
 
@@ -69,7 +71,7 @@ def with_labels(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(labels.groupBy("id").agg(F.min("label").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def clean_slice(hypernyms: DataFrame, instances: DataFrame, root: str, max_depth: int, max_classes: int, per_class: int) -> tuple[DataFrame, DataFrame]:
+def clean_slice(hypernyms: DataFrame, instances: DataFrame, root: str, max_depth: int, max_classes: int | None, per_class: int | None) -> tuple[DataFrame, DataFrame]:
     """A slice without cycles, only the root's component, members of its leaf classes that are no classes themselves."""
     raw = slice_by_budget(hypernyms, root, max_depth, max_classes)
     acyclic = kept(break_cycles(raw.select(F.col("child").alias("src"), F.col("parent").alias("dst")), root), "acyclic")
