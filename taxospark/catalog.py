@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import Graph
+from .operators.folding import set_id
 from .sources.build import flat_graph
 
 
@@ -53,6 +54,21 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(own, "l_partkey").select("instance", "concept").unionByName(items.join(where, "l_suppkey").select("instance", "concept")).distinct()
 
 
+def folded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instance, set_id, concepts): every line item with the sorted classes that line_items gives it.
+
+    A line's two classes stay in one row, found by its keys; lines are shuffled once by part and once by their own key,
+    which are numbers, and their ids are made last. The ids of all lines with a null in their key are null, as in line_items.
+    """
+    items = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber").isNotNull(), F.col("l_orderkey")).alias("o"), F.when(F.col("l_orderkey").isNotNull(), F.col("l_linenumber")).alias("l"), "l_partkey", "l_suppkey")
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("pc:"), "p_type", F.lit("|"), "p_brand").alias("leaf"))
+    where = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), _id("nation:", "s_nationkey").alias("nation"))
+    # Parts grow with the lines: a planner that goes by the size of their file would send millions of them to the driver.
+    classed = items.join(own.hint("shuffle_hash"), "l_partkey", "left").join(where, "l_suppkey", "left")
+    sets = classed.groupBy("o", "l").agg(F.array_sort(F.array_union(F.collect_set("leaf"), F.collect_set("nation"))).alias("concepts")).where(F.size("concepts") > 0)
+    return sets.select(F.concat(F.lit("line:"), F.col("o").cast("string"), F.lit("-"), F.col("l").cast("string")).alias("instance"), set_id("concepts").alias("set_id"), "concepts")
+
+
 def geo_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return flat_graph(geo_taxonomy(spark, sf_dir), customers(spark, sf_dir))
 
@@ -61,9 +77,15 @@ def product_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return flat_graph(product_taxonomy(spark, sf_dir), parts(spark, sf_dir))
 
 
-def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Both taxonomies with the line items as members of several classes."""
-    return flat_graph(geo_taxonomy(spark, sf_dir).unionByName(product_taxonomy(spark, sf_dir)), line_items(spark, sf_dir))
+def trade_graph(spark: SparkSession, sf_dir: str, members: DataFrame | None = None) -> Graph:
+    """Both taxonomies with the line items, or other members (instance, concept), as members of several classes."""
+    members = line_items(spark, sf_dir) if members is None else members
+    return flat_graph(geo_taxonomy(spark, sf_dir).unionByName(product_taxonomy(spark, sf_dir)), members)
+
+
+def trade_sets(sets: DataFrame) -> DataFrame:
+    """(instance, concept) of one stand-in, named by its id, for each set of line items (set_id, concepts)."""
+    return sets.select(F.col("set_id").alias("instance"), F.explode("concepts").alias("concept"))
 
 
 #: The host of a URL: behind any scheme and user, up to a port, path, query or fragment.

@@ -30,10 +30,18 @@ def fold(by: tuple[str, ...] | list[str], required: tuple[str, ...] = (), **side
     folded = rows.groupBy(*by, "instance").agg(*(F.array_sort(F.collect_set(n)).alias(n) for n in names))
     for name in required:
         folded = folded.where(F.size(name) > 0)
-    set_id = F.md5(F.concat_ws("\x01", *(F.concat(F.size(n).cast("string"), F.lit("\x02"), F.array_join(n, "\x02")) for n in names)))
-    folded = kept(folded.withColumn("set_id", set_id), "members")
-    sets = folded.groupBy(*by, "set_id").agg(F.count("*").alias("n"), *(F.first(n).alias(n) for n in names))
-    return folded.select(*by, "instance", "set_id"), kept(sets, "sets")
+    folded = kept(folded.withColumn("set_id", set_id(*names)), "members")
+    return folded.select(*by, "instance", "set_id"), kept(counted(folded, names, by), "sets")
+
+
+def set_id(*arrays: str) -> Column:
+    return F.md5(F.concat_ws("\x01", *(F.concat(F.size(n).cast("string"), F.lit("\x02"), F.array_join(n, "\x02")) for n in arrays)))
+
+
+def counted(folded: DataFrame, arrays: list[str] | tuple[str, ...], by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(by, set_id, n, arrays). Equal ids have equal arrays; with these in the key only a count is aggregated, by hash: no
+    member is sorted, and none but partial counts are shuffled."""
+    return folded.groupBy(*by, "set_id", *arrays).agg(F.count("*").alias("n")).select(*by, "set_id", "n", *arrays)
 
 
 def small(df: DataFrame, size: Column) -> DataFrame:

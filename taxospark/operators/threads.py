@@ -46,7 +46,7 @@ def _folded_members(graph: Graph, rel: Relations = RELATIONS) -> tuple[DataFrame
     return fold(graph.by, ("nodes", "kind"), nodes=_held(graph, rel), kind=kind)
 
 
-def _bytes_of(array: str) -> Column:
+def bytes_of(array: str) -> Column:
     return F.aggregate(array, F.lit(0), lambda total, x: total + F.octet_length(x["concept"]) + 24)
 
 
@@ -59,7 +59,7 @@ def expected_pairs(graph: Graph, rel: Relations = RELATIONS, closed: DataFrame |
     members, sets = _folded_members(graph, rel)
     closed = closure(taxonomy(graph, rel), graph.by) if closed is None else closed
     found = expected_of_sets(sets, closed, by).groupBy(*by, "set_id").agg(F.collect_list(F.struct("concept")).alias("concepts"))
-    return fanned_out(members, found, by, "concepts", _bytes_of("concepts"))
+    return fanned_out(members, found, by, "concepts", bytes_of("concepts"))
 
 
 def expected_of_sets(sets: DataFrame, closed: DataFrame, by: list[str], array: str = "nodes") -> DataFrame:
@@ -138,7 +138,7 @@ def validate(graph: Graph, expected: DataFrame | None = None, rel: Relations = R
     """
     by = list(graph.by)
     members, decided = decide(graph, expected, rel)
-    return fanned_out(members, decided, by, "decided", _bytes_of("decided"))
+    return fanned_out(members, decided, by, "decided", bytes_of("decided"))
 
 
 def decide(graph: Graph, expected: DataFrame | None = None, rel: Relations = RELATIONS) -> tuple[DataFrame, DataFrame]:
@@ -159,9 +159,14 @@ def decide(graph: Graph, expected: DataFrame | None = None, rel: Relations = REL
     return members, sets.select(*by, "set_id", "n").join(decided, [*by, "set_id"])
 
 
-def concept_coverage(graph: Graph, expected: DataFrame | None = None, rel: Relations = RELATIONS) -> DataFrame:
-    """(by, concept, n_expected, n_valid): counted over sets of members, without a table of pairs."""
-    rows = decide(graph, expected, rel)[1].select(*graph.by, "n", F.inline("decided"))
+def concept_coverage(graph: Graph, expected: DataFrame | None = None, rel: Relations = RELATIONS, weights: DataFrame | None = None) -> DataFrame:
+    """(by, concept, n_expected, n_valid): counted over sets of members, without a table of pairs. With weights (by, instance,
+    n), an instance counts for n members."""
+    members, sets = decide(graph, expected, rel)
+    if weights is not None:
+        total = members.join(weights, [*graph.by, "instance"]).groupBy(*graph.by, "set_id").agg(F.sum("n").alias("n"))
+        sets = sets.drop("n").join(total, [*graph.by, "set_id"])
+    rows = sets.select(*graph.by, "n", F.inline("decided"))
     return rows.groupBy(*graph.by, "concept").agg(F.sum("n").alias("n_expected"), F.sum(F.when(F.col("is_valid"), F.col("n")).otherwise(0)).alias("n_valid"))
 
 
