@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import draw
 from ..model import ABSTRACT, EXTENSION, RELATIONS, Graph, Relations
 from ..plans.closure import betweenness
-from ..storage import kept
+from ..storage import by_shuffle, kept
 
 KEY = ("src", "dst", "relation")
 ARMS = {"E-HX": "has_extension", "E-SO": "superset_of", "E-HE": "has_element"}
@@ -74,7 +74,7 @@ def corrupt(graph: Graph, arm: str, rho: float, seed: int, policy: str = "UNIF",
         else:
             raise ValueError(f"unknown policy {policy!r}")
     elif arm == "E-MIX":
-        removed = sample_k(typed.where(F.col("relation").isin(rel.has_extension, rel.superset_of, rel.has_element)), rho, seed, list(KEY), ("relation",))
+        removed = sample_k(typed.where(F.col("relation").isin(rel.has_extension, rel.superset_of, rel.has_element)), rho, seed, list(KEY), ("relation",), few=True)
     elif arm == "N-REM":
         gone = sample_k(nodes.where(F.col("kind") == EXTENSION).select("id").distinct(), rho, seed, ["id"])
         removed = typed.join(gone.select(F.col("id").alias("src")), "src", "left_semi").unionByName(typed.join(gone.select(F.col("id").alias("dst")), "dst", "left_semi")).distinct()
@@ -82,7 +82,9 @@ def corrupt(graph: Graph, arm: str, rho: float, seed: int, policy: str = "UNIF",
     else:
         raise ValueError(f"unknown arm {arm!r}")
     injected = spark.createDataFrame([], "src string, dst string, relation string")
-    left = lambda: edges.join(removed.select(*KEY), list(KEY), "left_anti")
+    # The other arms take edges of the taxonomy only.
+    gone_edges = by_shuffle if arm in ("E-HE", "E-MIX", "N-REM") else lambda df: df
+    left = lambda: edges.join(gone_edges(removed.select(*KEY)), list(KEY), "left_anti")
     if guidance_removal > 0:
         sub = left().where(F.col("relation") == rel.sub_class_of).select(*KEY).distinct()
         removed = removed.select(*KEY).unionByName(sample_k(sub, guidance_removal, f"{seed}g", list(KEY)))
@@ -214,7 +216,7 @@ def holdout(pairs: DataFrame, share: float, seed: int) -> DataFrame:
     key = ["instance", "concept"]
     own = pairs.select(*key).distinct()
     chosen = sample_k(own, share, seed, key).withColumn("held", F.lit(True))
-    return own.join(chosen, key, "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    return own.join(by_shuffle(chosen), key, "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
 def flat_preimage(removed: DataFrame, rel: Relations = RELATIONS, by: tuple[str, ...] = ()) -> DataFrame:
@@ -230,7 +232,7 @@ def flat_preimage(removed: DataFrame, rel: Relations = RELATIONS, by: tuple[str,
 
 def without_edges(flat: Graph, gone: DataFrame) -> Graph:
     key = [*flat.by, *KEY]
-    return Graph(flat.nodes, flat.edges.join(gone.select(*key), key, "left_anti"), flat.by)
+    return Graph(flat.nodes, flat.edges.join(by_shuffle(gone.select(*key)), key, "left_anti"), flat.by)
 
 
 def single_node_valid(flat: Graph, expected: DataFrame, rel: Relations = RELATIONS) -> DataFrame:
@@ -238,4 +240,4 @@ def single_node_valid(flat: Graph, expected: DataFrame, rel: Relations = RELATIO
     from .threads import expected_from_flat
 
     key = [*flat.by, "instance", "concept"]
-    return expected_from_flat(flat, rel).join(expected.select(*key), key, "left_semi")
+    return expected_from_flat(flat, rel).join(by_shuffle(expected.select(*key)), key, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import name_of
 from ..model import RELATIONS, Graph, Relations
 from ..plans.closure import closure
-from ..storage import kept
+from ..storage import by_shuffle, kept
 from .threads import per_instance, threaded_concepts, validate
 
 KEY = ("src", "dst", "relation")
@@ -43,7 +43,7 @@ def enforcement_delta(before: DataFrame, after: DataFrame) -> DataFrame:
 def newly_valid(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs that are valid only afterwards, with a label instance~concept."""
     key = [*by, "instance", "concept"]
-    new = after.where("is_valid").select(*key).join(before.where("is_valid").select(*key), key, "left_anti")
+    new = after.where("is_valid").select(*key).join(by_shuffle(before.where("is_valid").select(*key)), key, "left_anti")
     return new.withColumn("label", F.concat_ws("~", "instance", "concept"))
 
 
@@ -70,7 +70,7 @@ def freeze_oracle(graph: Graph, rel: Relations = RELATIONS) -> Oracle:
 
 def _hits(edges: DataFrame, truth: DataFrame, by: tuple[str, ...]) -> DataFrame:
     key = [*by, *KEY]
-    return edges.select(*key).distinct().join(truth.select(*key).distinct().withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return edges.select(*key).distinct().join(by_shuffle(truth.select(*key).distinct().withColumn("hit", F.lit(True))), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def edge_quality(added: DataFrame, pristine: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -87,7 +87,7 @@ def semantically_correct(added: DataFrame, oracle: Oracle, by: tuple[str, ...] =
     edges = added.select(*by, *KEY).distinct().withColumn("_u", name_of(F.col("src"))).withColumn("_v", name_of(F.col("dst")))
     above = oracle.ancestors.select(*by, F.col("src").alias("_v"), F.col("dst").alias("_u")).withColumn("_above", F.lit(True))
     member = oracle.expected.select(*by, F.col("instance").alias("dst"), F.col("concept").alias("_u")).withColumn("_member", F.lit(True))
-    joined = edges.join(above, [*by, "_u", "_v"], "left").join(member, [*by, "dst", "_u"], "left")
+    joined = edges.join(above, [*by, "_u", "_v"], "left").join(by_shuffle(member), [*by, "dst", "_u"], "left")
     truth = (
         F.when(F.col("relation") == rel.superset_of, (F.col("_u") == F.col("_v")) | F.coalesce("_above", F.lit(False)))
         .when(F.col("relation") == rel.has_element, F.coalesce("_member", F.lit(False)))
@@ -107,9 +107,9 @@ def recoverable(removed: DataFrame, oracle: Oracle, nodes: DataFrame, by: tuple[
     """Removed edges that a repair could bring back: pristine, of a repairable relation, both ends still there."""
     by = list(by)
     key = [*by, *KEY]
-    out = removed.select(*key).distinct().where(F.col("relation").isin(rel.has_extension, rel.superset_of, rel.has_element)).join(oracle.edges.select(*key), key, "left_semi")
+    out = removed.select(*key).distinct().where(F.col("relation").isin(rel.has_extension, rel.superset_of, rel.has_element)).join(by_shuffle(oracle.edges.select(*key)), key, "left_semi")
     for end in ("src", "dst"):
-        out = out.join(nodes.select(*by, F.col("id").alias(end)), [*by, end], "left_semi")
+        out = out.join(by_shuffle(nodes.select(*by, F.col("id").alias(end))), [*by, end], "left_semi")
     return out
 
 
@@ -127,7 +127,7 @@ def false_memberships(graph: Graph, expected: DataFrame, rel: Relations = RELATI
     by = list(graph.by)
     key = [*by, "instance", "concept"]
     known = expected.select(*by, "instance").distinct()
-    return threaded_concepts(graph, rel).join(known, [*by, "instance"], "left_semi").join(expected.select(*key), key, "left_anti")
+    return threaded_concepts(graph, rel).join(by_shuffle(known), [*by, "instance"], "left_semi").join(by_shuffle(expected.select(*key)), key, "left_anti")
 
 
 def redundancy(pairs: DataFrame, closed: DataFrame | None = None) -> DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import abstract_id, extension_id, name_of
+from ..functions.ids import abstract_id, concept_of, extension_id, name_of
 from ..model import RELATIONS, Graph, Relations
 from ..plans.closure import closure, reflexive, shortest_paths
-from ..storage import kept
+from ..storage import by_shuffle, kept
 from .threads import memberships, taxonomy
 
 # Prior confidence by relation (fixed values).
@@ -29,11 +29,11 @@ def leaf_concepts(graph: Graph, report: DataFrame, closed: DataFrame, tax: DataF
     taxonomy below which no other expected one lies."""
     by = list(graph.by)
     broken = report.where("not is_valid").select(*by, "instance").distinct()
-    direct = memberships(graph, rel).join(broken, [*by, "instance"], "left_semi").select(*by, "instance", F.col("concept").alias("leaf"))
-    bare = broken.join(direct.select(*by, "instance").distinct(), [*by, "instance"], "left_anti")
-    wanted = report.join(bare, [*by, "instance"], "left_semi").select(*by, "instance", "concept").distinct()
+    direct = memberships(graph, rel).join(by_shuffle(broken), [*by, "instance"], "left_semi").select(*by, "instance", F.col("concept").alias("leaf"))
+    bare = broken.join(by_shuffle(direct.select(*by, "instance").distinct()), [*by, "instance"], "left_anti")
+    wanted = report.join(by_shuffle(bare), [*by, "instance"], "left_semi").select(*by, "instance", "concept").distinct()
     above = wanted.join(closed.select(*by, F.col("src").alias("concept"), "dst"), [*by, "concept"]).select(*by, "instance", F.col("dst").alias("concept")).distinct()
-    lowest = wanted.join(above, [*by, "instance", "concept"], "left_anti").join(_tax_nodes(tax, by).withColumnRenamed("id", "concept"), [*by, "concept"], "left_semi")
+    lowest = wanted.join(by_shuffle(above), [*by, "instance", "concept"], "left_anti").join(_tax_nodes(tax, by).withColumnRenamed("id", "concept"), [*by, "concept"], "left_semi")
     return direct.unionByName(lowest.select(*by, "instance", F.col("concept").alias("leaf")))
 
 
@@ -48,7 +48,7 @@ def proposals(graph: Graph, report: DataFrame, rel: Relations = RELATIONS, drop_
     closed = kept(closure(tax, graph.by), "closure")
     leaves = kept(leaf_concepts(graph, report, closed, tax, rel), "leaves")
     broken = report.where("not is_valid").select(*by, "instance", "concept")
-    routes = broken.join(leaves, [*by, "instance"])
+    routes = broken.join(by_shuffle(leaves), [*by, "instance"])
     known = reflexive(closed, _tax_nodes(tax, by), graph.by).select(*by, F.col("src").alias("leaf"), F.col("dst").alias("concept"))
     routes = kept(routes.join(known, [*by, "leaf", "concept"], "left_semi"), "routes")
     paths = shortest_paths(tax, routes.select(*by, F.col("leaf").alias("src"), F.col("concept").alias("dst")).distinct(), graph.by)
@@ -56,7 +56,7 @@ def proposals(graph: Graph, report: DataFrame, rel: Relations = RELATIONS, drop_
 
     def side(df: DataFrame, column: str, make, out: str) -> DataFrame:
         """The dual node of a concept where it exists, else the concept's own id."""
-        twin = ids.select(*by, F.col("id").alias("_twin"))
+        twin = ids.where(concept_of(F.col("id")).isNotNull()).select(*by, F.col("id").alias("_twin"))  # no members
         named = df.withColumn("_twin", make(F.col(column)))
         return named.join(twin.withColumn("_there", F.lit(True)), [*by, "_twin"], "left").withColumn(out, F.when(F.col("_there"), F.col("_twin")).otherwise(F.col(column))).drop("_twin", "_there")
 
@@ -71,9 +71,9 @@ def proposals(graph: Graph, report: DataFrame, rel: Relations = RELATIONS, drop_
     last = ends.select(*by, F.col("u").alias("src"), F.col("instance").alias("dst"), F.lit(rel.has_element).alias("relation"), F.lit(PRIOR["hasElement"]).alias("base_confidence"), F.format_string("new member of %s: %s", "leaf", "instance").alias("reason"), *none("parent_concept", "child_concept", "concept"), F.col("leaf").alias("leaf_concept"), F.col("instance"))
     found = first.unionByName(middle).unionByName(last)
     for end in ("src", "dst"):
-        found = found.join(ids.select(*by, F.col("id").alias(end)), [*by, end], "left_semi")
+        found = found.join(by_shuffle(ids.select(*by, F.col("id").alias(end))), [*by, end], "left_semi")
     key = [*by, "src", "dst", "relation"]
-    found = found.join(graph.edges.select(*key).distinct(), key, "left_anti").dropDuplicates(key)
+    found = found.join(by_shuffle(graph.edges.select(*key).distinct()), key, "left_anti").dropDuplicates(key)
     if drop_self_loops:
         found = found.where("src <> dst")
     return found.select(*key, "base_confidence", "reason", "parent_concept", "child_concept", "concept", "leaf_concept", "instance")

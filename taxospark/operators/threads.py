@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import ABSTRACT_PREFIX, abstract_id, concept_of, name_of
 from ..model import ABSTRACT, INSTANCE, RELATIONS, Graph, Relations
 from ..plans.closure import closure, reach, reflexive, shortest_paths
+from ..storage import by_shuffle, kept
 from .folding import fanned_out, fold
 
 
@@ -28,7 +29,7 @@ def memberships(graph: Graph, rel: Relations = RELATIONS) -> DataFrame:
     """(by, instance, concept): direct hasElement parents of instance nodes."""
     by = list(graph.by)
     held = graph.relation(rel.has_element).select(*by, F.col("dst").alias("instance"), name_of(F.col("src")).alias("concept")).distinct()
-    return held.join(instances(graph), [*by, "instance"], "left_semi")
+    return held.join(by_shuffle(instances(graph)), [*by, "instance"], "left_semi")
 
 
 def instances(graph: Graph) -> DataFrame:
@@ -112,22 +113,28 @@ def thread_pairs(graph: Graph, rel: Relations = RELATIONS) -> DataFrame:
 def has_thread(graph: Graph, pairs: DataFrame, rel: Relations = RELATIONS) -> DataFrame:
     """The pairs (by, instance, concept) that have a thread."""
     key = [*graph.by, "instance", "concept"]
-    return pairs.select(*key).join(thread_pairs(graph, rel).select(*key), key, "left_semi")
+    return pairs.select(*key).join(by_shuffle(thread_pairs(graph, rel).select(*key)), key, "left_semi")
 
 
 def thread_paths(graph: Graph, pairs: DataFrame, rel: Relations = RELATIONS) -> DataFrame:
     """pairs (by, instance, concept) with path: the shortest thread, the lexicographically smallest of those; else null."""
     by = list(graph.by)
-    held = graph.relation(rel.has_element).select(*by, F.col("src").alias("node"), F.col("dst").alias("instance")).distinct()
     asked = pairs.select(*by, "instance", "concept").distinct()
     start = entries(graph, rel)
-    ends = asked.join(start, [*by, "concept"]).join(held, [*by, "instance"]).select(*by, F.col("entry").alias("src"), F.col("node").alias("dst")).distinct()
-    walks = shortest_paths(graph.relation(rel.superset_of), ends, graph.by)
-    found = asked.join(start, [*by, "concept"]).join(held, [*by, "instance"]).join(walks.select(*by, F.col("src").alias("entry"), F.col("dst").alias("node"), "path"), [*by, "entry", "node"])
+    # A thread's last step alone depends on the member: paths are chosen for each set of concepts and holding nodes.
+    members, sets = fold(by, ("concepts",), concepts=asked.withColumnRenamed("concept", "item"), nodes=_held(graph, rel).where("instance is not null"))
+    wanted = sets.select(*by, "set_id", F.explode("concepts").alias("concept"))
+    steps = kept(wanted.join(start, [*by, "concept"]).join(sets.select(*by, "set_id", F.explode("nodes").alias("node")), [*by, "set_id"]), "steps")
+    walks = shortest_paths(graph.relation(rel.superset_of), steps.select(*by, F.col("entry").alias("src"), F.col("node").alias("dst")).distinct(), graph.by)
+    found = steps.join(walks.select(*by, F.col("src").alias("entry"), F.col("dst").alias("node"), "path"), [*by, "entry", "node"])
     head = F.when(F.col("start") == F.col("entry"), F.array().cast("array<string>")).otherwise(F.array("start"))
-    whole = F.concat(head, "path", F.array("instance"))
-    best = found.groupBy(*by, "instance", "concept").agg(F.min(F.struct(F.size(whole).alias("n"), whole.alias("path")))["path"].alias("path"))
-    return asked.join(best, [*by, "instance", "concept"], "left")
+    whole = F.concat(head, "path")
+    best = found.groupBy(*by, "set_id", "concept").agg(F.min(F.struct(F.size(whole).alias("n"), whole.alias("path")))["path"].alias("path"))
+    chosen = wanted.join(best, [*by, "set_id", "concept"], "left").groupBy(*by, "set_id").agg(F.collect_list(F.struct("concept", "path")).alias("chosen"))
+    bytes_ = F.aggregate("chosen", F.lit(0), lambda total, x: total + F.octet_length(x["concept"]) + 24 + F.coalesce(F.octet_length(F.array_join(x["path"], "")) + 16 * F.size(x["path"]), F.lit(0)))
+    out = fanned_out(members, chosen, by, "chosen", bytes_).select(*by, "instance", "concept", F.concat("path", F.array("instance")).alias("path"))
+    # Arrays of concepts hold no null.
+    return out.unionByName(asked.where("concept is null").withColumn("path", F.lit(None).cast("array<string>")))
 
 
 def validate(graph: Graph, expected: DataFrame | None = None, rel: Relations = RELATIONS) -> DataFrame:
@@ -174,7 +181,7 @@ def per_instance(graph: Graph, report: DataFrame) -> DataFrame:
     """(by, instance, n_valid): valid pairs of every instance node, 0 without one."""
     key = [*graph.by, "instance"]
     counts = report.groupBy(*key).agg(F.count_if("is_valid").alias("n_valid"))
-    return instances(graph).join(counts, key, "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
+    return instances(graph).join(by_shuffle(counts), key, "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
 
 
 def flat_direct(flat: Graph, concept: str, rel: Relations = RELATIONS) -> DataFrame:

@@ -29,6 +29,12 @@ def kept(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """df, for a join of two tables that both grow with the members: both sides are shuffled, however small the files
+    are, so that no table of members is broadcast through the driver."""
+    return df.hint("merge")
+
+
 class Log:
     """A table in the shared folder that only grows: a loop writes each round's rows once and reads all rounds as one
     table. A part counts once its write has ended, so a round that is run again leaves no half of itself behind."""
