@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import name_of
 from ..model import INSTANCE, RELATIONS, Graph, Relations
 from ..plans.closure import closure, reflexive, widest
-from ..storage import kept
+from ..storage import by_shuffle, kept
 from . import damage
 from .damage import KEY, flat_preimage, sample_k
 from .folding import fold
@@ -133,7 +133,7 @@ def _stand_ins(base: Base, removed: DataFrame, rel: Relations) -> DataFrame:
         lost_nodes=own.select("trial", F.col("dst").alias("instance"), F.col("src").alias("item")),
         lost_classes=flat_preimage(own, rel, BY).select("trial", F.col("src").alias("instance"), F.col("dst").alias("item")),
     )
-    lots = lost[0].withColumnRenamed("set_id", "lost_id").join(base.members, "instance")
+    lots = lost[0].withColumnRenamed("set_id", "lost_id").join(by_shuffle(base.members), "instance")
     changed = lots.groupBy("trial", "set_id", "lost_id").agg(F.count("*").alias("n"))
     changed = kept(changed.join(lost[1].drop("n").withColumnRenamed("set_id", "lost_id"), ["trial", "lost_id"]), "changed")
     rest = _touched(base, removed, rel).join(changed.groupBy("trial", "set_id").agg(F.sum("n").alias("gone")), ["trial", "set_id"], "left")
