@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain, repeat
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import CACHES, blocks, doc_text, kept
 from .token_counts import byte_letters
 
+if TYPE_CHECKING:
+    import tiktoken
+
 #: Pair counts that one pass holds in memory, at most (some 20 bytes each, in the driver and each Python worker).
 PART_PAIRS = 4_000_000
 #: Bytes of distinct chunks that a worker keeps aligned (some ten times this in memory), and pairs that it sums up, before it starts anew.
@@ -43,8 +47,8 @@ _A_BITS = 32
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _quick(path: str, letters: dict[str, int]) -> Callable[[str], list[int]] | None:
-    """tiktoken's encoder over the file's own vocabulary, where ids rise with the merges and nothing else is asked of a text."""
+def quick_encoding(path: str, letters: dict[str, int]) -> tiktoken.Encoding | None:
+    """tiktoken's encoding over the file's own vocabulary, where ids rise with the merges and nothing else is asked of a text."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, split = spec["model"], spec.get("pre_tokenizer") or {}
@@ -60,7 +64,12 @@ def _quick(path: str, letters: dict[str, int]) -> Callable[[str], list[int]] | N
 
     reached = set(made) | set(singles.values())
     ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if i in reached}
-    return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
+def _quick(path: str, letters: dict[str, int]) -> Callable[[str], list[int]] | None:
+    made = quick_encoding(path, letters)
+    return made and made.encode_ordinary
 
 
 class Pair:

@@ -25,13 +25,29 @@ def free_caches() -> None:
     """Give back the memory of all caches of this worker, which outlive the stage that filled them."""
     for clear in CACHES:
         clear()
+    trim_memory()
+
+
+def trim_memory() -> None:
+    """Give back what this worker's allocators keep of freed memory: an idle worker counts beside the JVM's next stage."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass  # another C library keeps its free memory
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same map over batches, after which its worker gives back the memory that it took."""
+
+    def outer(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim_memory()  # run's own variables are gone here
+
+    return outer
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,54 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, CACHES, blocks, doc_text, kept, safe_cuts
+from .alignment import quick_encoding
+from .common import BLOCK_BYTES, CACHES, blocks, doc_text, kept, safe_cuts, trimmed
 from .pretokens import words_of
+from .token_counts import byte_letters
 
-#: Documents that one group packs together, cached pre-tokens in a Python worker, and bytes of text that it works on at a time.
+#: Documents that one group packs together, and bytes of text that a Python worker works on at a time.
 GROUP_ROWS = 8192
-CACHE_WORDS = 250_000
 RUN_BYTES = 1_500_000
 _library: dict = {}
 CACHES.append(_library.clear)
 
 
-class WordTable:
-    """Ids of pre-tokens in one flat array: entry k's are flat[at[k] : at[k + 1]]. Entry 0 has none."""
-
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict = {None: 0}
-        self.flat, self.at = np.zeros(0, np.uint32), np.zeros(2, np.int64)
-
-    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.flat = np.concatenate([self.flat, ids])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
-
-    def single(self, i: int) -> int:
-        """The entry that stands for one id."""
-        if i not in self.known:
-            self.known[i] = len(self.at) - 1
-            self._append(np.array([i], np.uint32), np.ones(1, np.int64))
-        return self.known[i]
-
-    def entries(self, words: list[bytes]) -> np.ndarray:
-        """The entry of each of some distinct words; new ones are encoded, all in one call."""
-        known = self.known
-        out = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(out < 0)
-        if len(new):
-            # Given as pre-tokenized words, none of them is cut again or holds a special token.
-            made = self.tokenizer.encode([words[k].decode() for k in new.tolist()], is_pretokenized=True, add_special_tokens=False)
-            out[new] = np.arange(len(new)) + len(self.at) - 1
-            known.update(zip((words[k] for k in new.tolist()), out[new].tolist()))
-            self._append(np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(new)))
-        return out
-
-
-def _tokenizer(path: str) -> tuple[WordTable, dict[str, int]]:
+def _tokenizer(path: str) -> tuple[Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dict[str, int]]:
+    """What gives the ids of pre-tokens in one array, and how many each has; the special tokens."""
     if path not in _library:
         import os
 
@@ -76,7 +43,19 @@ def _tokenizer(path: str) -> tuple[WordTable, dict[str, int]]:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _library[path] = (WordTable(t), {a.content: i for i, a in t.get_added_tokens_decoder().items()})
+        specials = {a.content: i for i, a in t.get_added_tokens_decoder().items()}
+        quick = quick_encoding(path, byte_letters())
+
+        def by_pieces(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            made = list(map(quick._core_bpe.encode_single_piece, words))
+            return np.fromiter(chain.from_iterable(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made))
+
+        def by_library(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            # Given as pre-tokenized words, none of them is cut again or holds a special token.
+            made = t.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+            return np.array(made.ids, np.uint32), np.bincount(np.array(made.word_ids, np.int64), minlength=len(words))
+
+        _library[path] = (by_pieces if quick else by_library, specials)
     return _library[path]
 
 
@@ -98,30 +77,33 @@ def _interleaved(parts: list[str], between: int) -> list[str | int]:
 def token_ids(texts: list[str], path: str, closing: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each with the closing id behind it, in one array; text i's are those from bounds[i] to bounds[i + 1].
 
-    Distinct pre-tokens are encoded once; a text's ids are gathered from the table of their ids.
+    Distinct pre-tokens of these texts are encoded once; a text's ids are gathered from the table of their ids. The
+    table is made anew for each run of texts: encoding a pre-token again costs no more than keeping it.
     """
-    table, specials = _tokenizer(path)
-    if len(table.known) > CACHE_WORDS:
-        table.clear()
+    encode, specials = _tokenizer(path)
     pieces: list[str] = []
-    behind: list[int] = []  # the entry that stands at the mark behind each piece
+    behind: list[int] = []  # the id that stands at the mark behind each piece, -1 for none
     last = np.zeros(len(texts), np.int64)
     for k, t in enumerate(texts):
         for part in _split_specials(t, specials):
             if isinstance(part, int):
-                behind[-1] = table.single(part)
+                behind[-1] = part
             else:
                 cuts = list(safe_cuts(part, BLOCK_BYTES))
                 pieces += cuts
-                behind += [0] * len(cuts)
-        behind[-1] = table.single(closing)
+                behind += [-1] * len(cuts)
+        behind[-1] = closing
         last[k] = len(pieces) - 1
     words, _, end = words_of(pieces)
-    entries = table.entries(words.dictionary.to_pylist())[words.indices.to_numpy()]
-    entries[end] = behind
-    lengths = (table.at[1:] - table.at[:-1])[entries]
+    flat, size = encode(words.dictionary.to_pylist())
+    marks, which = np.unique(np.array(behind, np.int64), return_inverse=True)
+    flat = np.concatenate([flat, marks[marks >= 0].astype(np.uint32)])
+    size = np.concatenate([size, (marks >= 0).astype(np.int64)])
+    entries = words.indices.to_numpy().astype(np.int64)
+    entries[end] = len(words.dictionary) + which
+    lengths = size[entries]
     so_far = np.concatenate([[0], np.cumsum(lengths)])
-    ids = table.flat[np.repeat(table.at[entries] - so_far[:-1], lengths) + np.arange(so_far[-1])]
+    ids = flat[np.repeat((np.cumsum(size) - size)[entries] - so_far[:-1], lengths) + np.arange(so_far[-1])]
     return ids, np.concatenate([[0], so_far[end[last] + 1]])
 
 
@@ -142,7 +124,7 @@ def _piece_map(path: str, size: int, closing: int):
                         at, piece = at + step, piece + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return run
+    return trimmed(run)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
