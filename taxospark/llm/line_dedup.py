@@ -19,7 +19,7 @@ from .common import kept, unused
 
 #: Edits that near lines may differ by, and the length from which lines are compared with edits at all.
 MAX_EDITS, MIN_CHARS = 2, 20
-#: Ids of lines in question are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
+#: Ids of lines in question, and keys, are broadcast up to this number (8 or 9 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 EMPTY = r"^[\x20\x09-\x0D]*$"
 
@@ -42,8 +42,9 @@ def part(line: Column, at: Column, size: Column) -> Column:
 
 
 def keyed(lines: DataFrame, k: int, probes: bool) -> DataFrame:
-    """lines (with line and n, its length) with a column keys: the index keys, or the keys that a line probes with.
+    """lines (with line and n, its length) with a column keys: the index keys, or the further keys that a line probes with.
 
+    A line probes with its own index keys too, but what these meet is seen in the index itself.
     Places are columns first, so that the expression over them stays small enough to be compiled.
     """
     places, keys = {}, []
@@ -52,6 +53,7 @@ def keyed(lines: DataFrame, k: int, probes: bool) -> DataFrame:
             at, size = f"_at_{d}_{i}", f"_size_{d}_{i}"
             places[at], places[size] = segment(F.col("n") - d, i, k)
             shifts = range(max(1 - i, d - (k + 1 - i)), min(i - 1, d + (k + 1 - i)) + 1) if probes else (0,)
+            shifts = [o for o in shifts if d or o or not probes]
             keys += [F.xxhash64(F.lit(i), F.col("n") - d, part(F.col("_wide"), F.col(at) + o, F.col(size))) for o in shifts]
     return lines.withColumns({"_wide": wide(F.col("line")), **places}).select(*lines.columns, F.array(*keys).alias("keys"))
 
@@ -148,12 +150,18 @@ def near_earlier(lines: DataFrame, made: DataFrame, k: int, min_chars: int) -> D
     """
     long = lines.where(F.col("n") >= max(min_chars, 2 * k + 2))
     index = made.select("h", F.explode("keys").alias("key"))
-    # Written, so that a key of very many probes can be split when it is joined.
-    heads = kept(index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")), "heads")
+    # Written, so that a key of very many probes can be split when it is joined. lone: the line of a key of one line, else null.
+    heads = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    heads = kept(heads.select("key", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("lone")), "heads")
     # explode() would add a filter on the array, and with it make the array twice.
     probes = keyed(long, k, True).select("h", F.explode_outer("keys").alias("key"))
-    hits = kept(probes.join(heads, "key").where("lo <> h or hi <> h").select("key", "h").distinct(), "hits")
-    inside = kept(index.join(hits.select("key").distinct(), "key", "left_semi").distinct(), "inside")
+    moved = kept(probes.join(heads, "key").where("lone is null or lone <> h").select("key", "h").distinct(), "moved")
+    shared = heads.where("lone is null").select("key", F.lit(True).alias("shared"))
+    keys = kept(moved.select("key", F.lit(False).alias("shared")).unionByName(shared).groupBy("key").agg(F.max("shared").alias("shared")), "keys")
+    few = keys.count() <= BROADCAST_IDS
+    met_in = kept(index.join(F.broadcast(keys) if few else keys, "key").select("key", "h", "shared").distinct(), "inside")
+    inside = met_in.select("key", "h")
+    hits = kept(moved.unionByName(met_in.where("shared").select("key", "h")).distinct(), "hits")
 
     ids = kept(hits.select("h").unionByName(inside.select("h")).distinct(), "ids")
     small = ids.count() <= BROADCAST_IDS
