@@ -20,13 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, doc_text, free_caches, kept
+from .common import blocks, doc_text, free_caches, kept, trim_memory, trimmed
 
 #: Labelled documents of each class that the model is fitted on, at most; a class takes no more once it has so many characters.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3_000, 6_000, 50_000_000
 MIN_TEXTS, EVIDENCE = 8, 16.0
 CHUNK, WINDOW = 32, 8
-CACHE_WORDS = 500_000
+#: Words whose weights a Python worker keeps, and bytes of text that it works on at a time.
+CACHE_WORDS, RUN_BYTES = 300_000, 1_000_000
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
@@ -308,23 +309,28 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> dict:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         free_caches()
         pdf = pdf.sort_values(["doc_id", "text"])
-        return pd.DataFrame({"model": [json.dumps(fit(pdf["text"].tolist(), pdf["y"].to_numpy(np.int64)))]})
+        made = json.dumps(fit(pdf["text"].tolist(), pdf["y"].to_numpy(np.int64)))
+        trim_memory()
+        return pd.DataFrame({"model": [made]})
 
     made = sample.groupBy("grp").applyInPandas(one, "model string").collect()
     return json.loads(made[0]["model"]) if made else fit([], np.zeros(0, np.int64))
 
 
-def _tagged(model: dict, texts: list[str], known: dict[bytes, float]) -> tuple:
+def _weights(model: dict) -> dict[bytes, float]:
+    return {bytes.fromhex(k): w for k, w in model["weight"].items()}
+
+
+def _tagged(model: dict, weight: dict[bytes, float], texts: list[str], known: dict[bytes, float]) -> tuple:
     """Words, marginals and scores of a block of texts."""
     words, first, at, raw, starts = words_in(texts)
     if len(known) > CACHE_WORDS:
         known.clear()
-    weight = model["weight"]
     each = []
     for w in words.dictionary.to_pylist():
         s = known.get(w)
         if s is None:
-            s = known[w] = weight.get("", 0.0) + sum(weight.get(x.hex(), 0.0) for x in parts(w))
+            s = known[w] = weight.get(b"", 0.0) + sum(weight.get(x, 0.0) for x in parts(w))
         each.append(s)
     codes = words.indices.to_numpy()
     opens = np.zeros(len(codes), bool)
@@ -337,10 +343,10 @@ def _tagged(model: dict, texts: list[str], known: dict[bytes, float]) -> tuple:
 def _scorer(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_caches()
-        known: dict[bytes, float] = {}
+        weight, known = _weights(sent.value), {}
         for batch in batches:
-            for ids, texts in blocks(batch.column(0), batch.column(1)):
-                words, first, at, raw, starts, p, score = _tagged(sent.value, texts, known)
+            for ids, texts in blocks(batch.column(0), batch.column(1), RUN_BYTES):
+                words, first, at, raw, starts, p, score = _tagged(sent.value, weight, texts, known)
                 spans: list[list[dict]] = [[] for _ in texts]
                 for t in np.flatnonzero(p >= 0.5).tolist():
                     i = int(np.searchsorted(first, t, side="right")) - 1
@@ -351,7 +357,7 @@ def _scorer(sent):
                     spans[i].append({"start": begin, "end": begin + len(own[a:b].decode(errors="replace")), "p": round(float(p[t]), 6)})
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))], ["doc_id", "score", "spans"])
 
-    return run
+    return trimmed(run)
 
 
 def keep(docs: DataFrame, model: dict, below: float, text_col: str = "text") -> DataFrame:
@@ -361,15 +367,15 @@ def keep(docs: DataFrame, model: dict, below: float, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_caches()
-        known: dict[bytes, float] = {}
+        weight, known = _weights(sent.value), {}
         for batch in batches:
             at = 0
-            for rows, texts in blocks(pa.array(range(batch.num_rows)), batch.column(place).fill_null("")):
-                good = _tagged(sent.value, texts, known)[-1] < below
+            for rows, texts in blocks(pa.array(range(batch.num_rows)), batch.column(place).fill_null(""), RUN_BYTES):
+                good = _tagged(sent.value, weight, texts, known)[-1] < below
                 yield batch.slice(at, len(rows)).filter(pa.array(good))
                 at += len(rows)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
