@@ -15,6 +15,9 @@ from ..storage import kept, shared_dir  # noqa: F401 (kept is used by the operat
 
 #: Bytes of text that a vectorised step holds as arrays at a time.
 BLOCK_BYTES = 4_000_000
+#: Bytes of rows from which on Spark begins a new batch for a Python worker (a little less than the power of 2 to which a buffer grows).
+BATCH_BYTES = 4_000_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 #: What empties the caches that a Python worker keeps between tasks; an operator's module adds its own.
@@ -75,8 +78,18 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let rows go to Python workers in batches of about BATCH_BYTES, where the session does not say otherwise.
+
+    By number alone a batch has 10,000 texts; executor and worker hold it whole, the former in a buffer of up to twice its size.
+    """
+    if _BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+
+
 def doc_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id (long) and the text, a null text as the empty one."""
+    """Only the id (long) and the text, a null text as the empty one, in batches of bounded size where Python reads them."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

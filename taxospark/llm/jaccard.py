@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, doc_text, kept
+from .common import blocks, doc_text, kept, trimmed
 
 #: Counters of the n-gram count table: its size does not grow with the data.
 TABLE = 1 << 20
@@ -145,7 +145,7 @@ def count_table(docs: DataFrame, n: int, counters: int = TABLE, rows: int = 16)
             total += unpacked(c)
         return pd.DataFrame({"part": pdf["part"].iloc[:1].to_numpy(), "salt": [0], "counts": [packed(total)]})
 
-    parts = docs.mapInArrow(count, "part int, counts binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
+    parts = docs.mapInArrow(trimmed(count), "part int, counts binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
     for keys in (["part", "salt"], ["part"]):
         parts = parts.groupBy(*keys).applyInPandas(add, "part int, salt int, counts binary")
     out = np.zeros(counters, np.int64)
@@ -182,7 +182,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, counters: int = TABLE) -> Da
                     cold.append(int(np.searchsorted(counts[order], hot, side="right")))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary()), pa.array(maps, pa.list_(pa.int64())), pa.array(groups, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(cold, pa.int32())], ["doc_id", "size", "set_id", "bits", "grp", "prefix", "cold"])
 
-    return docs.mapInArrow(run, "doc_id long, size int, set_id binary, bits array<long>, grp long, prefix array<long>, cold int")
+    return docs.mapInArrow(trimmed(run), "doc_id long, size int, set_id binary, bits array<long>, grp long, prefix array<long>, cold int")
 
 
 def _overlaps(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -236,7 +236,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, perc
     needed = kept(others.unionByName(owners).join(classes.select(F.col("class").alias("doc_id"), "set_id"), "doc_id"), "needed")
     found = docs.join(F.broadcast(needed) if pairs.count() <= BROADCAST_IDS else needed, "doc_id").select("key", "salt", "doc_id", "text", "set_id")
     sent = found.repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("doc_id") != F.col("key"))
-    return sent.mapInArrow(_similar(n, percent), "a long, b long").distinct()
+    return sent.mapInArrow(trimmed(_similar(n, percent)), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

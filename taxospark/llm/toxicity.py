@@ -20,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, doc_text, free_caches, kept, trim_memory, trimmed
+from .common import blocks, doc_text, free_caches, kept, short_batches, trim_memory, trimmed
 
 #: Labelled documents of each class that the model is fitted on, at most; a class takes no more once it has so many characters.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3_000, 6_000, 50_000_000
 MIN_TEXTS, EVIDENCE = 8, 16.0
 CHUNK, WINDOW = 32, 8
 #: Words whose weights a Python worker keeps, and bytes of text that it works on at a time.
-CACHE_WORDS, RUN_BYTES = 300_000, 1_000_000
+CACHE_WORDS, RUN_BYTES = 100_000, 500_000
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
@@ -37,22 +37,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def words_in(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """Words (runs of letters and digits, A-Z as a-z), where each text's begin, their byte places, the raw texts."""
+def _cut(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """The same as words_in, words not yet coded. Nothing but bytes and bits is held for each byte of the texts."""
     raw = [t.encode() for t in texts]
     joined = b"\n".join(raw).lower() + b"\n"
     data = np.frombuffer(joined, np.uint8)
     sep = _SEPARATORS[data]
-    begins = ~sep
-    begins[1:] &= sep[:-1]
-    at = np.flatnonzero(begins)
-    letters = np.ascontiguousarray(data[~sep])
-    offsets = np.append((np.cumsum(~sep) - 1)[at], len(letters)).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    at = np.flatnonzero(~sep & np.concatenate([[True], sep[:-1]]))
+    ends = np.flatnonzero(sep & np.concatenate([[False], ~sep[:-1]]))
+    letters = data[~sep]
+    offsets = np.concatenate([[0], np.cumsum(ends - at)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
     starts = np.concatenate([[0], np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))])
     return words, np.searchsorted(at, starts), at, raw, starts
 
 
+def words_in(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Words (runs of letters and digits, A-Z as a-z), where each text's begin, their byte places, the raw texts."""
+    words, *rest = _cut(texts)
+    return words.dictionary_encode(), *rest
+
+
+def _coded(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of many texts in order of appearance, the number of each word, where each text's begin."""
+    made, sizes = [], [np.zeros(1, np.int64)]
+    for a, b in _runs_of(np.cumsum([0, *map(len, texts)]), RUN_BYTES):
+        words, first, _, _, _ = _cut(texts[a:b])
+        made.append(words)
+        sizes.append(np.diff(first))
+    words = pa.chunked_array(made, pa.binary()).dictionary_encode().combine_chunks()
+    return words.dictionary, words.indices.to_numpy(), np.cumsum(np.concatenate(sizes))
+
+
+def _runs_of(first: np.ndarray, most: int = RUN_BYTES // 4) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts (from, to) of at most so many words (or one text), given where each begins."""
+    a = 0
+    while a < len(first) - 1:
+        b = max(a + 1, int(np.searchsorted(first, first[a] + most, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 #: A word's features besides itself: beginnings and ends of so many bytes, of longer words.
 BEGINNINGS, ENDS = (3, 4, 5, 6), (3, 4)
 
@@ -201,23 +226,24 @@ def one_of_each(texts: list[str]) -> np.ndarray:
 
     Else the words of a text that was copied a hundred times would look like a hundred independent cases.
     """
-    words, first, _, _, _ = words_in(texts)
-    codes = words.indices.to_numpy().astype(np.uint64)
+    _, numbers, first = _coded(texts)
     keep = np.ones(len(texts), bool)
-    if len(codes) < 4:
-        return keep
-    runs = codes.copy()
-    for k in range(1, 4):
-        runs[:-k] = runs[:-k] * np.uint64(0x9E3779B97F4A7C15) + codes[k:]
-    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-        mixed = (runs ^ (runs >> np.uint64(31))) * np.uint64(factor)
-        mixed ^= mixed >> np.uint64(29)
-        known: set[int] = set()
-        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-            if b - a >= 4:
-                low = int(mixed[a : b - 3].min())
-                keep[i] &= low not in known
-                known.add(low)
+    known: tuple[set[int], set[int]] = set(), set()
+    for a, b in _runs_of(first):
+        codes = numbers[first[a] : first[b]].astype(np.uint64)
+        if len(codes) < 4:
+            continue
+        runs = codes.copy()
+        for k in range(1, 4):
+            runs[:-k] = runs[:-k] * np.uint64(0x9E3779B97F4A7C15) + codes[k:]
+        for factor, seen in zip((0xBF58476D1CE4E5B9, 0x94D049BB133111EB), known):
+            mixed = (runs ^ (runs >> np.uint64(31))) * np.uint64(factor)
+            mixed ^= mixed >> np.uint64(29)
+            for i in range(a, b):
+                if first[i + 1] - first[i] >= 4:
+                    low = int(mixed[first[i] - first[a] : first[i + 1] - 3 - first[a]].min())
+                    keep[i] &= low not in seen
+                    seen.add(low)
     return keep
 
 
@@ -229,19 +255,21 @@ def fit(texts: list[str], labels: np.ndarray) -> dict:
     """
     keep = one_of_each(texts)
     texts, labels = [t for t, k in zip(texts, keep) if k], labels[keep]
-    words, first, _, _, _ = words_in(texts)
-    names, codes = words.dictionary, words.indices.to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    names, codes, first = _coded(texts)
+    of_toxic = np.repeat(labels == 1, np.diff(first))
     n_bad, n_good = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    pairs = np.unique(doc * max(len(names), 1) + codes)
-    sick = labels[pairs // max(len(names), 1)] == 1
-    bad = np.bincount(pairs[sick] % max(len(names), 1), minlength=len(names))
-    good = np.bincount(pairs[~sick] % max(len(names), 1), minlength=len(names))
+    bad, good = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    for a, b in _runs_of(first):  # in how many texts of either label each word is
+        doc = np.repeat(np.arange(a, b), np.diff(first[a : b + 1]))
+        pairs = np.unique(doc * max(len(names), 1) + codes[first[a] : first[b]])
+        sick = labels[pairs // max(len(names), 1)] == 1
+        bad += np.bincount(pairs[sick] % max(len(names), 1), minlength=len(names))
+        good += np.bincount(pairs[~sick] % max(len(names), 1), minlength=len(names))
     base = n_bad / (n_bad + n_good)
     number = {b"": 0}
     seed = np.zeros(max(len(names), 1), bool)
-    uses, mask = np.zeros((len(names) + 1, 2 + len(BEGINNINGS) + len(ENDS)), np.int64), np.zeros((len(names) + 1, 2 + len(BEGINNINGS) + len(ENDS)))
-    mask[:, 0] = 1.0
+    uses, mask = np.zeros((len(names) + 1, 2 + len(BEGINNINGS) + len(ENDS)), np.int32), np.zeros((len(names) + 1, 2 + len(BEGINNINGS) + len(ENDS)), bool)
+    mask[:, 0] = True
     for column, (mark, has, values, code) in enumerate(feature_columns(names), 1):
         b, g = np.bincount(code, bad[has], len(values)), np.bincount(code, good[has], len(values))
         frequent = np.flatnonzero(b + g >= MIN_TEXTS)
@@ -255,18 +283,18 @@ def fit(texts: list[str], labels: np.ndarray) -> dict:
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = b * np.log(rate / base) + np.where(g > 0, g * np.log((1 - rate) / (1 - base)), 0.0)
             seed[has] |= ((rate > 2 * base) & (rate > 0.7) & (gain > EVIDENCE))[code]
-    mask[-1, 0] = 1.0  # a filler beyond the texts' ends
-    padded = np.full(len(codes) + 2 * WINDOW, len(names))
+    mask[-1, 0] = True  # a filler beyond the texts' ends
+    padded = np.full(len(codes) + 2 * WINDOW, len(names), np.int32)
     padded[WINDOW : WINDOW + len(codes)] = codes
-    tagged = np.zeros(len(padded))
-    tagged[WINDOW : WINDOW + len(codes)] = seed[codes] & (labels[doc] == 1)
-    fits = doc % 3 != 2
+    tagged = np.zeros(len(padded), bool)
+    tagged[WINDOW : WINDOW + len(codes)] = seed[codes] & of_toxic
+    fits = np.repeat(np.arange(len(texts)) % 3 != 2, np.diff(first))
     rng = np.random.default_rng(11)
-    hits = np.flatnonzero(tagged[WINDOW : WINDOW + len(codes)].astype(bool) & fits)
+    hits = np.flatnonzero(tagged[WINDOW : WINDOW + len(codes)] & fits)
     pool = np.flatnonzero(fits)
     some = lambda x, n: rng.choice(x, min(len(x), n), replace=False)
     # The least likely seeds of clean texts are shown too, so that their beginnings and ends get their due.
-    near = np.flatnonzero(seed[codes] & (labels[doc] == 0) & fits)
+    near = np.flatnonzero(seed[codes] & ~of_toxic & fits)
     centres = np.concatenate([some(hits, 8_000), some(near, 4_000), some(pool, 16_000)]).astype(np.int64) + WINDOW
     if not len(hits):
         return {"weight": {}, "start": 0.0, "moves": [[0.0, 0.0], [0.0, 0.0]], "final": [-2.0, 0.0, 0.0]}
@@ -275,8 +303,8 @@ def fit(texts: list[str], labels: np.ndarray) -> dict:
     cuts = np.ones(len(padded), bool)  # fillers stand alone
     cuts[WINDOW : WINDOW + len(codes)] = opens
     places = centres[:, None] + np.arange(-WINDOW, WINDOW + 1)
-    weight, start, moves = _fit_field(padded[places], tagged[places], cuts[places], uses, mask, len(number))
-    score = (weight[uses] * mask).sum(axis=1)
+    weight, start, moves = _fit_field(padded[places], tagged[places].astype(float), cuts[places], uses, mask, len(number))
+    score = np.concatenate([(weight[u] * m).sum(axis=1) for u, m in zip(np.array_split(uses, 16), np.array_split(mask, 16))])
     held = np.arange(2, len(texts), 3)
     x = np.ones((len(held), 3))
     for row, i in enumerate(held.tolist()):
@@ -362,6 +390,7 @@ def _scorer(sent):
 
 def keep(docs: DataFrame, model: dict, below: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose texts score below a bound: a narrow map, no join."""
+    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

@@ -9,9 +9,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from taxospark.llm import packing, toxicity
+from taxospark.llm.common import doc_text
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -55,6 +57,28 @@ def test_toxicity_works_on_short_runs_of_text(traced):
     assert rows == 30 and tracemalloc.get_traced_memory()[1] - before < 120_000_000
 
 
+def test_toxicity_is_fitted_in_runs_of_text(traced):
+    own = words(60_000, 5).split(" ")
+    rng = random.Random(6)
+    labels = np.arange(300) % 3 == 0
+    texts = [" ".join(rng.choice(["vile", "foul", "rank"]) if y and rng.random() < 0.1 else rng.choice(own) for _ in range(1_500)) for y in labels]
+    size = sum(map(len, texts))
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    model = toxicity.fit(texts, labels.astype(np.int64))
+    assert model["weight"][b"=vile".hex()] > 0 and tracemalloc.get_traced_memory()[1] - before < 12 * size
+
+
+def test_rows_go_to_workers_in_short_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    docs = spark.range(3_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 10_000).alias("text"))
+    made = [r["n"] for r in doc_text(docs).mapInArrow(sizes, "n long").collect()]
+    assert sum(made) > 30_000_000 and max(made) < 1 << 22
+
+
 def test_packing_ids_are_the_library_s():
     t = Tokenizer.from_file(BYTE)
     vocab = [t.decode([i]) for i in range(0, 50_000, 7)]
